@@ -1,6 +1,6 @@
 """Queries of the text operators over the store's tables."""
 
-from palimpsest.llm import mixing, repetition, tokens
+from palimpsest.llm import garbled, mixing, repetition, tokens
 from palimpsest.sources.tables import table
 
 
@@ -8,7 +8,13 @@ def _docs(spark, d):
     return table(spark, d, "documents")
 
 
+def _revs(spark, d):
+    return table(spark, d, "revision")
+
+
 QUERIES = {
+    "p2_found": lambda s, d: garbled.garbled_fields(_revs(s, d)),
+    "p2_restored": lambda s, d: garbled.garbled(_revs(s, d)),
     "p7_ids": lambda s, d: tokens.encode_corpus(_docs(s, d)),
     "p8_mix": lambda s, d: mixing.mix(_docs(s, d), table(s, d, "mix_target")),
     "p8_shares": lambda s, d: mixing.shares(_docs(s, d), table(s, d, "mix_target")),
