@@ -1,6 +1,6 @@
 """Queries of the text operators over the store's tables."""
 
-from palimpsest.llm import garbled, mixing, repetition, tokens
+from palimpsest.llm import garbled, mixing, pii, repetition, tokens
 from palimpsest.sources.tables import table
 
 
@@ -13,6 +13,8 @@ def _revs(spark, d):
 
 
 QUERIES = {
+    "p1_found": lambda s, d: pii.personal_fields(_revs(s, d)),
+    "p1_redacted": lambda s, d: pii.personal(_revs(s, d)),
     "p2_found": lambda s, d: garbled.garbled_fields(_revs(s, d)),
     "p2_restored": lambda s, d: garbled.garbled(_revs(s, d)),
     "p7_ids": lambda s, d: tokens.encode_corpus(_docs(s, d)),
