@@ -1,6 +1,6 @@
 """Queries of the text operators over the store's tables."""
 
-from palimpsest.llm import garbled, mixing, pii, repetition, tokens
+from palimpsest.llm import aliases, garbled, mixing, pii, repetition, tokens
 from palimpsest.sources.tables import table
 
 
@@ -17,6 +17,8 @@ QUERIES = {
     "p1_redacted": lambda s, d: pii.personal(_revs(s, d)),
     "p2_found": lambda s, d: garbled.garbled_fields(_revs(s, d)),
     "p2_restored": lambda s, d: garbled.garbled(_revs(s, d)),
+    "p6_found": lambda s, d: aliases.variants(_revs(s, d)),
+    "p6_entities": lambda s, d: aliases.entities(_revs(s, d)),
     "p7_ids": lambda s, d: tokens.encode_corpus(_docs(s, d)),
     "p8_mix": lambda s, d: mixing.mix(_docs(s, d), table(s, d, "mix_target")),
     "p8_shares": lambda s, d: mixing.shares(_docs(s, d), table(s, d, "mix_target")),
