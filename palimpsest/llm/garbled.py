@@ -8,6 +8,7 @@ non-ASCII words, on words and on runs of non-ASCII characters, so that partly ga
 texts are repaired too.
 """
 
+import codecs
 import heapq
 import html
 import re
@@ -147,48 +148,62 @@ def costs(s: str) -> tuple[float, float]:
     return total, max(worst, total - before)
 
 
-def _sloppy(enc: str):
-    """(character to byte, byte to character) with undefined bytes as C1 controls."""
-    up = {}
+def _sloppy(enc: str) -> tuple[dict[int, int], str]:
+    """(code point to byte, character of each byte) with undefined bytes as C1 controls."""
+    up = []
     for b in range(256):
         try:
-            up[b] = bytes([b]).decode(enc)
+            up.append(bytes([b]).decode(enc))
         except UnicodeDecodeError:
-            up[b] = chr(b)
-    return {c: b for b, c in up.items()}, [up[b] for b in range(256)]
+            up.append(chr(b))
+    return {ord(c): b for b, c in enumerate(up)}, "".join(up)
 
 
 _TABLES = {e: _sloppy(e) for e in {*READ_AS, *SINGLE_TO} - CJK_READ}
+_PAIR = re.compile(r"[^\x00-\x7f]{2}")
+_IDEOGRAPH = re.compile(r"[\u1100-\u11ff\u2e80-\ufaff\uff00-\uffef]")
 
 
 def to_bytes(s: str, enc: str) -> bytes | None:
-    if enc in _TABLES:
-        t = _TABLES[enc][0]
-        try:
-            return bytes([t[c] for c in s])
-        except KeyError:
-            return None
     try:
-        return s.encode(enc)
+        return codecs.charmap_encode(s, "strict", _TABLES[enc][0])[0] if enc in _TABLES else s.encode(enc)
     except UnicodeEncodeError:
         return None
 
 
 def from_bytes(b: bytes, enc: str) -> str | None:
-    if enc in _TABLES:
-        t = _TABLES[enc][1]
-        return "".join([t[x] for x in b])
     try:
-        return b.decode(enc)
+        return codecs.charmap_decode(b, "strict", _TABLES[enc][1])[0] if enc in _TABLES else b.decode(enc)
     except UnicodeDecodeError:
         return None
 
 
-def edges(s: str):
-    """(next text, whether the step is strong evidence, its name)."""
+def least(s: str) -> float:
+    """A lower bound of the cost of any text that a one-byte step can make of ``s``.
+
+    Such a step keeps the number of non-ASCII characters; beside an ASCII letter none costs
+    less than 0.9, elsewhere none less than 0.3.
+    """
+    total, n = 0.0, len(s)
+    for i, c in enumerate(s):
+        if c >= "\x80":
+            beside = (i and s[i - 1] < "\x80" and s[i - 1].isalpha()) or (i + 1 < n and s[i + 1] < "\x80" and s[i + 1].isalpha())
+            total += 0.9 if beside else 0.3
+    return total
+
+
+def edges(s: str, limit: float):
+    """(next text, whether the step is strong evidence, its name); weak steps only if they can cost up to ``limit``."""
     if "&" in s and (t := html.unescape(s)) != s and not t.isascii():
         yield t, False, "unescape"
+    pair, ideograph = bool(_PAIR.search(s)), bool(_IDEOGRAPH.search(s))
+    single = least(s) <= limit
     for enc in READ_AS:
+        if enc in CJK_READ:
+            if not ideograph:
+                continue
+        elif not (pair or (single and enc in SINGLE_FROM)):
+            continue
         b = to_bytes(s, enc)
         if b is None or b.isascii():
             continue
@@ -196,11 +211,11 @@ def edges(s: str):
         if t is not None and t != s:
             yield t, True, f"{enc}>utf-8"
         if enc in SINGLE_FROM:
-            high = sum(x >= 0x80 for x in b)
-            for to in SINGLE_TO:
-                if to != enc and (t := from_bytes(b, to)) != s:
-                    yield t, False, f"{enc}>{to}"
-            if high >= 4 and enc in ("cp1252", "latin-1", "mac_roman"):
+            if single:
+                for to in SINGLE_TO:
+                    if to != enc and (t := from_bytes(b, to)) != s:
+                        yield t, False, f"{enc}>{to}"
+            if enc in ("cp1252", "latin-1", "mac_roman") and pair and sum(x >= 0x80 for x in b) >= 4:
                 for to in MULTI_TO:
                     t = from_bytes(b, to)
                     if t is not None and t != s:
@@ -214,6 +229,7 @@ def search(s: str) -> tuple[str, tuple[str, ...]]:
     if start < 0.9:
         return s, ()
     margin = ODD_MARGIN if worst >= ODD else SINGLE_MARGIN
+    limit = min(start * SINGLE_SHARE, start - margin)
     sure_best, weak_best = (start, s, ()), (start, s, ())
     seen, frontier, k, expanded = {hash(s)}, [(start, 0, s, (), 0)], 0, 0
     while frontier and expanded < MAX_NODES:
@@ -221,7 +237,7 @@ def search(s: str) -> tuple[str, tuple[str, ...]]:
         expanded += 1
         if len(steps) >= MAX_DEPTH or c < 0.5 or (steps and c > start + 1):
             continue
-        for u, sure, name in edges(t):
+        for u, sure, name in edges(t, limit):
             if hash(u) in seen or weak:
                 continue
             if sure:
