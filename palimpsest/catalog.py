@@ -87,3 +87,8 @@ ORACLE: dict[str, str] = {
     "p5_found": _P5 + "SELECT snapshot, file_id, change FROM found",
     "p5_values": _P5 + "SELECT * FROM found",
 }
+
+from palimpsest import catalog_store  # noqa: E402
+
+QUERIES |= catalog_store.QUERIES
+ORACLE |= catalog_store.ORACLE
