@@ -374,6 +374,18 @@ def _(s, d):
     return text.revision_deltas(table(s, d, "documents"))
 
 
+@query("merge_plans")
+def _(s, d):
+    return text.merge_plans(table(s, d, "documents"))
+
+
+@query("index_files")
+def _(s, d):
+    from palimpsest.sources import formats
+
+    return flat(formats.parsed_graph_indices(formats.write_graph_indices(index.combined(nodes(s, d)))).drop("refs"))
+
+
 # ---- storage policies: documents laid into blocks by source ----
 
 _LAID = """laid AS (SELECT doc_id, coalesce(source, '') || '/' || coalesce(project, '') AS block, coalesce(lang, '') AS prefix, strlen(coalesce(text, '')) AS n FROM documents),
@@ -429,8 +441,8 @@ def _(s, d):
 
 @query("search_keys")
 def _(s, d):
-    k = F.col("key")
-    return nodes(s, d).where("key IS NOT NULL").select(F.array_join(k, "/").alias("key"), S.search_key_16(k).alias("hash_16"), S.search_key_255(k).alias("hash_255"), S.hashed_partition(k[0]).alias("partition")).distinct()
+    k = F.col("k")
+    return nodes(s, d).where("size(key) > 0").select(F.col("key").alias("k")).select(F.array_join(k, "/").alias("key"), S.search_key_16(k).alias("hash_16"), S.search_key_255(k).alias("hash_255"), S.hashed_partition(F.element_at(k, 1)).alias("partition")).distinct()
 
 
 @query("stat_fingerprints")

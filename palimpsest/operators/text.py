@@ -126,9 +126,12 @@ def line_delta(a: list[str], b: list[str]) -> list[tuple[int, int, list[str]]]:
     return out
 
 
-@F.pandas_udf("array<struct<start:int,end:int,lines:array<string>>>")
-def line_delta_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([[{"start": s, "end": e, "lines": x} for s, e, x in line_delta(list(p), list(q))] for p, q in zip(a, b)])
+def line_delta_column(a: Column, b: Column) -> Column:
+    @F.pandas_udf("array<struct<start:int,end:int,lines:array<string>>>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": s, "end": e, "lines": x} for s, e, x in line_delta(list(p), list(q))] for p, q in zip(a, b)])
+
+    return run(a, b)
 
 
 def multi_parent_diff(parents: list[list[str]], lines: list[str]) -> list[tuple]:
@@ -255,9 +258,12 @@ def rendered(groups: list[tuple], a: str = "<<<<<<< \n", mid: str = "=======\n",
     return out
 
 
-@F.pandas_udf(PLAN)
-def merge_plan_udf(base: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([[{"state": s, "line": x} for s, x in merge_plan(list(p), list(q), list(r))] for p, q, r in zip(base, a, b)])
+def merge_plan_column(base: Column, a: Column, b: Column) -> Column:
+    @F.pandas_udf(PLAN)
+    def run(base: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[{"state": s, "line": x} for s, x in merge_plan(list(p), list(q), list(r))] for p, q, r in zip(base, a, b)])
+
+    return run(base, a, b)
 
 
 def weave(versions: list[tuple[str, list[str], list[str]]]) -> list[tuple[int, tuple[int, ...], str]]:
@@ -326,5 +332,21 @@ def revised(docs: DataFrame) -> DataFrame:
 
 def revision_deltas(docs: DataFrame) -> DataFrame:
     """Line delta of each revised document, and whether applying it gives the newer text again."""
-    p = revised(docs).select("doc_id", scalars.lines(F.col("older")).alias("a"), scalars.lines(F.col("newer")).alias("b")).withColumn("hunks", line_delta_udf("a", "b"))
+    p = revised(docs).select("doc_id", scalars.lines(F.col("older")).alias("a"), scalars.lines(F.col("newer")).alias("b")).withColumn("hunks", line_delta_column(F.col("a"), F.col("b")))
     return p.select("doc_id", F.size("a").alias("old_lines"), F.size("b").alias("new_lines"), F.size("hunks").alias("n_hunks"), apply_line_delta(F.col("a"), F.col("hunks")).eqNullSafe(F.col("b")).alias("restored"))
+
+
+def merge_plans(docs: DataFrame) -> DataFrame:
+    """Three-way merge plans of consecutive texts of one (project, path): the one before last as base.
+
+    Numbers of lines per state, whether the plan holds the base again, and conflicts.
+    """
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("project", "path").orderBy("written_at", "doc_id")
+    rows = docs.where("path IS NOT NULL AND text IS NOT NULL").select("doc_id", F.lag("text", 2).over(w).alias("o"), F.lag("text").over(w).alias("p"), F.col("text").alias("q")).where("o IS NOT NULL")
+    parts = rows.select("doc_id", *[scalars.lines(F.col(c)).alias(c) for c in "opq"])
+    plan = parts.withColumn("plan", merge_plan_column(F.col("o"), F.col("p"), F.col("q")))
+    base = F.transform(F.filter("plan", lambda x: x["state"].isin("unchanged", "killed-a", "killed-b", "killed-both")), lambda x: x["line"])
+    n = lambda s: F.size(F.filter("plan", lambda x: x["state"] == s)).alias(s.replace("-", "_"))
+    return plan.select("doc_id", *map(n, ("unchanged", "killed-a", "killed-b", "killed-both", "new-a", "new-b")), base.eqNullSafe(F.col("o")).alias("holds_base"))
