@@ -275,12 +275,19 @@ def _level(s: str, steps: list[str], level: int) -> str:
     if s.isascii():
         return s
     t, found = search(s)
-    if found:
+    if level == 3 or (found and _strong(found)):
         steps.extend(found)
         return t
-    if level == 3:
-        return s
-    return _each((_STRETCH, _WORD, _HIGH)[level], s, steps, lambda x, st: _level(x, st, level + 1))
+    parts: list[str] = []
+    deeper = _each((_STRETCH, _WORD, _HIGH)[level], s, parts, lambda x, st: _level(x, st, level + 1))
+    if found and not _strong(parts):  # weak evidence counts for the longest text that shows it
+        parts, deeper = list(found), t
+    steps.extend(parts)
+    return deeper
+
+
+def _strong(steps) -> bool:
+    return any(x.endswith(">utf-8") for x in steps)
 
 
 def repair(text: str | None) -> tuple[str | None, tuple[str, ...], bool]:
