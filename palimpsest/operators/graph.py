@@ -11,17 +11,27 @@ from palimpsest.plans.durable import durable
 from palimpsest.plans.skew import salted_join
 
 
+COMPACT = 8  # rounds after which the pieces of a growing or shrinking table are written anew
+SMALL = 1_000_000  # frontier rows below which no key can overload a task
+
+
 def ancestors(edges: DataFrame, tips: DataFrame) -> DataFrame:
-    """(tip, node): every tip with itself and all that it descends from; repeated tips collapse."""
-    step = edges.select("child", "parent").distinct()
-    seen = durable(tips.select("tip", F.col("tip").alias("node")).distinct())
-    frontier = seen
-    while True:
-        new = salted_join(frontier.withColumnRenamed("node", "child"), step, ["child"], ["tip"], "inner").select("tip", F.col("parent").alias("node")).distinct().join(seen, ["tip", "node"], "left_anti")
-        frontier = durable(new)
-        if frontier.isEmpty():
-            return seen
-        seen = durable(seen.unionByName(frontier))
+    """(tip, node): every tip with itself and all that it descends from; repeated tips collapse.
+
+    What was seen is the union of the frontiers, each written once.
+    """
+    step = durable(edges.select("child", "parent").distinct())
+    frontier = durable(tips.select("tip", F.col("tip").alias("node")).distinct())
+    seen, rounds, n = frontier, 0, frontier.count()
+    while n:
+        at = frontier.withColumnRenamed("node", "child")
+        up = at.join(step, "child") if n < SMALL else salted_join(at, step, ["child"], ["tip"], "inner")
+        frontier = durable(up.select("tip", F.col("parent").alias("node")).distinct().join(seen, ["tip", "node"], "left_anti"))
+        rounds, n = rounds + 1, frontier.count()
+        seen = seen.unionByName(frontier)
+        if rounds % COMPACT == 0:
+            seen = durable(seen)
+    return seen
 
 
 def missing_ancestors(edges: DataFrame, nodes: DataFrame, tips: DataFrame) -> DataFrame:
@@ -38,17 +48,17 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     all_nodes = durable(nodes.select("node").distinct())
     inner = edges.select("child", "parent").distinct().join(all_nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").join(all_nodes.withColumnRenamed("node", "child"), "child", "left_semi")
     inner = durable(inner)
-    rest, done, k = all_nodes, None, 0
-    while True:
-        waiting = inner.select(F.col("child").alias("node")).distinct()
-        ready = durable(rest.join(waiting, "node", "left_anti").select("node", F.lit(k).alias("level")))
-        if ready.isEmpty():
-            stuck = rest.select("node", F.lit(None).cast("int").alias("level"))
-            return stuck if done is None else done.unionByName(stuck)
-        done = ready if done is None else done.unionByName(ready)
-        rest = durable(rest.join(ready, "node", "left_anti"))
-        inner = durable(inner.join(ready.select(F.col("node").alias("parent")), "parent", "left_anti"))
+    waits = inner.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    rest = durable(all_nodes.join(waits, "node", "left").withColumn("n", F.coalesce("n", F.lit(0))))
+    done, k = rest.where("n = 0").select("node", F.lit(0).alias("level")), 0
+    while not (ready := rest.where("n = 0")).isEmpty():
         k += 1
+        met = inner.join(ready.select(F.col("node").alias("parent")), "parent").groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("met"))
+        rest = durable(rest.where("n > 0").join(met, "node", "left").select("node", (F.col("n") - F.coalesce("met", F.lit(0))).alias("n")))
+        done = done.unionByName(rest.where("n = 0").select("node", F.lit(k).alias("level")))
+        if k % COMPACT == 0:
+            inner, done = durable(inner.join(rest.select(F.col("node").alias("child")), "child", "left_semi")), durable(done)
+    return done.unionByName(rest.select("node", F.lit(None).cast("int").alias("level")))
 
 
 def topological(edges: DataFrame, nodes: DataFrame) -> DataFrame:
