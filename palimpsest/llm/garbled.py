@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.plans.spread import spread
+
 MAX_NODES = 40  # expanded texts of one search; garbling nests a few times at most
 MAX_DEPTH = 4
 MULTI_MARGIN, SINGLE_MARGIN, SINGLE_SHARE = 0.3, 2.4, 0.62
@@ -320,14 +322,16 @@ def garbled(df: DataFrame, id_col: str = "revision_id", fields: tuple[str, ...]
 
     @F.pandas_udf(_RESULT)
     def run(texts: pd.Series) -> pd.DataFrame:
-        got = [repair(t) for t in texts]
+        code, distinct = pd.factorize(texts)
+        once = [repair(t) for t in distinct]
+        got = [once[c] for c in code]
         return pd.DataFrame({
             "restored": [None if lost else t for t, _, lost in got],
             "found": [bool(s) or lost for _, s, lost in got],
             "steps": [list(s) for _, s, _ in got],
         })
 
-    out = long.withColumn("r", run("text")).where("r.found").select(F.col("id").alias(id_col), "field", "text", "r.restored", "r.steps")
+    out = spread(long).withColumn("r", run("text")).where("r.found").select(F.col("id").alias(id_col), "field", "text", "r.restored", "r.steps")
     return out.dropDuplicates([id_col, "field", "text"])
 
 

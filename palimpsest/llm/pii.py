@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.boosting import Boosted
 from palimpsest.llm.garbled import repair
 from palimpsest.llm.names import GIVEN, NICKNAMES, ORG_WORDS, PARTICLES, ROBOT_WORDS, TITLES, VERB_NAMES, WORD, NameModel, cyrillic, plain
+from palimpsest.plans.spread import spread
 
 KINDS = ["email", "phone", "id_number", "street_address", "person_name"]
 SAMPLE = 6000  # rows of each field that the models are fitted on
@@ -473,18 +474,21 @@ def personal(df: DataFrame, detector: Detector | None = None) -> DataFrame:
         @F.pandas_udf(kind)
         def run(texts: pd.Series) -> pd.DataFrame:
             d = _load(key, blob)
-            values = [None if x is None or x != x else x for x in texts]
+            code, distinct = pd.factorize(texts)  # repeated values are searched once a batch; nulls have code -1
+            values = list(distinct)
             spans, fixed, again = _both(d, values, field)
             out, kinds = [], []
             for i, v in enumerate(values):
                 more = again.get(i)
                 out.append(v if not v else _redact_garbled(v, fixed[i], more) if more is not None else redacted(v, spans[i]))
                 kinds.append(sorted({KINDS[k] for _, _, k in (spans[i] if more is None else more)}))
+            out, kinds = [None if c < 0 else out[c] for c in code], [[] if c < 0 else kinds[c] for c in code]
             return pd.DataFrame({"out": out, "kinds": kinds})
 
         return run
 
-    got = df.select("revision_id", scan(0)("message").alias("m"), scan(1)("committer").alias("c"))
+    rows = spread(df.select("revision_id", "message", "committer"))
+    got = rows.select("revision_id", scan(0)("message").alias("m"), scan(1)("committer").alias("c"))
     return got.select("revision_id", F.col("m.out").alias("message"), F.col("c.out").alias("committer"), F.col("m.kinds").alias("message_kinds"), F.col("c.kinds").alias("committer_kinds"))
 
 
