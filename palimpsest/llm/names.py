@@ -18,7 +18,7 @@ NICKNAMES = {
     "bobby": "robert", "sam": "samuel", "sammy": "samuel", "sue": "susan", "susie": "susan", "theo": "theodore", "tomek": "tomasz", "vova": "vladimir", "volodya": "vladimir",
     "willa": "wilhelmina", "mina": "wilhelmina", "bill": "william", "will": "william", "billy": "william", "katya": "yekaterina", "andy": "andrew", "dan": "daniel", "danny": "daniel",
     "dave": "david", "greg": "gregory", "joe": "joseph", "jenny": "jennifer", "matt": "matthew", "nick": "nicholas", "steve": "stephen", "tom": "thomas", "tim": "timothy", "chris": "christopher",
-    "jurek": "jerzy", "kuba": "jakub", "zosia": "zofia", "lukas": "lukasz", "jorg": "jorgen", "lola": "dolores", "manolo": "manuel", "sepp": "josef", "uli": "ulrich", "gabi": "gabriele",
+    "jurek": "jerzy", "kuba": "jakub", "zosia": "zofia", "lukas": "lukasz", "jorg": "jorgen", "lola": "dolores", "manolo": "manuel", "sepp": "josef", "fanfan": "francois", "eddie": "edward", "hannes": "johannes", "teddy": "theodore", "curro": "francisco", "sanya": "alexander", "kolja": "nikolai", "lupita": "guadalupe", "trisha": "patricia", "becky": "rebecca", "uli": "ulrich", "gabi": "gabriele",
 }
 # Frequent given names.
 GIVEN = """abigail aleksandra alexander amara andre anthony benjamin cagla charles dana deborah dmitri edward elizabeth francisco francois friedrich grzegorz guadalupe halim henrietta
@@ -43,13 +43,14 @@ _SPECIAL = {"ø": "o", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d",
 def plain(token: str) -> str:
     """Lower-case Latin letters of a token: accents dropped, Cyrillic transliterated."""
     out = []
-    for c in unicodedata.normalize("NFKD", token.lower()):
-        if "a" <= c <= "z":
-            out.append(c)
-        elif c in _SPECIAL:
-            out.append(_SPECIAL[c])
-        elif c in _CYRILLIC:
-            out.append(_CYRILLIC[c])
+    for whole in token.lower():
+        for c in (whole,) if whole in _CYRILLIC else unicodedata.normalize("NFKD", whole):
+            if "a" <= c <= "z":
+                out.append(c)
+            elif c in _SPECIAL:
+                out.append(_SPECIAL[c])
+            elif c in _CYRILLIC:
+                out.append(_CYRILLIC[c])
     return "".join(out).replace("-", "")
 
 
@@ -85,15 +86,20 @@ class NameModel:
                     families[last] += 1
         self.given = {g for g, n in given.items() if n >= 3 and len(g) > 2} | set(GIVEN) | set(NICKNAMES)
         self.vocabulary: Counter = Counter()
-        often, beside = Counter(), Counter()
+        often, beside, company = Counter(), Counter(), {}
         for m in messages:
             found = WORD.findall(m)
             self.vocabulary.update({plain(w) for w in found if w[:1].islower()})
             words = [plain(w) for w in found]
             often.update(set(words))
-            beside.update({w for i, w in enumerate(words) if self.given & {*words[max(0, i - 2) : i], *words[i + 1 : i + 2]}})
+            for i, w in enumerate(words):
+                near = self.given & {*words[max(0, i - 2) : i], *words[i + 1 : i + 2]}
+                if near:
+                    beside[w] += 1
+                    company.setdefault(w, set()).update(near)
+        # a frequent word is no name unless it mostly stands beside given names, and then beside few of them
         known = self.given | set(families)
-        frequent = {w for w, n in often.items() if n >= 4 and beside[w] < n / 4}
+        frequent = {w for w, n in often.items() if n >= 4 and (beside[w] < n / 4 or len(company[w]) >= 4)}
         words = ({w for w, n in self.vocabulary.items() if n >= 2} | frequent) - known
         self.common = ({w for w, n in self.vocabulary.items() if n >= 3} | frequent) - known
         a, b = Counter(), Counter()

@@ -32,7 +32,7 @@ NUMBER = re.compile(r"(?<![\w.+@/#-])(?:(?!ID|NO|Nr)[A-Z]{1,2}[ -]?(?=\d))?[+(]{
 _WAY = r"(?:street|st|road|rd|avenue|ave|lane|ln|boulevard|blvd|drive|court|crescent|terrace|place|square|close|way|row|highway|hwy)"
 _UP = r"[^\W\d_][\w’'-]*"
 ADDRESS = re.compile(
-    rf"(?:(?:flat|apt|suite|unit) \w+, (?:{_UP} ){{1,2}}house, )?\b\d{{1,5}}[a-z]? (?:[nsew]\. ?)?(?:{_UP} ){{1,3}}{_WAY}\b\.?"
+    rf"(?:(?:flat|apt|suite|unit) \w+, (?:{_UP} ){{1,2}}house, )?\b\d{{1,5}}[a-z]? (?:[nsew]\. ?)?(?:{_UP} ){{1,3}}{_WAY}\b\.?(?![\w/_(])"
     rf"|\b\d{{1,4}}[a-z]?,? (?:bis )?(?:rue|avenue|boulevard|chemin|impasse|quai|allée|place) (?:d[eu] |des |de la |d’)?{_UP}"
     rf"|\b(?:calle|avenida|plaza|paseo|rua|travessa|via|viale|piazza) (?:d[eao]s? )?{_UP}(?: {_UP})?,? (?:n[.º°]? ?)?\d+"
     rf"|\b(?:ul\.|ulica|al\.|os\.|ул\.|улица|пр\.|просп\.|пер\.) ?{_UP}(?: {_UP})?,? (?:[дd]\. ?)?\d+[\w/]*"
