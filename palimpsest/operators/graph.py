@@ -132,3 +132,49 @@ def storage_decision(chain: DataFrame, max_chain: int = 200) -> DataFrame:
     """
     delta = (F.col("depth") <= max_chain) & (F.col("full_size") > F.col("total"))
     return chain.withColumn("as_delta", delta)
+
+
+def recursive_common_ancestor(edges: DataFrame, a, b, most: int = 64) -> list:
+    """Common ancestors of a and b, then of those, until one is left: the layers from first to last.
+
+    The driver sees only the ancestors of each layer, at most ``most``; more raise an error.
+    """
+    spark, kind = edges.sparkSession, edges.schema["child"].dataType.simpleString()
+    layers, pair = [], [a, b]
+    while len(pair) > 1:
+        pairs = [(x, y) for i, x in enumerate(pair) for y in pair[i + 1 :]]
+        found = common_ancestors(edges, spark.createDataFrame(pairs, f"a {kind}, b {kind}")).select("lca").distinct().limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"more than {most} common ancestors")
+        nxt = sorted(r["lca"] for r in found)
+        if not nxt or nxt == sorted(pair):
+            return [*layers, nxt] if nxt else layers
+        layers.append(nxt)
+        pair = nxt
+    return layers
+
+
+def snapshot_places(chain: DataFrame, interval: int) -> DataFrame:
+    """Which keys of chains (key, root, depth) to store whole so that no chain is longer than ``interval``."""
+    return chain.withColumn("whole", (F.col("depth") % interval) == 0)
+
+
+def size_ranking(sizes: DataFrame) -> DataFrame:
+    """Keys by what storing them as a delta saves: full_size - delta_size, largest first, ties by key."""
+    return sizes.select("key", (F.col("full_size") - F.col("delta_size")).alias("saved")).orderBy(F.col("saved").desc(), "key")
+
+
+def compression_order(edges: DataFrame, nodes: DataFrame, prefix: str) -> DataFrame:
+    """Nodes by prefix, and inside a prefix children before parents: (prefix, node, place)."""
+    from pyspark.sql import Window as W
+
+    lv = levels(edges, nodes).join(nodes.select("node", prefix).distinct(), "node")
+    w = W.partitionBy(prefix).orderBy(F.col("level").desc(), "node")
+    return lv.select(prefix, "node", F.row_number().over(w).alias("place"))
+
+
+def union_weaves(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(version, parents, sha1) of two stores: parents are united, different texts raise when read."""
+    both = a.select("version", "parents", "sha1").unionByName(b.select("version", "parents", "sha1"))
+    one = both.groupBy("version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("parents")))).alias("parents"), F.min("sha1").alias("lo"), F.max("sha1").alias("hi"))
+    return one.select("version", "parents", F.when(F.col("lo") != F.col("hi"), F.raise_error(F.lit("texts differ"))).otherwise(F.col("lo")).alias("sha1"))
