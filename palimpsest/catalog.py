@@ -88,7 +88,7 @@ ORACLE: dict[str, str] = {
     "p5_values": _P5 + "SELECT * FROM found",
 }
 
-from palimpsest import catalog_store  # noqa: E402
+from palimpsest import catalog_formats, catalog_store  # noqa: E402
 
-QUERIES |= catalog_store.QUERIES
-ORACLE |= catalog_store.ORACLE
+QUERIES |= catalog_store.QUERIES | catalog_formats.QUERIES
+ORACLE |= catalog_store.ORACLE | catalog_formats.ORACLE

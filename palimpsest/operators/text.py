@@ -319,32 +319,29 @@ def sha1_lines(lines: list[str]) -> str:
     return hashlib.sha1("".join(lines).encode()).hexdigest()
 
 
-def revised(docs: DataFrame) -> DataFrame:
-    """Consecutive texts of one (project, path): key, older and newer text, by written_at and id.
+def derived(docs: DataFrame) -> DataFrame:
+    """(doc_id, older, newer): each document beside the one whose number is half of its own.
 
-    Documents without path are not revisions of anything.
+    An equi-join in which no document has more than two successors; null texts have none.
     """
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("project", "path").orderBy("written_at", "doc_id")
-    return docs.where("path IS NOT NULL AND text IS NOT NULL").select("doc_id", F.lag("text").over(w).alias("older"), F.col("text").alias("newer")).where("older IS NOT NULL")
+    t = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    older = t.select(F.col("doc_id").alias("up"), F.col("text").alias("older"))
+    return t.where("doc_id > 0").withColumn("up", F.expr("doc_id div 2")).join(older, "up").select("doc_id", "older", F.col("text").alias("newer"))
 
 
 def revision_deltas(docs: DataFrame) -> DataFrame:
-    """Line delta of each revised document, and whether applying it gives the newer text again."""
-    p = revised(docs).select("doc_id", scalars.lines(F.col("older")).alias("a"), scalars.lines(F.col("newer")).alias("b")).withColumn("hunks", line_delta_column(F.col("a"), F.col("b")))
+    """Line delta of each document from its ``derived`` predecessor, and whether applying it gives the text again."""
+    p = derived(docs).select("doc_id", scalars.lines(F.col("older")).alias("a"), scalars.lines(F.col("newer")).alias("b")).withColumn("hunks", line_delta_column(F.col("a"), F.col("b")))
     return p.select("doc_id", F.size("a").alias("old_lines"), F.size("b").alias("new_lines"), F.size("hunks").alias("n_hunks"), apply_line_delta(F.col("a"), F.col("hunks")).eqNullSafe(F.col("b")).alias("restored"))
 
 
 def merge_plans(docs: DataFrame) -> DataFrame:
-    """Three-way merge plans of consecutive texts of one (project, path): the one before last as base.
+    """Three-way merge plans: a document, the next one, and their ``derived`` predecessor as base.
 
-    Numbers of lines per state, whether the plan holds the base again, and conflicts.
+    Numbers of lines per state, and whether the plan holds the base again.
     """
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("project", "path").orderBy("written_at", "doc_id")
-    rows = docs.where("path IS NOT NULL AND text IS NOT NULL").select("doc_id", F.lag("text", 2).over(w).alias("o"), F.lag("text").over(w).alias("p"), F.col("text").alias("q")).where("o IS NOT NULL")
+    nxt = docs.where("text IS NOT NULL").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("q"))
+    rows = derived(docs).join(nxt, "doc_id").select("doc_id", F.col("older").alias("o"), F.col("newer").alias("p"), "q")
     parts = rows.select("doc_id", *[scalars.lines(F.col(c)).alias(c) for c in "opq"])
     plan = parts.withColumn("plan", merge_plan_column(F.col("o"), F.col("p"), F.col("q")))
     base = F.transform(F.filter("plan", lambda x: x["state"].isin("unchanged", "killed-a", "killed-b", "killed-both")), lambda x: x["line"])

@@ -6,6 +6,7 @@ held, never texts that were passed on.
 """
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ _OUT = "file_id string, rev string, basis string, payload string, state string"
 _STATE = "known array<string>, revs array<string>, bases array<string>, payloads array<string>"
 
 
-def _insert(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _insert(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, wait: int | None = None) -> Iterator[pd.DataFrame]:
     known, revs, bases, payloads = state.get if state.exists else ([], [], [], [])
     seen, waiting = {*known}, list(zip(revs, bases, payloads))
     out: list[tuple] = []
@@ -39,18 +40,20 @@ def _insert(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
                 rest.append((r, b, p))
         waiting = rest
     state.update(([*seen], [x[0] for x in waiting], [x[1] for x in waiting], [x[2] for x in waiting]))
-    if waiting:
-        state.setTimeoutDuration(10 * 60 * 1000)
+    if waiting and wait:
+        state.setTimeoutDuration(wait)
     yield pd.DataFrame(out, columns=["file_id", "rev", "basis", "payload", "state"])
 
 
-def insert_records(stream: DataFrame) -> DataFrame:
+def insert_records(stream: DataFrame, wait_ms: int | None = None) -> DataFrame:
     """(file_id, rev, basis, payload) passed on once each, after the basis; repeats are dropped.
 
-    Rows whose basis does not come within ten minutes leave as ``basis missing``.
+    Rows whose basis never comes stay in the state; with ``wait_ms``, for streams that keep
+    running, they leave as ``basis missing`` after that time.
     """
     rows = stream.select("file_id", "rev", "basis", "payload")
-    return rows.groupBy("file_id").applyInPandasWithState(_insert, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if wait_ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy("file_id").applyInPandasWithState(partial(_insert, wait=wait_ms), _OUT, _STATE, "append", timeout)
 
 
 def first_deliveries(stream: DataFrame, key: str, at: str, delay: str = "30 days") -> DataFrame:

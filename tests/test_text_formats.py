@@ -140,7 +140,7 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
     q = records.insert_records(stream).writeStream.format("memory").queryName("inserted").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     got = [(r.rev, r.state) for r in spark.table("inserted").collect()]
     assert sorted(got) == [("1", "inserted"), ("2", "inserted"), ("3", "inserted")]
     assert got.index(("2", "inserted")) < got.index(("3", "inserted"))
