@@ -47,10 +47,12 @@ ID_WORDS = re.compile(
     r"ssn|social security|tax id|taxpayer|\bcpf\b|\bdni\b|\bnie\b|\bnif\b|pesel|steuer-?id|снилс|инн\b|\bni number|national insurance|nino\b|passport|reisepass|pasaporte|passeport|паспорт"
     r"|driving licen|driver'?s licen|führerschein|personal id|personnummer|rodné|マイナンバー|身份证|\bbsn\b|insee|\bnir\b|codice fiscale|identity (?:card|number|no)|national id|\bid no\b|citizen", re.I)
 DECOY_WORDS = re.compile(r"(?:lines?|offset|timing|build|bug|crc32|epoch|version|sha1?|size|address|port|pid|page|chapter|rev|revision|commit|issue|ticket|takes|costs|run|bytes|ms|kb|mb|skipped|per step|is not|#)\b", re.I)
+_DECOY_BEFORE = re.compile(DECOY_WORDS.pattern + r"\W*$", re.I)
 CARRIER = re.compile(
     r"(?:\b(?:by|from|to|cc|thanks to|per|ping|mit|merci à|спасибо|contact|kontakt|mail|with|ask|as|r=|reviewer|owner|author|todo|was|had|used|contained|leaked|redact|strip|moved|goes|wohnt|shows|reported|signed-off-by|acked-by|reported-by|co-developed-by|reviewed-by|tested-by|suggested-by)\b\W*|[(\[\"“=;*#>|-]\s*|^\s*)$", re.I)
 ID_SHAPES = {s: i + 1 for i, s in enumerate("999-99-9999|999 99 9999|999.999.999-99|99999999-A|99999999A|99999999999|99 999 999 999|999-999-999 99|AA999999A|AA 99 99 99 A|AA9999999|A99999999A|999999999|999999/9999|9999 9999 9999|A9999999A|99 99 99 9999 99|999999-9999".split("|"))}
 PHONE_SHAPES = {s: i + 1 for i, s in enumerate("+99 99 9999 9999|+99 9 99 99 99 99|+9 (999) 999-99-99|+99 (9)99 99999 999|+999999999999|99999 999999|9999 999 999|9999999 999999|(999) 999-9999|999-999-9999|999.999.9999|9-999-999-9999|999 9999|+9 (999) 999-9999|99-9999-9999|+9 999 999 9999|+999999999|99 99 99 99 99".split("|"))}
+_SHAPES = {*ID_SHAPES, *PHONE_SHAPES}
 CODE = {"py", "rs", "toml", "json", "txt", "md", "c", "h", "sh", "svg", "po", "cfg", "js", "html", "xml", "yml", "go", "java"}
 
 
@@ -81,8 +83,8 @@ def _name_spans(text: str, t: Tokens, masked: list[tuple[int, int]]):
     """Runs of name-like words with at least one that may be a name; (first, last) word positions."""
     n = len(t.words)
     hidden = [any(a < e and s < b for s, e in masked) for a, b in t.spans]
-    glued = [(a and (text[a - 1] in "_@./" or text[a - 1].isdigit())) or (b < len(text) and (text[b] in "_@/(" and text[b : b + 1] != "(" or text[b : b + 2] == "()" or text[b].isdigit() or (text[b] == "." and text[b + 1 : b + 2].isalpha()))) for a, b in t.spans]
-    core = [not hidden[i] and not glued[i] and (t.given[i] or (len(t.plain[i]) > 3 and t.family[i] > -0.1 and not (t.common[i] and t.words[i].islower()))) for i in range(n)]
+    glued = [(a and (text[a - 1] in "_@./" or text[a - 1].isdigit() or (text[a - 1] == "-" and text[: a - 1][-1:].isdigit()))) or (b < len(text) and (text[b] in "_@/(" and text[b : b + 1] != "(" or text[b : b + 2] == "()" or text[b].isdigit() or (text[b] == "." and text[b + 1 : b + 2].isalpha()))) for a, b in t.spans]
+    core = [not hidden[i] and not glued[i] and (t.given[i] or (len(t.plain[i]) > 3 and t.family[i] > (0.6 if "�" in t.words[i] else -0.1) and not (t.common[i] and t.words[i].islower()))) for i in range(n)]
     for i in range(1, n):
         if not hidden[i] and not glued[i] and len(t.plain[i]) > 2 and (t.words[i - 1].lower() in TITLES or (len(t.words[i - 1]) == 1 and t.words[i - 1].isupper() and text[t.spans[i - 1][1] : t.spans[i][0]] == ". ")) and t.words[i][0].isupper():
             core[i] = True
@@ -92,7 +94,7 @@ def _name_spans(text: str, t: Tokens, masked: list[tuple[int, int]]):
             i += 1
             continue
         a = b = i
-        while a > 0 and not hidden[a - 1] and text[t.spans[a - 1][1] : t.spans[a][0]] in (" ", ". ", "  ", ", ") and (core[a - 1] or (len(t.words[a - 1]) == 1 and t.words[a - 1].isupper()) or t.plain[a - 1] in PARTICLES):
+        while a > 0 and not hidden[a - 1] and not glued[a - 1] and text[t.spans[a - 1][1] : t.spans[a][0]] in (" ", ". ", "  ", ", ") and (core[a - 1] or (len(t.words[a - 1]) == 1 and t.words[a - 1].isupper()) or t.plain[a - 1] in PARTICLES):
             a -= 1
         while b + 1 < n and not hidden[b + 1] and text[t.spans[b][1] : t.spans[b + 1][0]] in (" ", ". ", "  ", ", ", "-") and (core[b + 1] or (len(t.words[b + 1]) == 1 and t.words[b + 1].isupper()) or (t.plain[b + 1] in PARTICLES and b + 2 < n and core[b + 2])):
             b += 1
@@ -118,11 +120,14 @@ def candidates(text: str, model: NameModel):
             start, s = m.start(), m.group()
             while s[:1] == "(" and s.count("(") > s.count(")"):
                 start, s = start + 1, s[1:]
-            digits = sum(c.isdigit() for c in s)
-            if digits >= 6:
+            whole, cuts = (start, m.end()), [x.span() for x in re.finditer(r"[^ ]+", s)]
+            spans = {whole} | {(start + a, start + b) for i, (a, _) in enumerate(cuts) for _, b in cuts[i : i + 6] if shape(s[a:b]) in _SHAPES}
+            for a, b in sorted(spans):  # neighbouring numbers run together: known shapes inside are proposed too
+                digits = sum(c.isdigit() for c in flat[a:b])
                 if digits >= 7:
-                    out.append((1, start, m.end(), 0, 0))
-                out.append((2, start, m.end(), 0, 0))
+                    out.append((1, a, b, 0, 0))
+                if digits >= 6:
+                    out.append((2, a, b, 0, 0))
         for m in ADDRESS.finditer(flat):
             tail = _TAIL.match(flat, m.end())
             out.append((3, m.start(), tail.end() if tail else m.end(), 0, 0))
@@ -142,7 +147,7 @@ def features(text: str, flat: str, t: Tokens, c: tuple, field: int) -> list[floa
     line_start, line_end = text.rfind("\n", 0, s) + 1, text.find("\n", e)
     line = text[line_start : line_end if line_end >= 0 else len(text)]
     digits = sum(ch.isdigit() for ch in span)
-    f = [float(kind), float(field), e - s, digits, (e - s) / max(1, len(line.strip())), bool(CARRIER.search(before)), bool(PHONE_WORDS.search(before)) or bool(PHONE_WORDS.search(after)), bool(ID_WORDS.search(before[-30:])) or bool(ID_WORDS.search(span)), bool(DECOY_WORDS.search(before[-12:])), bool(DECOY_WORDS.search(after[:12]))]
+    f = [float(kind), float(field), e - s, digits, (e - s) / max(1, len(line.strip())), bool(CARRIER.search(before)), bool(PHONE_WORDS.search(before)) or bool(PHONE_WORDS.search(after)), bool(ID_WORDS.search(before[-30:])) or bool(ID_WORDS.search(span)), bool(_DECOY_BEFORE.search(before)), bool(DECOY_WORDS.search(after[:12]))]
     f += [after[:1] in "),;]\">*" if after else True, before[-1:] in "([\"<*=" if before else True, span.islower(), span.isupper(), span[:1].isupper()]
     if kind == 0:
         domain = re.split(_AT, span, maxsplit=1, flags=re.I)[-1]
@@ -155,7 +160,7 @@ def features(text: str, flat: str, t: Tokens, c: tuple, field: int) -> list[floa
         groups = re.findall(r"\d+", span)
         f += [span.startswith("+"), span.startswith("00"), span.startswith("0"), "(" in span, "-" in span, "." in span, " " in span, "/" in span, PHONE_SHAPES.get(re.sub(r" ?(ext|x)\W.*", "", shp), 0), ID_SHAPES.get(shp, 0), len(groups), "555" in groups or "ext" in span, len(groups[0]), len(groups[-1]), span[:1].isalpha(), bool(re.search(r"^\w+[ =:]*$", before))]
     elif kind == 3:
-        f += [len(re.findall(r"[A-ZÀ-Ý]", span)), bool(re.search(rf"\b{_WAY}\b", span, re.I)), bool(re.search(r"\b(?:lane|road|avenue|street|blvd|boulevard|st|rd|ave)\b", span, re.I)), bool(re.search(r"rue|calle|rua|ul\.|ул\.", span, re.I)), bool(re.search(r"(?:weg|str|gatan|platz|allee|gasse)", span, re.I)), span.count(","), bool(re.search(r"apt|suite|flat|кв|º", span, re.I)), bool(re.search(r"\b\d{5}\b", span)), len(span.split()), max((t.family[i] for i in range(len(t.words)) if s <= t.spans[i][0] < e), default=-2.0)]
+        f += [len(re.findall(r"[A-ZÀ-Ý]", span)), bool(re.search(rf"\b{_WAY}\b", span, re.I)), bool(re.search(r"\b(?:lane|road|avenue|street|blvd|boulevard|st|rd|ave)\b", span, re.I)), bool(re.search(r"rue|calle|rua|ul\.|ул\.", span, re.I)), bool(re.search(r"(?:weg|str|gatan|platz|allee|gasse)", span, re.I)), span.count(","), bool(re.search(r"apt|suite|flat|кв|º", span, re.I)), bool(re.search(r"\b\d{5}\b", span)), len(span.split())]
     else:
         fam, words = t.family[a : b + 1], t.words[a : b + 1]
         n_given = sum(t.given[a : b + 1])
@@ -290,7 +295,7 @@ class Synthetic:
     def email(self) -> str:
         r = self.r
         g, f = r.choice(self.givens), r.choice(self.families)
-        local = r.choice([f"{g}.{f}", f"{g[0]}{f}", f"{f}{r.randrange(99)}", f"{g}_{f}", f"{g}+{r.choice(['row', 'tree', 'page'])}", f"{f}.{g}", f"{g}-{f}"])
+        local = r.choice([f"{g}.{f}", f"{g[0]}{f}", f"{f}{r.randrange(99)}", f"{g}_{f}", f"{g}+{r.choice(['row', 'tree', 'page'])}", f"{f}.{g}", f"{g}-{f}", g[0] + f[0], f, r.choice(["build", "info", "landing", "no-reply", "core-team", "x", "me2"])])
         dom = [r.choice(["mail", "dev", "post"]), self.word()] if r.random() < 0.3 else [self.word()]
         tld = r.choice(["example", "test", "invalid", "com", "org", "net", "de", "io"])
         u = r.random()
@@ -305,14 +310,14 @@ class Synthetic:
         elif u < 0.9:
             s = f"{local} @ {'.'.join([*dom, tld])}"
         else:
-            s = f"{local}@{self.word()}"
+            s = f"{local}@{self.word()}" + (str(r.randrange(1, 10)) if r.random() < 0.5 else "")
         u = r.random()
         return f"<{s}>" if u < 0.3 else f"mailto:{s}" if u < 0.4 else s.upper() if u < 0.46 else s
 
     def phone(self) -> str:
         s = self.n(self.r.choice(["+44 20 7946 0999", "+33 1 99 00 99 99", "+7 (495) 000-99-99", "+49 (0)30 23125 999", "+493023125999", "01632 960999", "0491 570 999", "(999) 555-0199", "999-555-0199", "999.555.0199", "1-999-555-0199", "555 0199", "+1 (999) 555-0199", "0033199 009999", "03-0000-9999", "+1 999 555 0199", "01 99 00 99 99", "+41 44 999 99 99"]))
         s = s.replace("(", "(").strip()
-        return "".join(chr(ord(c) + 0xFEE0) if c.isdigit() or c == "-" else c for c in s) if self.r.random() < 0.06 else s + (self.r.choice([" ext. ", " x"]) + self.n("999") if self.r.random() < 0.1 else "")
+        return "".join(chr(ord(c) + 0xFEE0) if c.isdigit() or c == "-" else c for c in s) if self.r.random() < 0.1 else s + (self.r.choice([" ext. ", " x"]) + self.n("999") if self.r.random() < 0.1 else "")
 
     def number(self) -> str:
         r = self.r
@@ -322,7 +327,7 @@ class Synthetic:
     def address(self) -> str:
         r, w, n = self.r, self.word().title(), self.r.randrange(1, 250)
         t = self.word().title()
-        s = r.choice([f"{n} {w} Lane, {t}", f"{n} {w} Avenue, Apt {n % 30}B, {t} {self.n('99999')}", f"{n} {w} St", f"{n} N. {w} Blvd, Suite {self.n('999')}", f"{n} old {w.lower()} rd, {t.lower()}", f"Flat {n % 9 + 1}, {t} House, {n} {w} Road", f"{n}, rue de {w}, {self.n('99999')} {t}", f"calle {w} {n}, {n % 9 + 1}º B, {t}", f"ul. {w} {n}/{n % 40 + 1}, {t}", f"{w}weg {n}a", f"{w}straße {n}, {self.n('99999')} {t}", f"{w}gatan {n}, {t}", f"{n} {w} Road", f"{n} {w} Street, {t}"])
+        s = r.choice([f"{n} {w} Lane, {t}", f"{n} {w} Avenue, Apt {n % 30}B, {t} {self.n('99999')}", f"{n} {w} St", f"{n} N. {w} Blvd, Suite {self.n('999')}", f"{n} old {w.lower()} rd, {t.lower()}", f"Flat {n % 9 + 1}, {t} House, {n} {w} Road", f"{n}, rue de {w}, {self.n('99999')} {t}", f"calle {w} {n}, {n % 9 + 1}º B, {t}", f"ul. {w} {n}/{n % 40 + 1}, {t}", f"{w}weg {n}a", f"{w}straße {n}, {self.n('99999')} {t}", f"{w}gatan {n}, {t}", f"{n} {w} Road", f"{n} {w} Street, {t}", f"ул. {cyrillic(w)}, д. {n}, кв. {n % 90 + 1}"])
         return s.upper() if r.random() < 0.04 else s
 
     def org(self) -> str:
@@ -384,7 +389,7 @@ class Synthetic:
                         return None
                     return 0
                 if field:
-                    return None
+                    return 1 if c[0] == 0 and "@" in text[c[1] : c[2]] else None
                 if c[0] == 4:
                     a, b = c[3], c[4]
                     strong = any(t.given[a : b + 1]) and any(not g and f > 0.6 for g, f in zip(t.given[a : b + 1], t.family[a : b + 1]))
