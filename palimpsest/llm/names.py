@@ -59,6 +59,13 @@ def lossy(name: str) -> set[str]:
     return {name[:i] + name[i + 1 :] for i in range(len(name))}
 
 
+def alike(a: str, b: str) -> bool:
+    """Whether two names are at most two edits apart (one for short names)."""
+    from palimpsest.llm.aliases import distance
+
+    return distance(a, b, 2) <= (2 if min(len(a), len(b)) >= 5 else 1)
+
+
 PERSON = re.compile(r"^\s*([^\W\d_]+)(?: [^\W\d_]\.)? ([^<@()\d,]+?)\s*(?:\([^)]*\)\s*)?<([^@<> ]+)(?:@| at )")
 WORD = re.compile(r"(?:[^\W\d_]|�)+(?:[’'](?:[^\W\d_]|�)+)*", re.UNICODE)
 #: letters by which Latin names are written in Cyrillic, one for one
@@ -78,12 +85,21 @@ class NameModel:
     def __init__(self, committers: list[str], messages: list[str]):
         given: Counter = Counter()
         families: Counter = Counter()
-        for c in committers:
+        shared: dict[str, set[str]] = {}
+        for c in sorted(set(committers)):
             if m := PERSON.match(c):
                 last = plain(m.group(2).split()[-1])
+                if len(m.group(1)) > 1 and m.group(1).isupper() and not m.group(2).isupper():
+                    continue  # FAMILY Given
                 if len(last) >= 3 and last in plain(m.group(3)) and not {plain(w) for w in WORD.findall(c)} & (ORG_WORDS | ROBOT_WORDS):
-                    given[plain(m.group(1))] += 1
+                    shared.setdefault(plain(m.group(1)), set()).add(last)
                     families[last] += 1
+        # a given name is one that people of several families bear and that is no rare spelling of another
+        given.update({g: len(f) for g, f in shared.items()})
+        frequent_first = [g for g, _ in given.most_common()]
+        for g in [g for g, n in given.items() if 3 <= n]:
+            if g not in GIVEN and any(given[o] >= 3 * given[g] and alike(g, o) for o in frequent_first[:400] if o != g):
+                del given[g]
         self.given = {g for g, n in given.items() if n >= 3 and len(g) > 2} | set(GIVEN) | set(NICKNAMES)
         self.vocabulary: Counter = Counter()
         often, beside, company = Counter(), Counter(), {}
