@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.plans.durable import durable
@@ -246,6 +247,20 @@ def _core(pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+def _places(first: DataFrame, done: DataFrame) -> DataFrame:
+    """first_place as ``preorder`` gives it: rows below earlier siblings plus one, summed on the way up by pointer doubling."""
+    t = first.select("s", "v", "p", "end").join(done.where(~F.col("state").isin(ON_CYCLE, BELOW_CYCLE)).select("s", "v", "total"), ["s", "v"])
+    earlier = W.partitionBy("s", "p").orderBy(F.xxhash64("s", "v")).rowsBetween(W.unboundedPreceding, -1)
+    inner = t.where("NOT end").select("s", "v", F.col("p").alias("up"), (F.coalesce(F.sum("total").over(earlier), F.lit(0)) + 1).alias("place"))
+    ends = t.where("end").select("s", "v", F.lit(None).cast("string").alias("up"), F.lit(0).cast("bigint").alias("place"))
+    t = durable(ends.unionByName(inner))
+    while not t.where("up IS NOT NULL").isEmpty():
+        u = t.select("s", F.col("v").alias("up"), F.col("up").alias("up2"), F.col("place").alias("place2"))
+        on = t.where("up IS NOT NULL").join(u, ["s", "up"]).select("s", "v", F.col("up2").alias("up"), (F.col("place") + F.col("place2")).alias("place"))
+        t = durable(t.where("up IS NULL").unionByName(on))
+    return t.select("s", "v", "place")
+
+
 def _large(rows: DataFrame, full: bool, limit: int) -> DataFrame:
     name = F.coalesce("name", F.lit("")) if full else F.lit("")
     heads = rows.where("is_head").select(F.col("snapshot").alias("s"), F.col("file_id").alias("v")).distinct().withColumn("is_root", F.lit(True))
@@ -292,12 +307,12 @@ def _large(rows: DataFrame, full: bool, limit: int) -> DataFrame:
     named = F.element_at(F.array(*map(F.lit, STATES)), F.col("state") + 1).alias("state")
     if not full:
         return out.where(F.col("state") != OK).select(F.col("s").alias("snapshot"), F.col("v").alias("file_id"), named)
-    # places: rows below earlier siblings plus one, summed along the path by its prefix order
+    out = out.join(_places(first, done), ["s", "v"], "left")
     acyclic = ~F.col("state").isin(ON_CYCLE, BELOW_CYCLE)
     return out.select(
         F.col("s").alias("snapshot"), F.col("v").alias("file_id"), named, F.when(acyclic, F.col("r")).alias("root"), F.when(acyclic, F.col("depth")).alias("depth"),
         F.when(acyclic, F.when(F.col("path") == "", "/").otherwise(F.col("path"))).alias("path"), F.when(F.col("state") != ON_CYCLE, F.col("total") - 1).alias("n_descendants"),
-        F.lit(None).cast("bigint").alias("first_place"),
+        F.col("place").alias("first_place"),
     )
 
 

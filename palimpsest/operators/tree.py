@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import name_is_valid
-from palimpsest.operators.hierarchy import hierarchy
+from palimpsest.operators.hierarchy import LIMIT, hierarchy
 
 ENTRY = ["parent_id", "name", "kind", "revision", "text_sha1", "text_size", "executable", "symlink_target", "reference_revision"]
 
@@ -147,13 +147,13 @@ def children_disagreements(entry: DataFrame) -> DataFrame:
     return listed.join(real, ["snapshot", "parent_id", "name", "file_id"], "full").where("listed IS NULL OR real IS NULL").select("snapshot", "parent_id", "name", "file_id", F.col("listed").isNotNull().alias("listed"))
 
 
-def subtree_filter(entry: DataFrame, inventory: DataFrame, wanted: DataFrame) -> DataFrame:
+def subtree_filter(entry: DataFrame, inventory: DataFrame, wanted: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Requested entries with all their descendants and ancestors, but not siblings.
 
     ``wanted`` has snapshot and file_id. Descendants are places in the depth-first walk, so
     the join is on snapshot and root with a range of places.
     """
-    t = hierarchy(entry, inventory).where("first_place IS NOT NULL").select("snapshot", "root", "file_id", "path", F.col("first_place").alias("at"), (F.col("first_place") + F.col("n_descendants")).alias("last"))
+    t = hierarchy(entry, inventory, limit=limit).where("first_place IS NOT NULL").select("snapshot", "root", "file_id", "path", F.col("first_place").alias("at"), (F.col("first_place") + F.col("n_descendants")).alias("last"))
     w = t.join(wanted.select("snapshot", "file_id").distinct(), ["snapshot", "file_id"], "left_semi").select("snapshot", "root", F.col("at").alias("w_at"), F.col("last").alias("w_last"))
     below = F.col("at").between(F.col("w_at"), F.col("w_last"))
     above = F.col("w_at").between(F.col("at"), F.col("last"))

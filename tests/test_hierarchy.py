@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from palimpsest.operators import hierarchy as H
+from palimpsest.operators import tree as T
 
 ENTRY = "snapshot string, file_id string, parent_id string, name string"
 INV = "snapshot string, root_id string"
@@ -145,3 +146,18 @@ def test_descendants(spark):
     e = spark.createDataFrame([("s", "r", None, ""), ("s", "a", "r", "a"), ("s", "b", "a", "b")], ENTRY)
     t = H.hierarchy(e, spark.createDataFrame([("s", "r")], INV))
     assert {(x.file_id, x.descendant) for x in H.descendants(t).collect()} == {("r", "a"), ("r", "b"), ("a", "b")}
+
+
+def test_large_equals_small(spark):
+    rng = random.Random(11)
+    cases = {f"s{k}": tree(rng, rng.randrange(14, 60), k % 2) for k in range(4)}
+    cases["s0"] = [(f, p, "same") for f, p, _ in cases["s0"]]
+    entry = spark.createDataFrame([(s, f, p, n) for s, es in cases.items() for f, p, n in es], ENTRY)
+    inv = spark.createDataFrame([(s, "root") for s in cases], INV)
+    small, large = ({(r.snapshot, r.file_id): r.asDict() for r in H.hierarchy(entry, inv, limit=n).collect()} for n in (10**6, 12))
+    assert small.keys() == large.keys() and any(r["first_place"] for r in large.values())
+    for column in next(iter(small.values())):
+        assert {k: r[column] for k, r in small.items()} == {k: r[column] for k, r in large.items()}, column
+    wanted = entry.where("file_id IN ('f3', 'f9')").select("snapshot", "file_id")
+    got = [{tuple(r) for r in T.subtree_filter(entry, inv, wanted, limit=n).collect()} for n in (10**6, 12)]
+    assert got[0] == got[1] and {r[0] for r in got[1]} == set(cases)
