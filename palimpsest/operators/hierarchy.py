@@ -271,7 +271,8 @@ def _large(rows: DataFrame, full: bool, limit: int) -> DataFrame:
         "s", "v", "p", F.coalesce("seg", F.lit("")).alias("seg"), "is_root", (F.col("is_root") | F.col("known").isNull()).alias("end"),
         F.lit(1).cast("bigint").alias("w"), F.lit(1).cast("bigint").alias("acc"), F.lit(0).cast("bigint").alias("extra"),
     ))
-    live, log, k = first, [], 0
+    # a live node is a leaf, finished, a candidate, or has a live child: cycles alone have one child each and shrink to self loops
+    live, log, ended, k = first, [], [], 0
     while (live.groupBy("s").count().agg(F.max("count")).first()[0] or 0) > limit:
         k += 1
         coin = lambda v: F.pmod(F.xxhash64("s", v, F.lit(k)), F.lit(2)) == 1
@@ -281,7 +282,12 @@ def _large(rows: DataFrame, full: bool, limit: int) -> DataFrame:
         log.append(durable(seen.where(leaf).select("s", "v", "p", "w", "seg", "acc", F.lit(None).cast("string").alias("c"), F.lit(None).cast("bigint").alias("was"))))
         gain = seen.where(leaf).groupBy("s", F.col("p").alias("v")).agg(F.sum(F.col("acc") + F.col("extra")).alias("gain"), F.count(F.lit(1)).alias("lost"))
         left = seen.where(~leaf).join(gain, ["s", "v"], "left").withColumn("acc", F.col("acc") + F.coalesce("gain", F.lit(0))).withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0)))
-        left = durable(left.drop("gain", "lost").withColumn("cand", ~F.col("end") & (F.col("n") == 1) & (F.col("p") != F.col("v")) & coin("v")))
+        left = durable(left.drop("gain", "lost"))
+        over = F.expr("end AND n = 0 OR NOT end AND p = v AND n = 1")
+        state = F.when(~F.col("end"), ON_CYCLE).when(F.col("is_root"), OK).otherwise(DETACHED)
+        top = F.when(F.col("is_root"), "").otherwise(F.col("seg"))
+        ended.append(durable(left.where(over).select("s", "v", F.col("v").alias("r"), F.lit(0).cast("bigint").alias("depth"), top.alias("path"), F.col("acc").alias("total"), state.alias("state"))))
+        left = durable(left.where(~over).withColumn("cand", ~F.col("end") & (F.col("n") == 1) & (F.col("p") != F.col("v")) & coin("v")))
         blocked = left.where("cand").select("s", F.col("v").alias("p"), F.lit(True).alias("up_cand"))
         cut = durable(left.where("cand").join(blocked, ["s", "p"], "left").where("up_cand IS NULL").select("s", "v", F.col("p").alias("p2"), F.col("w").alias("w2"), F.col("seg").alias("seg2"), F.col("acc").alias("acc2"), F.col("extra").alias("extra2")))
         kept = left.join(cut.select("s", "v"), ["s", "v"], "left_anti").drop("n", "cand")
@@ -295,6 +301,8 @@ def _large(rows: DataFrame, full: bool, limit: int) -> DataFrame:
             F.when(hit, F.col("extra") + F.col("acc2") + F.col("extra2")).otherwise(F.col("extra")).alias("extra"),
         ))
     done = durable(live.groupBy("s").applyInPandas(_core, "s string, v string, r string, depth bigint, path string, total bigint, state int"))
+    for part in ended:
+        done = done.unionByName(part)
     for step in reversed(log):
         up = done.select("s", F.col("v").alias("p"), "r", F.col("depth").alias("d0"), F.col("path").alias("path0"), F.col("state").alias("s0"))
         below = done.select("s", F.col("v").alias("c"), F.col("total").alias("t1"), F.col("state").alias("s1"))

@@ -161,3 +161,23 @@ def test_large_equals_small(spark):
     wanted = entry.where("file_id IN ('f3', 'f9')").select("snapshot", "file_id")
     got = [{tuple(r) for r in T.subtree_filter(entry, inv, wanted, limit=n).collect()} for n in (10**6, 12)]
     assert got[0] == got[1] and {r[0] for r in got[1]} == set(cases)
+
+
+def test_ends_and_cycles_above_the_limit(spark, monkeypatch):
+    calls = []
+
+    def counted(df, durable=H.durable):
+        calls.append(1)
+        assert len(calls) < 60, "the rounds do not end"
+        return durable(df)
+
+    monkeypatch.setattr(H, "durable", counted)
+    cases = {
+        "loose": [(f"f{i}", None if i % 2 else "gone", f"n{i}") for i in range(20)],
+        "loops": [(f"f{i}", f"f{i}", f"n{i}") for i in range(12)] + [("g0", "g1", "a"), ("g1", "g0", "b"), ("h", "g0", "c")],
+        "whole": tree(random.Random(5), 5, 0),
+    }
+    entry = spark.createDataFrame([(s, f, p, n) for s, es in cases.items() for f, p, n in es], ENTRY)
+    inv = spark.createDataFrame([(s, "root") for s in cases], INV)
+    small, large = (sorted(map(tuple, H.hierarchy(entry, inv, limit=n).collect()), key=repr) for n in (10**6, 10))
+    assert small == large and {r[0] for r in large} == set(cases)
