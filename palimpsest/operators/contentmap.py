@@ -3,6 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.index import starting_with
+from palimpsest.plans.durable import durable
+
 
 def map_changes(new: DataFrame, basis: DataFrame, by: list[str]) -> DataFrame:
     """(by, old, new) for keys whose values differ; a null old is only in new, a null new only in basis."""
@@ -16,14 +19,8 @@ def multi_root_difference(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def map_filter(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of exact keys, and for shorter tuples all rows that start with their elements."""
-    sizes = sorted(r[0] for r in keys.select(F.size("key")).distinct().limit(16).collect())
-    out = None
-    for n in sizes:
-        wanted = keys.where(F.size("key") == n).select(F.col("key").alias("_p")).distinct()
-        part = rows.withColumn("_p", F.slice("key", 1, n)).join(wanted, "_p", "left_semi").drop("_p")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct() if out is not None else rows.limit(0)
+    """Distinct rows of exact keys, and for shorter tuples all rows that start with their elements; tuples of any lengths."""
+    return starting_with(rows, keys.select(F.col("key").alias("prefix")), []).distinct()
 
 
 def apply_map_delta(rows: DataFrame, delta: DataFrame) -> DataFrame:
@@ -38,21 +35,48 @@ def apply_map_delta(rows: DataFrame, delta: DataFrame) -> DataFrame:
     return one.select("key", F.when(F.col("n") > 1, F.raise_error(F.lit("an added key exists"))).otherwise(F.col("value")).alias("value"))
 
 
+FAN = 4096  # rows that a digest page holds on average
+
+
 def bucket_digests(rows: DataFrame, digits: int = 2) -> DataFrame:
-    """Merkle leaves: per bucket of the key's hash the number of rows and a digest of keys and values in key order."""
+    """Merkle digests: per bucket of ``digits`` hexadecimal digits of the key's hash its rows and a digest of digests.
+
+    Rows (a key each) are laid into pages by more digits of the same hash, as many as keep
+    pages at about FAN rows; a page's digest covers its rows' digests in order of key hash, a
+    bucket's digest those of its pages in order. Equal contents have equal digests, at any
+    number of partitions; pages are found from the number of rows alone.
+    """
     line = F.concat_ws("\0", "key", F.coalesce("value", F.lit("")))
-    b = rows.select(F.substring(F.sha1("key"), 1, digits).alias("bucket"), "key", F.sha1(line).alias("d"))
-    return b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"), F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "d"))), lambda x: x["d"]), "")).alias("digest"))
+    deep, n = digits, rows.count()
+    while n > FAN * 16**deep and deep < 40:
+        deep += 1
+    b = rows.select(F.sha1("key").alias("h"), F.sha1(line).alias("d"))
+    digest = lambda: F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "d"))), lambda x: x["d"]), ""))
+    pages = b.groupBy(F.substring("h", 1, deep).alias("page")).agg(F.count(F.lit(1)).alias("n"), digest().alias("d"))
+    out = pages.select(F.substring("page", 1, digits).alias("bucket"), F.col("page").alias("h"), "n", "d").groupBy("bucket")
+    return out.agg(F.sum("n").alias("n_rows"), digest().alias("digest"))
 
 
 def split_pages(rows: DataFrame, most: int) -> DataFrame:
     """Pages of a search-key trie: the shortest prefix of each key below which at most ``most`` bytes lie.
 
-    Sizes of all prefixes come from one aggregation; a page is the first prefix on a key's way that fits.
+    One digit a round: a page that is too large is split by the next digit, all others are
+    done, so a key is looked at as often as its page's prefix is long, never per prefix of
+    its own. A page of a single key is never split; keys that end are pages of their own.
+    Rows of one key lie in one page.
     """
-    sized = rows.withColumn("n", F.length("key") + F.length(F.coalesce("value", F.lit(""))))
-    prefixes = sized.select("key", "n", F.explode(F.sequence(F.lit(0), F.length("key"))).alias("i")).withColumn("p", F.substring("key", F.lit(1), F.col("i")))
-    sums = prefixes.groupBy("p").agg(F.sum("n").alias("bytes"), F.count(F.lit(1)).alias("n_items"))
-    fits = prefixes.select("key", "p", "i").join(sums.where((F.col("bytes") <= most) | (F.col("n_items") == 1)), "p")
-    page = fits.groupBy("key").agg(F.min(F.struct("i", "p", "bytes", "n_items")).alias("f"))
-    return page.select(F.col("f.p").alias("page"), F.col("f.bytes").alias("bytes"), F.col("f.n_items").alias("n_items")).distinct()
+    at = rows.select("key", (F.length("key") + F.length(F.coalesce("value", F.lit("")))).cast("bigint").alias("n"))
+    at = at.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    done, depth = None, 0
+    while True:
+        page = F.substring("key", 1, depth)
+        sums = at.groupBy(page.alias("page")).agg(F.sum("n").alias("bytes"), F.sum("k").alias("n_items"), F.count(F.lit(1)).alias("keys"), F.max(F.length("key")).alias("longest"))
+        sums = durable(sums)
+        over = (F.col("bytes") > most) & (F.col("keys") > 1) & (F.col("longest") > depth)
+        fits = sums.where(~over).select("page", "bytes", "n_items")
+        done = fits if done is None else done.unionByName(fits)
+        large = sums.where(over).select("page")
+        if large.isEmpty():
+            return done
+        at = at.withColumn("page", page).join(large, "page", "left_semi").drop("page")
+        depth += 1

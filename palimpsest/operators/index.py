@@ -35,15 +35,29 @@ def missing_keys(nodes: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.select("index_name", "key").distinct().join(present(nodes).select("index_name", "key"), ["index_name", "key"], "left_anti")
 
 
+def lengths(keys: DataFrame, key: str) -> list[int]:
+    """Distinct tuple lengths; there are no more of them than elements in the longest tuple."""
+    return sorted(r[0] for r in keys.where(F.col(key).isNotNull()).select(F.size(key)).distinct().collect())
+
+
+def starting_with(rows: DataFrame, prefixes: DataFrame, by: list[str], key: str = "key", prefix: str = "prefix") -> DataFrame:
+    """Rows whose ``key`` starts with the elements of some ``prefix`` and that agree on ``by``; each row at most once for each of its prefixes.
+
+    Every row is repeated for the requested lengths that it has, and met in one semi join.
+    """
+    sizes = lengths(prefixes, prefix)
+    mine = F.filter(F.array(*[F.lit(n) for n in sizes]) if sizes else F.array().cast("array<int>"), lambda n: n <= F.size(key))
+    wanted = prefixes.where(F.col(prefix).isNotNull()).select(*by, F.col(prefix).alias("_prefix")).distinct()
+    return rows.withColumn("_n", F.explode(mine)).withColumn("_prefix", F.slice(key, F.lit(1), F.col("_n"))).join(wanted, [*by, "_prefix"], "left_semi").drop("_n", "_prefix")
+
+
 def prefix_lookup(nodes: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Rows whose first key elements equal a prefix, a (prefix ARRAY, arity) table; elements, never bytes."""
-    wanted = prefixes.select("index_name", F.col("prefix"), F.size("prefix").alias("n")).distinct()
-    sizes = [r["n"] for r in wanted.select("n").distinct().limit(16).collect()]
-    rows, out = combined(nodes), None
-    for n in sizes:  # one equi-join a prefix length
-        part = rows.withColumn("prefix", F.slice("key", 1, n)).join(wanted.where(F.col("n") == n).drop("n"), ["index_name", "prefix"], "left_semi").drop("prefix")
-        out = part if out is None else out.unionByName(part)
-    return (out if out is not None else rows.limit(0)).distinct()
+    """Rows of the combined index whose first key elements equal a prefix of (index_name, prefix); elements, never bytes.
+
+    Any number of prefix lengths; the empty prefix asks for the whole index, a null one for
+    nothing. A row that several prefixes name comes once.
+    """
+    return starting_with(combined(nodes), prefixes, ["index_name"]).dropDuplicates(["index_name", "key"])
 
 
 def prefix_view(nodes: DataFrame, prefix: list[str]) -> DataFrame:

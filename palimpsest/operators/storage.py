@@ -4,10 +4,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Fixed values of the policies.
+# Fixed values of the policies; sizes in bytes.
 MIN_WELL_USED = 0.75
-FULL_BLOCK = 3 * 1024 * 1024
-FULL_MIXED_BLOCK = 3 * 512 * 1024
+FULL_BLOCK = 3_145_728
+FULL_MIXED_BLOCK = 1_572_864
 
 
 def block_actions(ranges: DataFrame) -> DataFrame:

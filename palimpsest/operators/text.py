@@ -6,9 +6,11 @@ one pair of texts a row, so nothing is collected beyond one row.
 
 import hashlib
 from bisect import bisect_left
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalars
@@ -206,49 +208,51 @@ def plan_base(plan: list[tuple[str, str]]) -> list[str]:
     return [x for s, x in plan if s in ("unchanged", "killed-a", "killed-b", "killed-both")]
 
 
-def plan_groups(plan: list[tuple[str, str]]) -> list[tuple]:
-    """(lines,) where both sides agree or one changed, (a lines, b lines) for conflicts; each unchanged line stands alone."""
-    out, la, lb, ca, cb = [], [], [], False, False
-
-    def flush():
-        nonlocal la, lb, ca, cb
-        if la or lb or ca or cb:
-            if ca and not cb:
-                out.append((la,))
-            elif cb and not ca:
-                out.append((lb,))
-            elif la == lb:
-                out.append((la,))
-            else:
-                out.append((la, lb))
-        la, lb, ca, cb = [], [], False, False
-
-    for state, line in plan:
-        if state == "unchanged":
-            flush()
-            out.append(([line],))
-        elif state == "killed-a":
-            ca = True
-            lb.append(line)
-        elif state == "killed-b":
-            cb = True
-            la.append(line)
-        elif state == "new-a":
-            ca = True
-            la.append(line)
-        elif state == "new-b":
-            cb = True
-            lb.append(line)
-        elif state in ("conflicted-a",):
-            ca = cb = True
-            la.append(line)
-        elif state in ("conflicted-b",):
-            ca = cb = True
-            lb.append(line)
-        elif state == "killed-both":
-            ca = cb = True
-    flush()
-    return [g for g in out if any(g)]
+#: fixed values: for each state of a plan line, whether a's text holds it, b's text holds it, a changed there, b changed there
+SIDES = {
+    "unchanged": (1, 1, 0, 0), "killed-a": (0, 1, 1, 0), "killed-b": (1, 0, 0, 1), "killed-both": (0, 0, 1, 1), "new-a": (1, 0, 1, 0), "new-b": (0, 1, 0, 1),
+    "conflicted-a": (1, 0, 1, 1), "conflicted-b": (0, 1, 1, 1),
+}
+
+
+def merged_segments(plan: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, segment, a, b, lines, conflict): plan lines (key, pos, state, line) cut at the lines that both sides keep.
+
+    A segment is one kept line or all lines between two kept ones. Its result is a's text if
+    only a changed it or both agree, b's if only b did; else lines is null and conflict true.
+    Lines of other states belong to neither side. Segments without any line are left out.
+    """
+    side = F.create_map(*[x for k, v in SIDES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    order = W.partitionBy(key).orderBy("pos")
+    kept = (F.col("state") == "unchanged").cast("int")
+    # every kept line takes an odd number, the lines between two kept ones the even number between
+    numbered = plan.withColumn("segment", 2 * F.sum(kept).over(order) - kept).withColumn("s", F.coalesce(F.try_element_at(side, F.col("state")), F.array(*[F.lit(0)] * 4)))
+    text_of = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("s")[k] == 1, F.struct("pos", "line")))), lambda x: x["line"])
+    seg = numbered.groupBy(key, "segment").agg(text_of(0).alias("a"), text_of(1).alias("b"), F.max(F.col("s")[2]).alias("ca"), F.max(F.col("s")[3]).alias("cb"))
+    one = F.when(F.col("cb") == 0, F.col("a")).when((F.col("ca") == 0) | (F.col("a") == F.col("b")), F.col("b"))
+    return seg.withColumn("lines", one).select(key, "segment", "a", "b", "lines", F.col("lines").isNull().alias("conflict")).where("size(a) + size(b) > 0")
+
+
+def merged_texts(plan: DataFrame, key: str = "doc_id", a: str = "<<<<<<< \n", mid: str = "=======\n", b: str = ">>>>>>> \n") -> DataFrame:
+    """(key, text, n_conflicts) of each plan: segments in order, conflicts between markers."""
+    marked = F.concat(F.array(F.lit(a)), F.col("a"), F.array(F.lit(mid)), F.col("b"), F.array(F.lit(b)))
+    seg = merged_segments(plan, key).select(key, "segment", F.when(F.col("conflict"), marked).otherwise(F.col("lines")).alias("out"), F.col("conflict").cast("int").alias("c"))
+    whole = F.array_sort(F.collect_list(F.struct("segment", "out")))
+    return seg.groupBy(key).agg(F.array_join(F.flatten(F.transform(whole, lambda x: x["out"])), "").alias("text"), F.sum("c").alias("n_conflicts"))
+
+
+def plan_groups(plan: list[tuple[str, str]]) -> list[tuple[list[str], ...]]:
+    """The segments of one short plan: (lines,), or (a lines, b lines) for a conflict."""
+    out = []
+    number = accumulate((s == "unchanged" for s, _ in plan), initial=0)
+    for _, part in groupby(zip(number, plan), key=lambda x: (x[0], x[1][0] == "unchanged")):
+        rows = [(SIDES.get(state, (0, 0, 0, 0)), line) for _, (state, line) in part]
+        texts = [[line for s, line in rows if s[k]] for k in (0, 1)]
+        changed = {k for k in (0, 1) for s, _ in rows if s[2 + k]}
+        merged = texts[:1] if changed <= {0} or texts[0] == texts[1] else texts[1:] if changed == {1} else texts
+        if any(merged):
+            out.append(tuple(merged))
+    return out
 
 
 def rendered(groups: list[tuple], a: str = "<<<<<<< \n", mid: str = "=======\n", b: str = ">>>>>>> \n") -> list[str]:
@@ -295,24 +299,37 @@ def weave_text(rows: list[tuple[int, tuple[int, ...], str]], included: set[int])
     return [(i, x) for i, d, x in rows if i in included and not (set(d) & included)]
 
 
-def weave_plan(rows: list[tuple[int, tuple[int, ...], str]], a: set[int], b: set[int]) -> list[tuple[str, str]]:
-    """Merge plan of two versions of a weave by membership in their ancestries; the order of tests matters."""
-    common, out = a & b, []
-    for ins, dels, x in rows:
-        d = set(dels)
-        if d & common:
-            state = "killed-base"
-        elif ins in common:
-            ka, kb = bool(d & a), bool(d & b)
-            state = "killed-both" if ka and kb else "killed-a" if ka else "killed-b" if kb else "unchanged"
-        elif ins in a:
-            state = "ghost-a" if d & a else "new-a"
-        elif ins in b:
-            state = "ghost-b" if d & b else "new-b"
-        else:
-            state = "irrelevant"
-        out.append((state, x))
-    return out
+#: fixed values: state of a weave line by where it was inserted (c both ancestries, a or b one of them) and where deleted
+WEAVE_STATES = {
+    "c": "unchanged", "ca": "killed-a", "cb": "killed-b", "cab": "killed-both", "cc": "killed-base",
+    "a": "new-a", "aa": "ghost-a", "b": "new-b", "bb": "ghost-b",
+}
+
+
+def weave_state(ins: Column, dels: Column, a: Column, b: Column) -> Column:
+    """State of a weave line (inserted by ``ins``, deleted by the versions ``dels``) in the merge of two ancestries a and b.
+
+    A key of WEAVE_STATES is spelt from set membership: one letter for the insertion, then
+    the sides that deleted it; a deletion that both ancestries share settles the line alone.
+    """
+    both = F.array_intersect(a, b)
+    in_a, in_b = F.array_contains(a, ins), F.array_contains(b, ins)
+    put = F.when(in_a & in_b, "c").when(in_a, "a").when(in_b, "b").otherwise("-")
+    gone = lambda side, mark: F.when(F.arrays_overlap(dels, side), mark).otherwise("")
+    cut = F.when(put == "c", F.concat(gone(a, "a"), gone(b, "b"))).when(put == "a", gone(a, "a")).when(put == "b", gone(b, "b")).otherwise("")
+    spelt = F.when(F.arrays_overlap(dels, both), "cc").otherwise(F.concat(put, cut))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in WEAVE_STATES.items() for x in kv]), spelt), F.lit("irrelevant"))
+
+
+def weave_plan(weaves: DataFrame, pairs: DataFrame, key: str = "weave") -> DataFrame:
+    """(key, pos, state, line): merge plans from weave lines (key, pos, ins, dels, line) and one pair of ancestries (key, a, b) a weave."""
+    return weaves.join(pairs.select(key, "a", "b"), key).select(key, "pos", weave_state(F.col("ins"), F.col("dels"), F.col("a"), F.col("b")).alias("state"), "line")
+
+
+def weave_texts(weaves: DataFrame, versions: DataFrame, key: str = "weave") -> DataFrame:
+    """(key, version, pos, origin, line): the annotated text of each version (key, version, ancestry with itself) of a weave."""
+    here = F.array_contains("ancestry", F.col("ins")) & ~F.arrays_overlap("dels", "ancestry")
+    return weaves.join(versions.select(key, "version", "ancestry"), key).where(here).select(key, "version", "pos", F.col("ins").alias("origin"), "line")
 
 
 def sha1_lines(lines: list[str]) -> str:

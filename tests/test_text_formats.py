@@ -35,7 +35,34 @@ def test_multi_parent_weave_and_merge(base, a, b):
     assert text.plan_base(plan) == base
     assert [x for s, x in plan if s in ("unchanged", "killed-b", "new-a")] == a
     assert [x for s, x in plan if s in ("unchanged", "killed-a", "new-b")] == b
-    assert [x for s, x in text.weave_plan(rows, {0, 1}, {0, 2}) if s in ("unchanged", "killed-b", "new-a")] == a
+
+
+def test_weave_plan(spark):
+    base, a, b = ["a\n", "b\n", "c\n", "d\n"], ["a\n", "x\n", "c\n"], ["b\n", "y\n", "c\n", "d\n"]
+    rows = text.weave([("0", [], base), ("1", ["0"], a), ("2", ["0"], b), ("3", ["1", "2"], a)])
+    weaves = spark.createDataFrame([("w", k, i, list(d), x) for k, (i, d, x) in enumerate(rows)], "weave string, pos int, ins int, dels array<int>, line string")
+    pairs = spark.createDataFrame([("w", [0, 1], [0, 2])], "weave string, a array<int>, b array<int>")
+    plan = [(r.state, r.line) for r in text.weave_plan(weaves, pairs).orderBy("pos").collect()]
+    assert [x for s, x in plan if s in ("unchanged", "killed-b", "new-a")] == a and [x for s, x in plan if s in ("unchanged", "killed-a", "new-b")] == b
+    got = text.weave_texts(weaves, spark.createDataFrame([("w", 3, [0, 1, 2, 3])], "weave string, version int, ancestry array<int>")).orderBy("pos").collect()
+    assert [r.line for r in got] == a
+    state = lambda i, d: spark.range(1).select(text.weave_state(F.lit(i), F.array(*map(F.lit, d)).cast("array<int>"), F.array(F.lit(0), F.lit(1)), F.array(F.lit(0), F.lit(2)))).first()[0]
+    want = {(0, ()): "unchanged", (0, (1,)): "killed-a", (0, (2,)): "killed-b", (0, (1, 2)): "killed-both", (0, (0,)): "killed-base", (1, ()): "new-a", (1, (1,)): "ghost-a", (1, (2,)): "new-a", (2, ()): "new-b", (2, (2,)): "ghost-b", (9, ()): "irrelevant", (9, (0,)): "killed-base"}
+    assert {k: state(*k) for k in want} == want
+
+
+def test_merged_texts(spark):
+    texts = [("1", "1 2 3", "1 x 3", "1 y 3"), ("2", "1 2", "1 x", "1 x"), ("3", "1 2 3", "1 3", "1 2 3 4"), ("4", "a b c", "a c e h g", "f a b g"), ("5", "", "", "")]
+    plans, want = [], {}
+    for k, o, p, q in texts:
+        o, p, q = ([x + "\n" for x in t.split()] for t in (o, p, q))
+        plan = text.merge_plan(o, p, q)
+        plans += [(k, i, s, x) for i, (s, x) in enumerate(plan)]
+        groups = text.plan_groups(plan)
+        if groups:
+            want[k] = ("".join(text.rendered(groups)), sum(len(g) == 2 for g in groups))
+    got = {r.doc_id: (r.text, r.n_conflicts) for r in text.merged_texts(spark.createDataFrame(plans, "doc_id string, pos int, state string, line string")).collect()}
+    assert got == want and got["1"] == ("1\n<<<<<<< \nx\n=======\ny\n>>>>>>> \n3\n", 1) and got["3"] == ("1\n3\n4\n", 0)
 
 
 def test_golden_merge():
