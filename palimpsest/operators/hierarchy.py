@@ -109,12 +109,24 @@ def preorder(parent: np.ndarray, total: np.ndarray, done: Contraction, order: np
     return done.sums(off)
 
 
-def _link(node: np.ndarray, up: np.ndarray, has_up: np.ndarray, is_head: np.ndarray):
-    """Distinct nodes: row of each (-1: a root id without entry), parent position or -1, root flag."""
-    order = np.lexsort((is_head, node))
+def _link(node: np.ndarray, up: np.ndarray, has_up: np.ndarray, is_head: np.ndarray, name: pa.ChunkedArray | None = None):
+    """Distinct nodes: row of each, parent position or -1, root flag.
+
+    Of rows that disagree, the one of least parent hash counts (no parent before any), then
+    of least name (null before any).
+    """
+    order = np.lexsort((up, has_up, is_head, node))
     ids = node[order]
     keep = np.r_[True, ids[1:] != ids[:-1]] if len(ids) else np.zeros(0, bool)
-    pick, ids = order[keep], ids[keep]
+    pick, run = order[keep], np.cumsum(keep) - 1
+    if name is not None and not keep.all():
+        first = pick[run]
+        tied = ~keep & (up[order] == up[first]) & (has_up[order] == has_up[first]) & (is_head[order] == is_head[first])
+        rank = lambda i: ((x := name[int(i)].as_py()) is not None, x or "")
+        for k in np.flatnonzero(tied).tolist():
+            if rank(order[k]) < rank(pick[run[k]]):
+                pick[run[k]] = order[k]
+    ids = ids[keep]
     roots = np.unique(node[is_head])
     root = np.isin(ids, roots)
     at = np.searchsorted(ids, up[pick])
@@ -154,7 +166,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _solve(t: pa.Table, full: bool) -> pa.Table:
     node, up = t.column("node").to_numpy(), t.column("up").to_numpy()
     has_up, is_head = t.column("has_up").to_numpy(), t.column("is_head").to_numpy()
-    pick, parent, is_root = _link(node, up, has_up, is_head)
+    pick, parent, is_root = _link(node, up, has_up, is_head, t.column("name") if full else None)
     done = Contraction(parent, np.ones(len(parent), np.int64), np.zeros(len(parent), np.int64)).run()
     root, total, on = done.expand()
     state = _states(done, root, on, is_root)
@@ -220,8 +232,8 @@ def hierarchy(entry: DataFrame, inventory: DataFrame, full: bool = True, limit:
     the root, which is ``/``; null names count as empty. Descendants of a node are the rows
     of its snapshot and root whose first_place lies in the n_descendants places after its own.
     root, depth, path and first_place are null on and below cycles, n_descendants on cycles.
-    Rows without snapshot or file_id are ignored, repeated rows count once, a snapshot
-    without head has no ok entries. Without ``full`` only entries that are not ok are returned.
+    Rows without snapshot or file_id are ignored, repeated rows count once (of those that
+    disagree the one of least parent hash, then of least name), a snapshot without head has no ok entries. Without ``full`` only entries that are not ok are returned.
     """
     rows = _rows(entry, inventory, full)
     big = rows.groupBy("snapshot").count().where(F.col("count") > limit).select("snapshot")
@@ -262,9 +274,10 @@ def _places(first: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def _large(rows: DataFrame, full: bool, limit: int) -> DataFrame:
-    name = F.coalesce("name", F.lit("")) if full else F.lit("")
+    name = F.col("name") if full else F.lit("")
+    row = F.struct(F.col("parent_id").isNotNull(), F.xxhash64("snapshot", F.coalesce("parent_id", F.lit(""))), name.alias("seg"), F.col("parent_id").alias("p"))
     heads = rows.where("is_head").select(F.col("snapshot").alias("s"), F.col("file_id").alias("v")).distinct().withColumn("is_root", F.lit(True))
-    nodes = rows.where("NOT is_head").groupBy(F.col("snapshot").alias("s"), F.col("file_id").alias("v")).agg(F.min("parent_id").alias("p"), F.min(name).alias("seg"))
+    nodes = rows.where("NOT is_head").groupBy(F.col("snapshot").alias("s"), F.col("file_id").alias("v")).agg(F.min(row).alias("r")).select("s", "v", "r.p", "r.seg")
     nodes = nodes.join(heads, ["s", "v"], "full").withColumn("is_root", F.coalesce("is_root", F.lit(False)))
     known = nodes.select("s", F.col("v").alias("p"), F.lit(True).alias("known"))
     first = durable(nodes.join(known, ["s", "p"], "left").select(

@@ -8,7 +8,7 @@ arrival, first arrival as a placeholder, and whether it was removed.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.plans.skew import salted_join
+from palimpsest.plans.skew import bucket_of, pieces, salted_join
 
 NULL_REVISION = "null:"  # fixed value: the id that stands for "no revision"
 
@@ -70,6 +70,16 @@ def references(revision: DataFrame, header: DataFrame, index_node: DataFrame) ->
     return revs.unionAll(heads).unionAll(nodes).where("k IS NOT NULL AND size(refs) > 0")
 
 
+def _hot(refs: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """Hot buckets of the referring and of the target keys, from one counting pass before any join."""
+    own = refs.select(F.lit(0).alias("side"), bucket_of(["k"]).alias("b"))
+    targets = refs.select(F.explode("refs").alias("k")).select(F.lit(1).alias("side"), bucket_of(["k"]).alias("b"))
+    rows = own.unionAll(targets).groupBy("side", "b").count().collect()  # at most two histograms of BUCKETS counters
+    parts = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (pieces({r["b"]: r["count"] for r in rows if r["side"] == side}, parts) for side in (0, 1))
+    return a, b
+
+
 def orphan_references(revision: DataFrame, header: DataFrame, index_node: DataFrame, removed_key: DataFrame) -> DataFrame:
     """tab, field, period, rec_key, ref_key, state of every reference to a deleted, missing or late target.
 
@@ -79,7 +89,9 @@ def orphan_references(revision: DataFrame, header: DataFrame, index_node: DataFr
     """
     valid = validity(revision, header, index_node, removed_key)
     recs = valid.select("k", F.col("here").alias("rec_here"), F.col("gap").alias("rec_gap"))
-    rows = salted_join(references(revision, header, index_node), recs, ["k"], ["refs"])
+    refs = references(revision, header, index_node)
+    hot_recs, hot_targets = _hot(refs)
+    rows = salted_join(refs, recs, ["k"], ["refs"], hot=hot_recs)
     pairs = rows.select(
         "f",
         F.col("k").alias("rec"),
@@ -92,7 +104,7 @@ def orphan_references(revision: DataFrame, header: DataFrame, index_node: DataFr
         .when(F.col("here").isNull(), "missing")
         .when(F.col("here") > F.col("first"), "late")
     )
-    found = salted_join(pairs, targets, ["k"], ["rec"]).withColumn("state", state).where("state IS NOT NULL")
+    found = salted_join(pairs, targets, ["k"], ["rec"], hot=hot_targets).withColumn("state", state).where("state IS NOT NULL")
     named = lambda **by: F.when(F.col("f") == "p", by["p"]).when(F.col("f") == "g", by["g"]).when(F.col("f") == "x", by["x"]).otherwise(by["a"])
     return found.select(
         named(p="revision", g="dirstate_header", x="index_node", a="index_node").alias("tab"),

@@ -1,8 +1,9 @@
 """What changed between the full snapshots of a branch.
 
 Rows shrink to three integers (file hash, snapshot rank, row hash), are bucketed by the
-hash of branch and file, sorted in numpy, and compared with searchsorted set differences
-against the ranks just before and after. Full values are fetched for differing keys only.
+hash of branch and file, sorted in numpy a few buckets at a time, and compared with
+searchsorted set differences against the ranks just before and after. A task holds about
+CHUNK rows whatever the size of its partition. Full values are fetched for differing keys only.
 """
 
 from collections.abc import Iterator
@@ -13,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.plans.skew import small_join
+
 CONTENT = ["parent_id", "name", "kind", "revision", "text_sha1", "text_size", "executable", "symlink_target", "reference_revision"]
+CHUNK = 1 << 20  # rows gathered before whole buckets are compared together
 KINDS = ["added", "removed", "changed"]
 _OUT = "branch_hash long, rank int, file_hash long, change int"
 
@@ -63,20 +67,37 @@ def differing(branch: np.ndarray, file: np.ndarray, rank: np.ndarray, last: np.n
     return [branch[i], rank[i] + (kind == 1), file[i], kind]
 
 
-def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(5)] for b in batches if b.num_rows]
-    if not got:
-        return
-    b, r, f, c = differing(*(np.concatenate(x) for x in zip(*got)))
-    for lo in range(0, len(b), 65536):
-        s = slice(lo, lo + 65536)
-        yield pa.record_batch([pa.array(b[s]), pa.array(r[s].astype(np.int32)), pa.array(f[s]), pa.array(c[s].astype(np.int32))], ["branch_hash", "rank", "file_hash", "change"])
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole buckets, about CHUNK rows at a time; the input is sorted by bucket, the last column."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)])
+        rows += b.num_rows
+        if rows >= CHUNK:
+            cols = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.searchsorted(cols[-1], cols[-1][-1]))
+            if cut:
+                yield [c[:cut] for c in cols]
+            held, rows = [[c[cut:] for c in cols]], rows - cut
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for branch, file, rank, last, row, _ in _whole(batches):
+        b, r, f, c = differing(branch, file, rank, last, row)
+        for lo in range(0, len(b), 65536):
+            s = slice(lo, lo + 65536)
+            yield pa.record_batch([pa.array(b[s]), pa.array(r[s].astype(np.int32)), pa.array(f[s]), pa.array(c[s].astype(np.int32))], ["branch_hash", "rank", "file_hash", "change"])
 
 
 def compact(entry: DataFrame, inventory: DataFrame) -> DataFrame:
     """branch_hash, file_hash, rank, last, row_hash of every entry of a named snapshot, once each."""
     rows = entry.where("snapshot IS NOT NULL AND file_id IS NOT NULL").select("snapshot", F.xxhash64("file_id").alias("file_hash"), row_hash(CONTENT).alias("row_hash"))
-    joined = rows.join(heads(inventory), "snapshot")
+    joined = small_join(rows, heads(inventory), ["snapshot"], ["file_hash"])
     return joined.groupBy("branch_hash", "file_hash", "rank", "last", "row_hash").agg(F.lit(1).alias("_one")).drop("_one")
 
 
@@ -88,21 +109,24 @@ def snapshot_changes(entry: DataFrame, inventory: DataFrame) -> DataFrame:
     repeated rows count once; null equals null. Of two rows of one entry that differ, the
     one with the least row hash counts. Keys are 64-bit hashes.
     """
-    buckets = compact(entry, inventory).select("branch_hash", "file_hash", "rank", "last", "row_hash").repartition("branch_hash", "file_hash")
-    diff = buckets.mapInArrow(_bucket, _OUT)
+    keyed = compact(entry, inventory).select("branch_hash", "file_hash", "rank", "last", "row_hash", F.shiftrightunsigned(F.xxhash64("branch_hash", "file_hash"), 44).alias("bucket"))
+    diff = keyed.repartition("branch_hash", "file_hash").sortWithinPartitions("bucket").mapInArrow(_diff, _OUT)
     names = entry.where("file_id IS NOT NULL").select("file_id").distinct().withColumn("file_hash", F.xxhash64("file_id"))
-    return (
-        diff.join(heads(inventory).select("snapshot", "branch_hash", "rank"), ["branch_hash", "rank"])
-        .join(names, "file_hash")
-        .select("snapshot", "file_id", F.element_at(F.array(*map(F.lit, KINDS)), F.col("change") + 1).alias("change"))
-    )
+    located = small_join(diff, heads(inventory).select("snapshot", "branch_hash", "rank"), ["branch_hash", "rank"], ["file_hash"])
+    return located.join(names, "file_hash").select("snapshot", "file_id", F.element_at(F.array(*map(F.lit, KINDS)), F.col("change") + 1).alias("change"))
 
 
 def changed_values(entry: DataFrame, inventory: DataFrame) -> DataFrame:
-    """The changes with the values of the newer entry, or of the older one where it was removed."""
+    """The changes with the values of the newer entry, or of the older one where it was removed.
+
+    Only rows of differing keys are aggregated; of rows of one entry that differ, the whole
+    row of least hash is given, the one that ``snapshot_changes`` compared.
+    """
     found = snapshot_changes(entry, inventory)
     w = W.partitionBy("branch").orderBy("seq")
-    before = inventory.groupBy("branch", "seq").agg(F.min("snapshot").alias("snapshot")).select("snapshot", F.lag("snapshot").over(w).alias("older"))
-    where = found.join(before, "snapshot").withColumn("at", F.when(F.col("change") == "removed", F.col("older")).otherwise(F.col("snapshot")))
-    values = entry.groupBy(F.col("snapshot").alias("at"), "file_id").agg(*[F.min(c).alias(c) for c in CONTENT])
-    return where.join(values, ["at", "file_id"]).select("snapshot", "file_id", "change", *CONTENT)
+    one = inventory.where("snapshot IS NOT NULL AND branch IS NOT NULL AND seq IS NOT NULL").groupBy("branch", "seq").agg(F.min("snapshot").alias("snapshot"))
+    before = one.select("snapshot", F.lag("snapshot").over(w).alias("older"))
+    where = small_join(found, before, ["snapshot"], ["file_id"]).withColumn("at", F.when(F.col("change") == "removed", F.col("older")).otherwise(F.col("snapshot")))
+    rows = entry.select(F.col("snapshot").alias("at"), "file_id", F.struct(row_hash(CONTENT).alias("h"), *CONTENT).alias("row"))
+    values = where.join(rows, ["at", "file_id"]).groupBy("snapshot", "file_id", "change").agg(F.min("row").alias("row"))
+    return values.select("snapshot", "file_id", "change", *[f"row.{c}" for c in CONTENT])

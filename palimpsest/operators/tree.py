@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import name_is_valid
 from palimpsest.operators.hierarchy import LIMIT, hierarchy
+from palimpsest.plans.durable import durable
 
 ENTRY = ["parent_id", "name", "kind", "revision", "text_sha1", "text_size", "executable", "symlink_target", "reference_revision"]
 
@@ -147,17 +148,31 @@ def children_disagreements(entry: DataFrame) -> DataFrame:
     return listed.join(real, ["snapshot", "parent_id", "name", "file_id"], "full").where("listed IS NULL OR real IS NULL").select("snapshot", "parent_id", "name", "file_id", F.col("listed").isNotNull().alias("listed"))
 
 
-def subtree_filter(entry: DataFrame, inventory: DataFrame, wanted: DataFrame, limit: int = LIMIT) -> DataFrame:
+BLOCK = 1 << 16  # places of a depth-first walk that one task looks at together
+
+
+def subtree_filter(entry: DataFrame, inventory: DataFrame, wanted: DataFrame, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
     """Requested entries with all their descendants and ancestors, but not siblings.
 
-    ``wanted`` has snapshot and file_id. Descendants are places in the depth-first walk, so
-    the join is on snapshot and root with a range of places.
+    ``wanted`` has snapshot and file_id. Along the depth-first places of a tree an entry lies
+    below a requested one if the furthest end of those begun so far reaches it, and above one
+    if the next of them lies before its own end: two running extremes, no pairs. Walks are
+    cut into blocks of places, the extremes of earlier and later blocks are carried in, so a
+    snapshot of any size is many small groups.
     """
-    t = hierarchy(entry, inventory, limit=limit).where("first_place IS NOT NULL").select("snapshot", "root", "file_id", "path", F.col("first_place").alias("at"), (F.col("first_place") + F.col("n_descendants")).alias("last"))
-    w = t.join(wanted.select("snapshot", "file_id").distinct(), ["snapshot", "file_id"], "left_semi").select("snapshot", "root", F.col("at").alias("w_at"), F.col("last").alias("w_last"))
-    below = F.col("at").between(F.col("w_at"), F.col("w_last"))
-    above = F.col("w_at").between(F.col("at"), F.col("last"))
-    return t.join(w, ["snapshot", "root"]).where(below | above).select("snapshot", "file_id", "path").distinct()
+    ask = wanted.select("snapshot", "file_id").distinct().withColumn("asked", F.lit(True))
+    t = hierarchy(entry, inventory, limit=limit).where("first_place IS NOT NULL").join(ask, ["snapshot", "file_id"], "left")
+    at, last = F.col("first_place"), F.col("first_place") + F.col("n_descendants")
+    t = durable(t.select("snapshot", "root", "file_id", "path", at.alias("at"), last.alias("last"), F.when(F.col("asked"), last).alias("ends"), F.when(F.col("asked"), at).alias("begins"), F.floor(at / block).alias("block")))
+    by = ["snapshot", "root", "block"]
+    sums = t.groupBy(*by).agg(F.max("ends").alias("ends"), F.min("begins").alias("begins"))
+    tree = W.partitionBy("snapshot", "root").orderBy("block")
+    carried = sums.select(*by, F.max("ends").over(tree.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.min("begins").over(tree.rowsBetween(1, W.unboundedFollowing)).alias("after"))
+    walk = W.partitionBy(*by).orderBy("at")
+    reach = F.greatest("before", F.max("ends").over(walk.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    ahead = F.least("after", F.min("begins").over(walk.rowsBetween(W.currentRow, W.unboundedFollowing)))
+    seen = t.join(carried, by).select("snapshot", "file_id", "path", "at", "last", reach.alias("reach"), ahead.alias("ahead"))
+    return seen.where("reach >= at OR ahead <= last").select("snapshot", "file_id", "path")
 
 
 def depth_first(entry: DataFrame, inventory: DataFrame) -> DataFrame:

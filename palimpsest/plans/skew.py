@@ -1,45 +1,55 @@
 """Equi-joins that stay balanced when one key holds a large share of the rows."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 4096  # buckets of the key histogram: the most rows it can send to the driver
 HOT = 64  # a bucket is hot above 1/HOT of all rows, so fewer than HOT are hot
-SALTS = 32  # pieces a hot bucket is split into
+FEW = 10_000  # rows below which no bucket is worth splitting
+SMALL = 200_000  # rows up to which a side is broadcast
 
 
 def bucket_of(keys: list[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
-def hot_buckets(df: DataFrame, keys: list[str]) -> list[int]:
-    """Key buckets with more than 1/HOT of all rows, found by one counting pass.
+def pieces(counts: dict[int, int], partitions: int) -> dict[int, int]:
+    """Hot buckets and the number of pieces that brings each down to an even share of the rows."""
+    total = sum(counts.values())
+    even = max(1, total // max(HOT, partitions))
+    return {b: -(-n // even) for b, n in counts.items() if n > max(total / HOT, FEW)}
+
+
+def hot_buckets(df: DataFrame, keys: list[str]) -> dict[int, int]:
+    """Pieces of each key bucket with more than 1/HOT of all rows, found by one counting pass.
 
     Counts are combined map-side; at most BUCKETS rows of two integers reach the driver.
     """
     counts = df.select(bucket_of(keys).alias("b")).groupBy("b").count().collect()
-    total = sum(r["count"] for r in counts)
-    return sorted(r["b"] for r in counts if r["count"] > max(total / HOT, 10_000))
+    return pieces({r["b"]: r["count"] for r in counts}, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "left") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "left", hot: dict[int, int] | None = None) -> DataFrame:
     """Sort-merge join of ``left`` with ``right`` on ``keys``.
 
-    Rows of hot key buckets on the left are split into SALTS pieces by the hash of the
-    ``spread`` columns; the matching right rows, and only those, are repeated per piece.
-    Both sides are shuffled on the same columns, sorted and merged linearly.
-    ``right`` should hold few rows a key; null keys match nothing.
+    Rows of hot key buckets on the left are split into pieces by the hash of the ``spread``
+    columns, as many as their measured share asks for; the matching right rows, and only
+    those, are repeated per piece. Both sides are shuffled on the same columns, sorted and
+    merged linearly. ``right`` should hold few rows a key; null keys match nothing. ``hot``
+    is the result of ``hot_buckets`` where the left side would be costly to count here.
     """
-    hot = hot_buckets(left, keys)
+    if hot is None:
+        hot = hot_buckets(left, keys)
     if not hot:
         return left.join(right.hint("merge"), keys, how)
-    is_hot = reduce(lambda a, b: a | b, [F.col("_bucket") == b for b in hot])
-    lhs = left.withColumn("_bucket", bucket_of(keys)).withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
-    )
-    rhs = right.withColumn("_bucket", bucket_of(keys)).withColumn(
-        "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    )
-    return lhs.drop("_bucket").join(rhs.drop("_bucket").hint("merge"), [*keys, "_salt"], how).drop("_salt")
+    n = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), bucket_of(keys)), F.lit(1))
+    lhs = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), n).cast("int"))
+    rhs = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
+    return lhs.join(rhs.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+
+
+def small_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner", most: int = SMALL) -> DataFrame:
+    """Join with a side that is usually small: broadcast only if it holds at most ``most`` rows, else salted sort-merge."""
+    if right.limit(most + 1).count() <= most:
+        return left.join(F.broadcast(right), keys, how)
+    return salted_join(left, right, keys, spread, how)

@@ -159,8 +159,21 @@ def test_large_equals_small(spark):
     for column in next(iter(small.values())):
         assert {k: r[column] for k, r in small.items()} == {k: r[column] for k, r in large.items()}, column
     wanted = entry.where("file_id IN ('f3', 'f9')").select("snapshot", "file_id")
-    got = [{tuple(r) for r in T.subtree_filter(entry, inv, wanted, limit=n).collect()} for n in (10**6, 12)]
+    got = [{tuple(r) for r in T.subtree_filter(entry, inv, wanted, limit=n, block=k).collect()} for n, k in ((10**6, 1 << 16), (12, 4))]
     assert got[0] == got[1] and {r[0] for r in got[1]} == set(cases)
+    above = lambda s, f: chain(cases[s], f)
+    want = {(s, g) for s, es in cases.items() for g, _, _ in es if small[s, g]["first_place"] is not None and any((f in above(s, g) or g in above(s, f)) and small[s, f]["first_place"] is not None for f in ("f3", "f9"))}
+    assert {r[:2] for r in got[0]} == want
+
+
+def test_rows_that_disagree(spark):
+    rows = [("s", "r", None, ""), *[("s", d, "r", d) for d in "ab"], *[("s", "x", p, n) for p, n in (("a", "y"), ("b", "x"), ("a", "x"), ("b", None))], ("s", "z", "x", "z")]
+    seen = set()
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        entry, inv = spark.createDataFrame(rows, ENTRY), spark.createDataFrame([("s", "r")], INV)
+        seen |= {tuple(sorted(map(tuple, H.hierarchy(entry, inv, limit=n).collect()))) for n in (10**6, 1)}
+    assert len(seen) == 1
 
 
 def test_ends_and_cycles_above_the_limit(spark, monkeypatch):
