@@ -88,7 +88,7 @@ ORACLE: dict[str, str] = {
     "p5_values": _P5 + "SELECT * FROM found",
 }
 
-from palimpsest import catalog_formats, catalog_store  # noqa: E402
+from palimpsest import catalog_formats, catalog_store, catalog_versions  # noqa: E402
 
-QUERIES |= catalog_store.QUERIES | catalog_formats.QUERIES
-ORACLE |= catalog_store.ORACLE | catalog_formats.ORACLE
+QUERIES |= catalog_store.QUERIES | catalog_versions.QUERIES | catalog_formats.QUERIES
+ORACLE |= catalog_store.ORACLE | catalog_versions.ORACLE | catalog_formats.ORACLE

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
-from palimpsest.operators import index, text, tree
+from palimpsest import catalog_versions
+from palimpsest.operators import index, tree
 from palimpsest.sources import formats, records
 from palimpsest.sources.tables import table
 
@@ -88,19 +89,18 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_lines bigint, no_eol boolean, sha1 string")
 
 
-@query("binary_deltas")
+@query("binary_deltas", f"""WITH {catalog_versions._RANK} SELECT a.key, strlen(a.body) AS n_bytes, sha1(a.body) AS sha1 FROM list a JOIN list o ON o.branch = a.branch AND o.dir = a.dir AND o.rk = a.rk - 1""")
 def _(s, d):
-    """Byte deltas of each document from its predecessor: sizes, whether a delta is at most half the text, and that it restores it."""
+    """Each directory listing restored from the byte delta to the version before it."""
+    v = catalog_versions.listings(s, d).select("key", "parent", F.encode(F.array_join("lines", ""), "utf-8").alias("newer"))
+    pairs = v.join(v.select(F.col("key").alias("parent"), F.col("newer").alias("older")), "parent").select("key", "older", "newer")
+
     def run(batches):
         for b in batches:
-            out = []
-            for i, o, n in zip(b["doc_id"], b["older"], b["newer"]):
-                source, target = o.encode(), n.encode()
-                delta = records.binary_delta(source, target)
-                out.append((i, len(target), len(delta), len(delta) * 2 <= len(target), records.apply_binary_delta(source, delta) == target))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "delta_bytes", "as_delta", "restored"])
+            got = [records.apply_binary_delta(o, records.binary_delta(o, n)) for o, n in zip(b["older"], b["newer"])]
+            yield pd.DataFrame({"key": b["key"], "n_bytes": [len(x) for x in got], "sha1": [hashlib.sha1(x).hexdigest() for x in got]})
 
-    return text.derived(table(s, d, "documents")).mapInPandas(run, "doc_id bigint, n_bytes bigint, delta_bytes bigint, as_delta boolean, restored boolean")
+    return pairs.mapInPandas(run, "key string, n_bytes bigint, sha1 string")
 
 
 @query("stream_records", """WITH RECURSIVE t AS (SELECT DISTINCT key[1] AS file_id, key[2] AS rev, refs[2][1][2] AS basis FROM index_node WHERE index_name = 'texts' AND NOT coalesce(absent, false)),

@@ -54,9 +54,12 @@ def _(s, d):
     return flat(index.missing_keys(nodes(s, d), keys))
 
 
-@query("prefix_lookup", f"WITH {_COMBINED} SELECT index_name, array_to_string(key, '/') AS key, value FROM combined WHERE index_name = 'texts' AND key[1] IN (SELECT file_id FROM entry)")
+@query("prefix_lookup", f"""WITH {_COMBINED}, gap AS (SELECT DISTINCT index_name, key FROM index_node WHERE absent)
+SELECT index_name, array_to_string(key, '/') AS key, value FROM combined c WHERE EXISTS (SELECT 1 FROM gap g WHERE g.index_name = c.index_name AND g.key[1] = c.key[1] AND (len(g.key) = 2 OR g.key = c.key))""")
 def _(s, d):
-    wanted = table(s, d, "entry").select(F.lit("texts").alias("index_name"), F.array("file_id").alias("prefix"))
+    """All rows that share their first element with a placeholder's key: prefixes of one element, beside whole keys."""
+    gaps = nodes(s, d).where("absent")
+    wanted = gaps.select("index_name", F.slice("key", 1, 1).alias("prefix")).unionAll(gaps.select("index_name", F.col("key").alias("prefix")))
     return flat(index.prefix_lookup(nodes(s, d), wanted).select("index_name", "key", "value"))
 
 
@@ -112,30 +115,38 @@ def _(s, d):
     return flat(index.source_conflicts(nodes(s, d)))
 
 
-# ---- graphs: an event's parents are its number divided by 2 and by 3 ----
+# ---- graphs: the revisions and their parents, ghosts included ----
 
-_DAG = "dag AS (SELECT event_id AS child, event_id // 2 AS parent FROM events WHERE event_id >= 2 UNION SELECT event_id, event_id // 3 FROM events WHERE event_id >= 2)"
+_DAG = "dag AS (SELECT DISTINCT revision_id AS child, unnest(parent_ids) AS parent FROM revision), g AS (SELECT child, parent FROM dag WHERE parent IS NOT NULL AND parent <> 'null:' AND child IS NOT NULL)"
+_HEADS = "tips AS (SELECT DISTINCT revision_id AS tip FROM revision WHERE revision_id IS NOT NULL AND revision_id NOT IN (SELECT parent FROM g))"
 
 
 def dag(s, d):
-    e = table(s, d, "events").where("event_id >= 2").select(F.col("event_id").alias("child"))
-    return e.select("child", F.expr("child div 2").alias("parent"), F.lit(0).alias("ord")).unionAll(e.select("child", F.expr("child div 3").alias("parent"), F.lit(1).alias("ord")))
+    r = table(s, d, "revision")
+    return r.select(F.col("revision_id").alias("child"), F.posexplode("parent_ids").alias("ord", "parent")).where("child IS NOT NULL AND parent IS NOT NULL AND parent <> 'null:'")
+
+
+def revision_nodes(s, d):
+    return table(s, d, "revision").where("revision_id IS NOT NULL").select(F.col("revision_id").alias("node"))
 
 
-def event_nodes(s, d):
-    return table(s, d, "events").select(F.col("event_id").alias("node"))
+@query("ancestry", f"WITH RECURSIVE {_DAG}, {_HEADS}, a AS (SELECT tip, tip AS node FROM tips UNION SELECT a.tip, g.parent FROM a JOIN g ON g.child = a.node) SELECT * FROM a")
+def _(s, d):
+    """Ancestries of all heads, as pairs."""
+    return graph.ancestors(dag(s, d), graph.heads(dag(s, d), revision_nodes(s, d)).withColumnRenamed("node", "tip"))
 
 
-@query("ancestry", f"WITH RECURSIVE {_DAG}, a AS (SELECT max(event_id) AS tip, max(event_id) AS node FROM events UNION SELECT a.tip, dag.parent FROM a JOIN dag ON dag.child = a.node) SELECT * FROM a")
+@query("ancestor_counts", f"WITH RECURSIVE {_DAG}, a AS (SELECT DISTINCT revision_id AS tip, revision_id AS node FROM revision WHERE revision_id IS NOT NULL UNION SELECT a.tip, g.parent FROM a JOIN g ON g.child = a.node) SELECT tip AS node, count(*) AS n_ancestors FROM a GROUP BY 1")
 def _(s, d):
-    tips = table(s, d, "events").agg(F.max("event_id").alias("tip"))
-    return graph.ancestors(dag(s, d), tips)
+    """The size of every revision's ancestry."""
+    return graph.ancestor_counts(dag(s, d), revision_nodes(s, d)).withColumn("n_ancestors", F.col("n_ancestors").cast("bigint"))
 
 
-@query("topo_levels", f"""WITH RECURSIVE {_DAG}, l AS (SELECT event_id AS node, 0 AS level FROM events WHERE event_id < 2 UNION SELECT dag.child, l.level + 1 FROM l JOIN dag ON dag.parent = l.node)
+@query("topo_levels", f"""WITH RECURSIVE {_DAG}, e AS (SELECT * FROM g WHERE parent IN (SELECT revision_id FROM revision)),
+l AS (SELECT DISTINCT revision_id AS node, 0 AS level FROM revision WHERE revision_id IS NOT NULL AND revision_id NOT IN (SELECT child FROM e) UNION SELECT e.child, l.level + 1 FROM l JOIN e ON e.parent = l.node)
 SELECT node, max(level) AS level FROM l GROUP BY 1""")
 def _(s, d):
-    return graph.topological(dag(s, d), event_nodes(s, d))
+    return graph.topological(dag(s, d), revision_nodes(s, d))
 
 
 @query("revision_heads", "SELECT DISTINCT revision_id AS node FROM revision WHERE revision_id NOT IN (SELECT r FROM (SELECT unnest(parent_ids) AS r FROM revision) WHERE r IS NOT NULL)")
@@ -152,16 +163,16 @@ def _(s, d):
     return e.join(r.select(F.col("revision_id").alias("node")), "node", "left_anti").groupBy("node").agg(F.count_distinct("revision_id").alias("n_children"))
 
 
-_PAIRS = "pairs AS (SELECT max(event_id) - k AS a, max(event_id) - 7 - 3 * k AS b FROM events, (SELECT unnest(range(0, 20)) AS k) GROUP BY k)"
-
-
-@query("common_ancestors", f"""WITH RECURSIVE {_DAG}, {_PAIRS}, up AS (SELECT a AS tip, a AS node FROM pairs UNION SELECT b, b FROM pairs UNION SELECT up.tip, dag.parent FROM up JOIN dag ON dag.child = up.node),
-both_ AS (SELECT DISTINCT p.a, p.b, x.node FROM pairs p JOIN up x ON x.tip = p.a JOIN up y ON y.tip = p.b AND y.node = x.node)
-SELECT a, b, node AS lca FROM both_ c WHERE NOT EXISTS (SELECT 1 FROM both_ o JOIN dag ON dag.child = o.node WHERE o.a = c.a AND o.b = c.b AND dag.parent = c.node)""")
+@query("common_ancestors", f"""WITH RECURSIVE {_DAG}, pairs AS (SELECT DISTINCT x.parent AS a, y.parent AS b FROM g x JOIN g y ON x.child = y.child AND x.parent < y.parent),
+up AS (SELECT a AS tip, a AS node FROM pairs UNION SELECT b, b FROM pairs UNION SELECT up.tip, g.parent FROM up JOIN g ON g.child = up.node),
+both_ AS (SELECT p.a, p.b, x.node FROM pairs p JOIN up x ON x.tip = p.a JOIN up y ON y.tip = p.b AND y.node = x.node),
+below AS (SELECT DISTINCT o.a, o.b, g.parent AS node FROM both_ o JOIN g ON g.child = o.node)
+SELECT a, b, node AS lca FROM both_ EXCEPT SELECT a, b, node FROM below""")
 def _(s, d):
-    top = table(s, d, "events").agg(F.max("event_id").alias("m"))
-    pairs = top.select(F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"), "m").select((F.col("m") - F.col("k")).alias("a"), (F.col("m") - 7 - 3 * F.col("k")).alias("b"))
-    return graph.common_ancestors(dag(s, d), pairs)
+    """The merge bases of every two parents of a merge."""
+    e = graph.clean_edges(dag(s, d))
+    pairs = e.withColumnRenamed("parent", "a").join(e.withColumnRenamed("parent", "b"), "child").where("a < b").select("a", "b")
+    return graph.common_ancestors(e, pairs)
 
 
 @query("delta_chains", f"""WITH RECURSIVE {_COMBINED}, l AS (SELECT array_to_string(key, '/') AS key, array_to_string(refs[2][1], '/') AS parent, CAST(split_part(value, ' ', 2) AS DOUBLE) AS size FROM combined WHERE index_name = 'texts'),
@@ -209,11 +220,6 @@ def _(s, d):
     return tree.paired(*tree_tables(s, d)).groupBy("snapshot", tree.describe().alias("change")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("apply_delta", f"WITH {_E}, {_STEP} SELECT e.* FROM e JOIN step USING (snapshot)")
-def _(s, d):
-    return tree.apply_delta(*tree_tables(s, d))
-
-
 _PATHS = f"""{_E}, inv AS (SELECT DISTINCT snapshot, root_id FROM inventory),
 p AS (SELECT e.snapshot, e.file_id, '' AS path, 0 AS depth FROM e JOIN inv ON inv.snapshot = e.snapshot AND inv.root_id = e.file_id
   UNION ALL SELECT e.snapshot, e.file_id, p.path || '/' || coalesce(e.name, ''), p.depth + 1 FROM e JOIN p ON p.snapshot = e.snapshot AND p.file_id = e.parent_id
@@ -285,19 +291,6 @@ def _(s, d):
     return tree.path_states(*tree_tables(s, d))
 
 
-_DELTA = f"""{_PATHS.replace(_E + ",", _PAIR + ",")}, pp AS (SELECT snapshot, file_id, CASE WHEN path = '' THEN '/' ELSE path END AS path FROM p)"""
-
-
-@query("inventory_delta")
-def _(s, d):
-    return tree.delta_order(tree.delta(*tree_tables(s, d)))
-
-
-@query("delta_problems")
-def _(s, d):
-    return tree.delta_problems(tree.delta(*tree_tables(s, d)))
-
-
 # ---- maps ----
 
 
@@ -320,8 +313,9 @@ def _(s, d):
     return contentmap.multi_root_difference(part("b"), part("a"))
 
 
-@query("bucket_digests", """WITH t AS (SELECT DISTINCT revision_id AS key, coalesce(inventory_sha1, '') AS value FROM revision WHERE revision_id IS NOT NULL)
-SELECT substr(sha1(key), 1, 2) AS bucket, count(*) AS n_rows, sha1(string_agg(sha1(key || chr(0) || value), '' ORDER BY key, sha1(key || chr(0) || value))) AS digest FROM t GROUP BY 1""")
+@query("bucket_digests", """WITH t AS (SELECT DISTINCT revision_id AS key, coalesce(inventory_sha1, '') AS value FROM revision WHERE revision_id IS NOT NULL), p AS (
+  SELECT substr(sha1(key), 1, 2) AS bucket, count(*) AS n_rows, sha1(string_agg(sha1(key || chr(0) || value), '' ORDER BY sha1(key), sha1(key || chr(0) || value))) AS d FROM t GROUP BY 1)
+SELECT bucket, n_rows, sha1(d) AS digest FROM p""")
 def _(s, d):
     rows = table(s, d, "revision").where("revision_id IS NOT NULL").select(F.col("revision_id").alias("key"), F.coalesce("inventory_sha1", F.lit("")).alias("value")).distinct()
     return contentmap.bucket_digests(rows)
@@ -335,11 +329,13 @@ def _(s, d):
     return contentmap.split_pages(rows, 4096)
 
 
-@query("map_filter", "SELECT DISTINCT array_to_string(key, '/') AS key, value FROM index_node WHERE index_name = 'texts' AND NOT coalesce(absent, false) AND (key[1] IN (SELECT file_id FROM entry WHERE kind = 'symlink') OR key IN (SELECT [file_id, revision] FROM entry))")
+@query("map_filter", """SELECT DISTINCT array_to_string(key, '/') AS key, value FROM index_node t WHERE index_name = 'texts' AND NOT coalesce(absent, false)
+AND (key[1] IN (SELECT key[1] FROM index_node WHERE index_name = 'texts' AND absent) OR key IN (SELECT unnest(refs[2]) FROM index_node WHERE index_name = 'texts'))""")
 def _(s, d):
-    e = table(s, d, "entry")
-    keys = e.where("kind = 'symlink'").select(F.array("file_id").alias("key")).unionAll(e.where("revision IS NOT NULL").select(F.array("file_id", "revision").alias("key")))
-    return flat(contentmap.map_filter(index.present(nodes(s, d)).where("index_name = 'texts'").select("key", "value"), keys))
+    """Texts of files that lack a version, and all that another text builds on."""
+    t = nodes(s, d).where("index_name = 'texts'")
+    keys = t.where("absent").select(F.slice("key", 1, 1).alias("key")).unionAll(t.select(F.explode(F.expr("try_element_at(refs, 2)")).alias("key")))
+    return flat(contentmap.map_filter(index.present(t).select("key", "value"), keys))
 
 
 @query("map_apply_delta", "SELECT DISTINCT revision_id AS key, coalesce(inventory_sha1, 'none') AS value FROM revision WHERE revision_id IS NOT NULL")
@@ -369,16 +365,6 @@ def _(s, d):
     return text.by_content(table(s, d, "documents"))
 
 
-@query("revision_deltas")
-def _(s, d):
-    return text.revision_deltas(table(s, d, "documents"))
-
-
-@query("merge_plans")
-def _(s, d):
-    return text.merge_plans(table(s, d, "documents"))
-
-
 @query("index_files")
 def _(s, d):
     from palimpsest.sources import formats

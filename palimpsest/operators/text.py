@@ -131,7 +131,7 @@ def line_delta(a: list[str], b: list[str]) -> list[tuple[int, int, list[str]]]:
 def line_delta_column(a: Column, b: Column) -> Column:
     @F.pandas_udf("array<struct<start:int,end:int,lines:array<string>>>")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": s, "end": e, "lines": x} for s, e, x in line_delta(list(p), list(q))] for p, q in zip(a, b)])
+        return pd.Series([None if p is None or q is None else [{"start": s, "end": e, "lines": x} for s, e, x in line_delta(list(p), list(q))] for p, q in zip(a, b)])
 
     return run(a, b)
 
@@ -336,31 +336,27 @@ def sha1_lines(lines: list[str]) -> str:
     return hashlib.sha1("".join(lines).encode()).hexdigest()
 
 
-def derived(docs: DataFrame) -> DataFrame:
-    """(doc_id, older, newer): each document beside the one whose number is half of its own.
+HUNKS = "array<struct<parent:int,parent_pos:int,child_pos:int,n:int,lines:array<string>>>"
 
-    An equi-join in which no document has more than two successors; null texts have none.
-    """
-    t = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    older = t.select(F.col("doc_id").alias("up"), F.col("text").alias("older"))
-    return t.where("doc_id > 0").withColumn("up", F.expr("doc_id div 2")).join(older, "up").select("doc_id", "older", F.col("text").alias("newer"))
 
+def multi_parent_column(parents: Column, lines: Column) -> Column:
+    """Multi-parent diff of arrays of lines: hunks with a parent's number, or with new lines and a null parent."""
+    @F.pandas_udf(HUNKS)
+    def run(parents: pd.Series, lines: pd.Series) -> pd.Series:
+        out = []
+        for ps, ls in zip(parents, lines):
+            hunks = multi_parent_diff([list(p) for p in ps], list(ls))
+            out.append([{"parent": None, "n": len(h[1]), "lines": h[1]} if h[0] == "new" else {"parent": h[1], "parent_pos": h[2], "child_pos": h[3], "n": h[4], "lines": []} for h in hunks])
+        return pd.Series(out)
 
-def revision_deltas(docs: DataFrame) -> DataFrame:
-    """Line delta of each document from its ``derived`` predecessor, and whether applying it gives the text again."""
-    p = derived(docs).select("doc_id", scalars.lines(F.col("older")).alias("a"), scalars.lines(F.col("newer")).alias("b")).withColumn("hunks", line_delta_column(F.col("a"), F.col("b")))
-    return p.select("doc_id", F.size("a").alias("old_lines"), F.size("b").alias("new_lines"), F.size("hunks").alias("n_hunks"), apply_line_delta(F.col("a"), F.col("hunks")).eqNullSafe(F.col("b")).alias("restored"))
+    return run(parents, lines)
 
 
-def merge_plans(docs: DataFrame) -> DataFrame:
-    """Three-way merge plans: a document, the next one, and their ``derived`` predecessor as base.
+def multi_parent_text(parents: Column, hunks: Column) -> Column:
+    """Lines that a multi-parent diff gives on its parents' lines, without leaving the JVM."""
+    return F.flatten(F.transform(hunks, lambda h: F.when(h["parent"].isNull(), h["lines"]).otherwise(F.slice(F.element_at(parents, h["parent"] + 1), h["parent_pos"] + 1, h["n"]))))
 
-    Numbers of lines per state, and whether the plan holds the base again.
-    """
-    nxt = docs.where("text IS NOT NULL").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("q"))
-    rows = derived(docs).join(nxt, "doc_id").select("doc_id", F.col("older").alias("o"), F.col("newer").alias("p"), "q")
-    parts = rows.select("doc_id", *[scalars.lines(F.col(c)).alias(c) for c in "opq"])
-    plan = parts.withColumn("plan", merge_plan_column(F.col("o"), F.col("p"), F.col("q")))
-    base = F.transform(F.filter("plan", lambda x: x["state"].isin("unchanged", "killed-a", "killed-b", "killed-both")), lambda x: x["line"])
-    n = lambda s: F.size(F.filter("plan", lambda x: x["state"] == s)).alias(s.replace("-", "_"))
-    return plan.select("doc_id", *map(n, ("unchanged", "killed-a", "killed-b", "killed-both", "new-a", "new-b")), base.eqNullSafe(F.col("o")).alias("holds_base"))
+
+def line_plans(rows: DataFrame, key: str = "key") -> DataFrame:
+    """(key, pos, state, line): three-way merge plans of rows (key, base, a, b) of arrays of lines."""
+    return rows.select(key, F.posexplode(merge_plan_column(F.col("base"), F.col("a"), F.col("b"))).alias("pos", "x")).select(key, "pos", "x.state", "x.line")
