@@ -17,6 +17,8 @@ QUERIES = {
     "p3_report": lambda s, d: orphans.orphan_report(_orphans(s, d)),
     "p4_found": lambda s, d: hierarchy.hierarchy(*_tree(s, d), full=False),
     "p4_tree": lambda s, d: hierarchy.hierarchy(*_tree(s, d)),
+    "descendants": lambda s, d: hierarchy.descendants(*_tree(s, d)),
+    "ancestor_ids": lambda s, d: hierarchy.ancestor_ids(*_tree(s, d)),
     "p5_found": lambda s, d: snapshots.snapshot_changes(*_tree(s, d)),
     "p5_values": lambda s, d: snapshots.changed_values(*_tree(s, d)),
 }
@@ -80,7 +82,23 @@ SELECT snapshot, file_id, 'detached' AS state FROM loose
 UNION ALL SELECT r.snapshot, r.file_id, CASE WHEN c.file_id IS NULL THEN 'below_cycle' ELSE 'on_cycle' END FROM ring r LEFT JOIN cyc c USING (snapshot, file_id)
 """
 
+_STATES = _P4.split("SELECT snapshot, file_id, 'detached'")[0] + """, st AS (SELECT snapshot, file_id, 'detached' AS state FROM loose
+  UNION ALL SELECT r.snapshot, r.file_id, CASE WHEN c.file_id IS NULL THEN 'below_cycle' ELSE 'on_cycle' END FROM ring r LEFT JOIN cyc c USING (snapshot, file_id) UNION ALL SELECT snapshot, file_id, 'ok' FROM good),
+n AS (SELECT DISTINCT snapshot, file_id, parent_id, coalesce(name, '') AS name FROM entry),
+k AS (SELECT n.*, st.state, up.is_root, st.state = 'detached' AND up.is_end AS is_loose_end FROM n JOIN up USING (snapshot, file_id) JOIN st USING (snapshot, file_id)),
+p AS (SELECT snapshot, root_id AS file_id, root_id AS root, '' AS path, 0 AS depth, [root_id] AS way FROM inv UNION SELECT snapshot, file_id, file_id, name, 0, [file_id] FROM k WHERE is_loose_end
+  UNION SELECT k.snapshot, k.file_id, p.root, p.path || '/' || k.name, p.depth + 1, list_append(p.way, k.file_id) FROM k JOIN p ON p.snapshot = k.snapshot AND p.file_id = k.parent_id WHERE NOT k.is_root AND NOT k.is_loose_end),
+above AS (SELECT snapshot, file_id AS node, parent_id AS anc FROM k WHERE NOT is_root AND NOT is_loose_end UNION SELECT a.snapshot, a.node, k.parent_id FROM above a JOIN k ON k.snapshot = a.snapshot AND k.file_id = a.anc WHERE NOT k.is_root AND NOT k.is_loose_end),
+places AS (SELECT snapshot, file_id, row_number() OVER (PARTITION BY snapshot, root ORDER BY way) - 1 AS first_place FROM p),
+below AS (SELECT snapshot, anc AS file_id, count(*) AS n FROM above GROUP BY ALL)
+"""
+
 ORACLE: dict[str, str] = {
+    "p4_tree": _STATES + """SELECT k.snapshot, k.file_id, k.state, p.root, CAST(p.depth AS BIGINT) AS depth, CASE WHEN p.path = '' THEN '/' ELSE p.path END AS path, CASE WHEN k.state <> 'on_cycle' THEN coalesce(below.n, 0) END AS n_descendants, w.first_place
+FROM k LEFT JOIN places w USING (snapshot, file_id) LEFT JOIN p USING (snapshot, file_id) LEFT JOIN below USING (snapshot, file_id)""",
+    "descendants": _STATES + "SELECT a.snapshot, a.anc AS file_id, a.node AS descendant FROM above a JOIN k n ON n.snapshot = a.snapshot AND n.file_id = a.node JOIN k u ON u.snapshot = a.snapshot AND u.file_id = a.anc WHERE n.state IN ('ok', 'detached')",
+    "ancestor_ids": _STATES + """, far AS (SELECT a.snapshot, a.node, a.anc, coalesce(p.depth, 0) AS depth FROM above a LEFT JOIN p ON p.snapshot = a.snapshot AND p.file_id = a.anc)
+SELECT k.snapshot, k.file_id, coalesce(list(far.anc ORDER BY far.depth DESC) FILTER (WHERE far.anc IS NOT NULL), []) AS ancestors FROM k LEFT JOIN far ON far.snapshot = k.snapshot AND far.node = k.file_id WHERE k.state IN ('ok', 'detached') GROUP BY ALL""",
     "p3_found": _P3 + "SELECT DISTINCT * FROM found WHERE state IS NOT NULL",
     "p3_report": _P3 + "SELECT tab, field, period, state, count(*) AS n_refs, count(DISTINCT ref_key) AS n_targets FROM (SELECT DISTINCT * FROM found WHERE state IS NOT NULL) GROUP BY ALL",
     "p4_found": _P4,

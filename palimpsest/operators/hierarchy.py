@@ -14,11 +14,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.plans.durable import durable
+from palimpsest.plans.durable import durable, release
 
 LIMIT = 400_000  # rows of one snapshot that a single task contracts
 CHUNK = 60_000  # rows gathered before whole snapshots are contracted together
@@ -178,7 +179,9 @@ def _solve(t: pa.Table, full: bool) -> pa.Table:
         return pa.table({"snapshot": got.column(0), "file_id": got.column(1), "state": pa.array(names[state[case]], pa.string())})
     label = [x or "" for x in t.column("name").take(pa.array(pick)).to_pylist()]
     ids = t.column("file_id").take(pa.array(pick)).to_pylist()
-    depth, pre = done.sums(np.ones(len(parent), np.int64)), preorder(parent, total, done, node[pick])
+    place = np.empty(len(pick), np.int64)
+    place[pc.sort_indices(t.column("file_id").take(pa.array(pick))).to_numpy()] = np.arange(len(pick))
+    depth, pre = done.sums(np.ones(len(parent), np.int64)), preorder(parent, total, done, place)
     top = ["" if r else x for r, x in zip(is_root, label)]
     path = done.paths(label, top)
     cyclic = (state == ON_CYCLE) | (state == BELOW_CYCLE)
@@ -230,7 +233,8 @@ def hierarchy(entry: DataFrame, inventory: DataFrame, full: bool = True, limit:
     state: ok (leads to the snapshot's root_id), on_cycle, below_cycle, or detached (ends at
     another entry without parent or at an id without entry). Paths join names by ``/`` below
     the root, which is ``/``; null names count as empty. Descendants of a node are the rows
-    of its snapshot and root whose first_place lies in the n_descendants places after its own.
+    of its snapshot and root whose first_place lies in the n_descendants places after its own;
+    siblings come by file_id.
     root, depth, path and first_place are null on and below cycles, n_descendants on cycles.
     Rows without snapshot or file_id are ignored, repeated rows count once (of those that
     disagree the one of least parent hash, then of least name), a snapshot without head has no ok entries. Without ``full`` only entries that are not ok are returned.
@@ -262,7 +266,7 @@ def _core(pdf: pd.DataFrame) -> pd.DataFrame:
 def _places(first: DataFrame, done: DataFrame) -> DataFrame:
     """first_place as ``preorder`` gives it: rows below earlier siblings plus one, summed on the way up by pointer doubling."""
     t = first.select("s", "v", "p", "end").join(done.where(~F.col("state").isin(ON_CYCLE, BELOW_CYCLE)).select("s", "v", "total"), ["s", "v"])
-    earlier = W.partitionBy("s", "p").orderBy(F.xxhash64("s", "v")).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy("s", "p").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
     inner = t.where("NOT end").select("s", "v", F.col("p").alias("up"), (F.coalesce(F.sum("total").over(earlier), F.lit(0)) + 1).alias("place"))
     ends = t.where("end").select("s", "v", F.lit(None).cast("string").alias("up"), F.lit(0).cast("bigint").alias("place"))
     t = durable(ends.unionByName(inner))
@@ -337,12 +341,30 @@ def _large(rows: DataFrame, full: bool, limit: int) -> DataFrame:
     )
 
 
-def descendants(tree: DataFrame) -> DataFrame:
-    """Pairs (snapshot, file_id, descendant): every ancestor of each entry that has a path.
+def ancestor_ids(entry: DataFrame, inventory: DataFrame) -> DataFrame:
+    """(snapshot, file_id, ancestors): ids from the parent up to the root or end, for entries not on or below cycles.
 
-    The size is the sum of all depths; use it on selected snapshots.
+    Pointer doubling: each round a list takes on that of its last id, so rounds grow with the
+    logarithm of the depth. The lists' sizes are the depths.
     """
-    a = tree.where("path IS NOT NULL").select("snapshot", "root", F.col("file_id"), F.col("path").alias("up"))
-    steps = F.expr("transform(sequence(1, greatest(depth, 1)), i -> CASE WHEN i = 1 AND startswith(path, '/') THEN '/' ELSE array_join(slice(split(path, '/'), 1, cast(i as int)), '/') END)")
-    b = tree.where("depth > 0").select("snapshot", "root", F.col("file_id").alias("descendant"), F.explode(steps).alias("up"))
-    return a.join(b, ["snapshot", "root", "up"]).select("snapshot", "file_id", "descendant")
+    acyclic = hierarchy(entry, inventory).where("state IN ('ok', 'detached')").select(F.col("snapshot").alias("s"), F.col("file_id").alias("v"), F.col("depth"))
+    row = F.struct(F.col("parent_id").isNotNull(), F.xxhash64("snapshot", F.coalesce("parent_id", F.lit(""))), F.col("parent_id").alias("p"))
+    e = entry.where("snapshot IS NOT NULL AND file_id IS NOT NULL").groupBy(F.col("snapshot").alias("s"), F.col("file_id").alias("v")).agg(F.min(row).alias("r"))
+    t = e.join(acyclic, ["s", "v"]).select("s", "v", F.when(F.col("depth") > 0, F.col("r.p")).alias("up"))
+    t = durable(t.select("s", "v", "up", F.when(F.col("up").isNull(), F.array().cast("array<string>")).otherwise(F.array("up")).alias("ids")))
+    while not t.where("up IS NOT NULL").isEmpty():
+        u = t.select("s", F.col("v").alias("up"), F.col("up").alias("up2"), F.col("ids").alias("ids2"))
+        # a root id without entry has no list of its own
+        step = t.where("up IS NOT NULL").join(u, ["s", "up"], "left").select("s", "v", F.col("up2").alias("up"), F.concat("ids", F.coalesce("ids2", F.array().cast("array<string>"))).alias("ids"))
+        old, t = t, durable(t.where("up IS NULL").unionByName(step))
+        release(old)
+    return t.select(F.col("s").alias("snapshot"), F.col("v").alias("file_id"), F.col("ids").alias("ancestors"))
+
+
+def descendants(entry: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Pairs (snapshot, file_id, descendant) of entries: every ancestor of each entry that is not on or below a cycle.
+
+    The size is the sum of all depths; ``hierarchy`` gives the same as intervals of places.
+    """
+    pairs = ancestor_ids(entry, inventory).select("snapshot", F.explode("ancestors").alias("file_id"), F.col("file_id").alias("descendant"))
+    return pairs.join(entry.select("snapshot", "file_id"), ["snapshot", "file_id"], "left_semi")

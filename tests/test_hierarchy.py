@@ -143,9 +143,14 @@ def test_long_chain_and_wide_star():
 
 
 def test_descendants(spark):
-    e = spark.createDataFrame([("s", "r", None, ""), ("s", "a", "r", "a"), ("s", "b", "a", "b")], ENTRY)
-    t = H.hierarchy(e, spark.createDataFrame([("s", "r")], INV))
-    assert {(x.file_id, x.descendant) for x in H.descendants(t).collect()} == {("r", "a"), ("r", "b"), ("a", "b")}
+    rng = random.Random(3)
+    cases = {f"s{k}": tree(rng, 40, k) for k in range(2)}
+    e = spark.createDataFrame([(s, f, p, "same") for s, es in cases.items() for f, p, _ in es], ENTRY)
+    inv = spark.createDataFrame([(s, "root") for s in cases], INV)
+    state = {(r.snapshot, r.file_id): r.state for r in H.hierarchy(e, inv).collect()}
+    want = {(s, a, f) for s, es in cases.items() for f, _, _ in es if state[s, f] in ("ok", "detached") for a in chain(es, f)[1:]}
+    got = [tuple(r) for r in H.descendants(e, inv).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_large_equals_small(spark):
