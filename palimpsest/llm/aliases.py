@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.garbled import repair
-from palimpsest.llm.names import NICKNAMES, ORG_WORDS, PARTICLES, ROBOT_WORDS, TITLES, WORD, NameModel, plain
-from palimpsest.llm.pii import sample
+from palimpsest.llm.names import NICKNAMES, ORG_WORDS, PARTICLES, ROBOT_WORDS, TITLES, WORD, NameModel, learnt, plain
 from palimpsest.plans.durable import durable
 
 OWN = -8.0  # log chance that so similar a name is another person's
@@ -195,7 +194,7 @@ def channel(v: dict, g: str, f: str, same_mail: bool, known: set[str]) -> float
 
 def parsed(revision: DataFrame, model: NameModel, column: str = "committer") -> DataFrame:
     """Each distinct non-empty spelling once: its count and what it was parsed into."""
-    blob = revision.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by pii.SAMPLE
+    blob = revision.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by names.MOST
 
     def run(batches):
         m = pickle.loads(blob.value)
@@ -214,7 +213,7 @@ def attributed(revision: DataFrame, column: str = "committer") -> DataFrame:
 
     Null and empty spellings, robots and spellings without a usable name have none.
     """
-    model = NameModel([repair(c)[0] for c in sample(revision, column)], [repair(m)[0] for m in sample(revision, "message")] if "message" in revision.columns else [])
+    model = learnt(revision, column)
     spark = revision.sparkSession
     known = spark.sparkContext.broadcast(model.given)
     units = durable(parsed(revision, model, column).where("cls NOT IN ('n', 'r')"))

@@ -23,32 +23,34 @@ class Boosted:
         nodes = 2 ** (self.depth + 1) - 1
         self.feature, self.cut, self.value = (np.zeros((self.rounds, nodes), t) for t in (np.int32, np.int32, np.float64))
         self.feature[:] = -1
+        used = [j for j in range(m) if len(self.edges[j])]
+        cells = (b[:, used] + np.arange(len(used)) * BINS).astype(np.int64)  # one histogram cell per row and feature
+        width, rows = len(used) * BINS, np.arange(n)
         for t in range(self.rounds):
             p = 1 / (1 + np.exp(-score))
             g, h = y - p, p * (1 - p)
-            at = np.zeros(n, np.int32)
-            for node in range(nodes):
-                i = np.flatnonzero(at == node)
-                if not len(i):
-                    continue
-                gs, hs = g[i].sum(), h[i].sum()
-                self.value[t, node] = self.rate * gs / (hs + self.l2)
-                if node >= nodes // 2 or len(i) < 2 * self.least:
-                    continue
-                best = (1e-3, -1, 0)
-                for j in range(m):
-                    if not len(self.edges[j]):
-                        continue
-                    k = len(self.edges[j]) + 1
-                    cg, ch = np.bincount(b[i, j], g[i], k).cumsum()[:-1], np.bincount(b[i, j], h[i], k).cumsum()[:-1]
-                    cn = np.bincount(b[i, j], minlength=k).cumsum()[:-1]
-                    gain = cg**2 / (ch + self.l2) + (gs - cg) ** 2 / (hs - ch + self.l2) - gs**2 / (hs + self.l2)
-                    gain[(cn < self.least) | (len(i) - cn < self.least)] = -1
-                    if gain.max() > best[0]:
-                        best = (gain.max(), j, int(gain.argmax()))
-                if best[1] >= 0:
-                    self.feature[t, node], self.cut[t, node] = best[1], best[2]
-                    at[i] = 2 * node + 1 + (b[i, best[1]] > best[2])
+            at = np.zeros(n, np.int64)
+            for level in range(self.depth + 1):
+                first, count = 2**level - 1, 2**level
+                here = at >= first
+                local = at[here] - first
+                gs, hs, ns = (np.bincount(local, w, count) for w in (g[here], h[here], np.ones(here.sum())))
+                self.value[t, first : first + count] = np.where(ns > 0, self.rate * gs / (hs + self.l2), 0.0)
+                if level == self.depth or not used:
+                    break
+                flat = (cells[here] + (local * width)[:, None]).ravel()
+                cg, ch, cn = (np.bincount(flat, np.repeat(w, len(used)), count * width).reshape(count, len(used), BINS).cumsum(2)[:, :, :-1] for w in (g[here], h[here], np.ones(here.sum())))
+                gt, ht, nt = (x[:, None, None] for x in (gs, hs, ns))
+                gain = cg**2 / (ch + self.l2) + (gt - cg) ** 2 / (ht - ch + self.l2) - gt**2 / (ht + self.l2)
+                gain[(cn < self.least) | (nt - cn < self.least)] = -1
+                best = gain.reshape(count, -1).argmax(1)
+                split = gain.reshape(count, -1)[np.arange(count), best] > 1e-3
+                j, c = np.array(used)[best // (BINS - 1)], best % (BINS - 1)
+                self.feature[t, first : first + count] = np.where(split, j, -1)
+                self.cut[t, first : first + count] = c
+                move = rows[here][split[local]]
+                k = at[move] - first
+                at[move] = 2 * at[move] + 1 + (b[move, j[k]] > c[k])
             score += self.value[t, at]
         self.scale = (1.0, 0.0)
         return self

@@ -6,6 +6,14 @@ import unicodedata
 from collections import Counter
 from functools import lru_cache
 
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from palimpsest.llm.garbled import repair
+from palimpsest.plans.durable import durable, release
+from palimpsest.plans.spread import spread
+
 # A nickname and the given name it stands for.
 NICKNAMES = {
     "alex": "alexander", "sasha": "alexander", "sandy": "alexander", "ola": "aleksandra", "abby": "abigail", "gail": "abigail", "tony": "anthony", "ben": "benjamin",
@@ -71,62 +79,103 @@ WORD = re.compile(r"(?:[^\W\d_]|�)+(?:[’'](?:[^\W\d_]|�)+)*", re.UNICODE)
 #: letters by which Latin names are written in Cyrillic, one for one
 TO_CYRILLIC = dict(zip("abcdefghijklmnopqrstuvwyz", "абцдефгхийклмнопкрстуввыз")) | {"x": "кс"}
 
+MOST = 200_000  # words of a lexicon that reach the driver, those in most rows; rarer ones are judged by their letters
+FAMILIES = 4000  # family names that labelled examples are made of
+LEAST_FAMILIES, LEAST_MESSAGES = 3, 4  # rows below which a count says nothing
+SHARE_FAMILIES, SHARE_MESSAGES = 2e-4, 2e-5  # and the shares of all rows that a word needs in large corpora
+
 
 def cyrillic(name: str) -> str:
     return "".join(TO_CYRILLIC.get(c, c) if c.islower() else TO_CYRILLIC.get(c.lower(), c).capitalize() for c in name)
 
 
-class NameModel:
-    """Letter trigrams of family names against those of ordinary words, and a lexicon of given names.
+def trigrams(word: Column) -> Column:
+    w = F.concat(F.lit("^"), word, F.lit("$"))
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(w, i, 3))
 
-    Learnt from bounded samples: committers whose mailbox spells their family name, and messages.
-    """
 
-    def __init__(self, committers: list[str], messages: list[str]):
-        given: Counter = Counter()
-        families: Counter = Counter()
-        shared: dict[str, set[str]] = {}
-        for c in sorted(set(committers)):
-            if m := PERSON.match(c):
+def bearers(committers: DataFrame) -> DataFrame:
+    """(given, family) of each distinct committer whose mailbox spells the family name; Python sees each string once."""
+    def run(batches):
+        for b in batches:
+            out = []
+            for c in b["s"]:
+                c = repair(c)[0]
+                m = PERSON.match(c)
+                if not m or (len(m.group(1)) > 1 and m.group(1).isupper() and not m.group(2).isupper()):
+                    continue  # nobody, or FAMILY Given
                 last = plain(m.group(2).split()[-1])
-                if len(m.group(1)) > 1 and m.group(1).isupper() and not m.group(2).isupper():
-                    continue  # FAMILY Given
                 if len(last) >= 3 and last in plain(m.group(3)) and not {plain(w) for w in WORD.findall(c)} & (ORG_WORDS | ROBOT_WORDS):
-                    shared.setdefault(plain(m.group(1)), set()).add(last)
-                    families[last] += 1
-        # a given name is one that people of several families bear and that is no rare spelling of another
-        given.update({g: len(f) for g, f in shared.items()})
-        frequent_first = [g for g, _ in given.most_common()]
-        for g in [g for g, n in given.items() if 3 <= n]:
-            if g not in GIVEN and any(given[o] >= 3 * given[g] and alike(g, o) for o in frequent_first[:400] if o != g):
-                del given[g]
-        self.given = {g for g, n in given.items() if n >= 3 and len(g) > 2} | set(GIVEN) | set(NICKNAMES)
-        self.vocabulary: Counter = Counter()
-        often, beside, company = Counter(), Counter(), {}
-        for m in messages:
-            found = WORD.findall(m)
-            self.vocabulary.update({plain(w) for w in found if w[:1].islower()})
-            words = [plain(w) for w in found]
-            often.update(set(words))
-            for i, w in enumerate(words):
-                near = self.given & {*words[max(0, i - 2) : i], *words[i + 1 : i + 2]}
-                if near:
-                    beside[w] += 1
-                    company.setdefault(w, set()).update(near)
-        # a frequent word is no name unless it mostly stands beside given names, and then beside few of them
-        known = self.given | set(families)
-        frequent = {w for w, n in often.items() if n >= 4 and (beside[w] < n / 4 or len(company[w]) >= 4)}
-        words = ({w for w, n in self.vocabulary.items() if n >= 2} | frequent) - known
-        self.common = ({w for w, n in self.vocabulary.items() if n >= 3} | frequent) - known
-        a, b = Counter(), Counter()
-        for src, out in ((families, a), (words, b)):
-            for w in src:
-                out.update(f"^{w}$"[i : i + 3] for i in range(len(w)))
-        ta, tb = sum(a.values()) + 1, sum(b.values()) + 1
-        k = 4000
-        self.odds = {t: math.log((a[t] + 0.4) / (ta + 0.4 * k)) - math.log((b[t] + 0.4) / (tb + 0.4 * k)) for t in {*a, *b}}
-        self.families = sorted(families)
-        self.givens = sorted(g for g in given if given[g] >= 3) or list(GIVEN)
+                    out.append((plain(m.group(1)), last))
+            yield pd.DataFrame(out, columns=["given", "family"])
+
+    return committers.mapInPandas(run, "given string, family string")
+
+
+def word_counts(messages: DataFrame, given: set[str]) -> DataFrame:
+    """(word, near, n_low, n_rows, n_near) partial counts of plain words, summed per batch; ``near`` is a given name beside it or null."""
+    def run(batches):
+        for b in batches:
+            low, rows, beside, near = Counter(), Counter(), Counter(), Counter()
+            for text in b["s"]:
+                found = WORD.findall(repair(text)[0])
+                low.update(plain(w) for w in found if w[:1].islower())
+                words = [plain(w) for w in found]
+                rows.update(set(words))
+                for i, w in enumerate(words):
+                    close = given & {*words[max(0, i - 2) : i], *words[i + 1 : i + 2]}
+                    if close:
+                        beside[w] += 1
+                        near.update((w, g) for g in close)
+            yield pd.DataFrame([(w, None, low[w], n, beside[w]) for w, n in rows.items()] + [(w, g, 0, 0, 0) for w, g in near], columns=["word", "near", "n_low", "n_rows", "n_near"])
+
+    return messages.mapInPandas(run, "word string, near string, n_low bigint, n_rows bigint, n_near bigint").where("length(word) > 0")
+
+
+def learnt(df: DataFrame, committer: str | None = "committer", message: str | None = "message") -> "NameModel":
+    """The name model of all rows of a table: counts are Spark aggregations, the driver takes at most MOST words and all trigrams."""
+    spark = df.sparkSession
+    texts = lambda c: spread(df.where(F.length(F.col(c)) > 0).select(F.col(c).alias("s")).distinct())
+    none = spark.createDataFrame([], "given string, family string")
+    pairs = durable(bearers(texts(committer)) if committer in df.columns else none)
+    n_pairs = pairs.count()
+    least = max(LEAST_FAMILIES, int(n_pairs * SHARE_FAMILIES))
+    counts = pairs.groupBy("given").agg(F.count_distinct("family").alias("n")).where((F.col("n") >= least) & (F.length("given") > 2)).orderBy(F.col("n").desc(), "given").limit(MOST).collect()
+    givens = {r["given"]: r["n"] for r in counts}
+    # a given name is one that people of several families bear and that is no rare spelling of another
+    first = list(givens)[:400]
+    givens = {g: n for g, n in givens.items() if g in GIVEN or not any(givens[o] >= 3 * n and alike(g, o) for o in first if o != g)}
+    families = pairs.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    lexicon = set(givens) | set(GIVEN) | set(NICKNAMES)
+    if message in df.columns:
+        parts = durable(word_counts(texts(message), lexicon))
+    else:
+        parts = spark.createDataFrame([], "word string, near string, n_low bigint, n_rows bigint, n_near bigint")
+    n_messages = df.where(F.col(message).isNotNull()).count() if message in df.columns else 0
+    often = max(LEAST_MESSAGES, int(n_messages * SHARE_MESSAGES))
+    words = parts.groupBy("word").agg(F.sum("n_low").alias("n_low"), F.sum("n_rows").alias("n_rows"), F.sum("n_near").alias("n_near"), F.count_distinct("near").alias("company"))
+    known = families.select(F.col("family").alias("word")).unionAll(spark.createDataFrame([(g,) for g in sorted(lexicon)], "word string"))
+    # a frequent word is no name unless it mostly stands beside given names, and then beside few of them
+    frequent = (F.col("n_rows") >= often) & ((F.col("n_near") * 4 < F.col("n_rows")) | (F.col("company") >= 4))
+    words = durable(words.join(known, "word", "left_anti").select("word", "n_rows", frequent.alias("frequent"), "n_low").where("frequent OR n_low >= 2"))
+    common = words.where(F.col("frequent") | (F.col("n_low") >= 3)).orderBy(F.col("n_rows").desc(), "word").limit(MOST).select("word").toPandas()["word"]
+    grams = lambda t: {r["g"]: r["n"] for r in t.select(F.explode(trigrams(F.col("w"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "g").limit(MOST).collect()}
+    sample = [r["family"] for r in families.orderBy(F.xxhash64("family"), "family").limit(FAMILIES).collect()]
+    model = NameModel(givens, sorted(sample), {*common}, grams(families.select(F.col("family").alias("w"))), grams(words.select(F.col("word").alias("w"))))
+    release(pairs, words, *([parts] if message in df.columns else []))
+    return model
+
+
+class NameModel:
+    """A lexicon of given names, frequent words of the corpus, and letter trigrams of family names against those of ordinary words."""
+
+    def __init__(self, givens: dict[str, int], families: list[str], common: set[str], name_grams: dict[str, int], word_grams: dict[str, int]):
+        self.given = set(givens) | set(GIVEN) | set(NICKNAMES)
+        self.common, self.families = common, families
+        a, b = name_grams, word_grams
+        ta, tb, k = sum(a.values()) + 1, sum(b.values()) + 1, 4000
+        self.odds = {t: math.log((a.get(t, 0) + 0.4) / (ta + 0.4 * k)) - math.log((b.get(t, 0) + 0.4) / (tb + 0.4 * k)) for t in sorted({*a, *b})}
+        self.givens = sorted(givens) or list(GIVEN)
         self.lossy_given = {x for g in self.givens for x in lossy(g) if len(g) > 3}
         self._memo: dict[str, float] = {}
 

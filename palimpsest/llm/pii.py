@@ -2,238 +2,356 @@
 
 Generators with high recall propose overlapping spans of five kinds; boosted trees score
 each from its format and context; calibrated thresholds, one a kind, select the spans that
-typed placeholders replace. The trees are fitted on the driver on spans injected into a
-bounded sample of the corpus (SAMPLE rows of each field), so labels need no annotation.
+typed placeholders replace. The trees are fitted on the driver on items and look-alikes that
+``examples`` builds from the rules of their formats and sets into a bounded sample of the
+corpus (SAMPLE messages), so labels need no annotation; the lexicons behind the features
+are counted over all rows (``names.learnt``).
 """
 
+import base64
+import math
 import pickle
-import random
 import re
 import unicodedata
+import uuid
+from bisect import bisect_left, bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm import numbers
 from palimpsest.llm.boosting import Boosted
+from palimpsest.llm.examples import Examples
 from palimpsest.llm.garbled import repair
-from palimpsest.llm.names import GIVEN, NICKNAMES, ORG_WORDS, PARTICLES, ROBOT_WORDS, TITLES, VERB_NAMES, WORD, NameModel, cyrillic, plain
+from palimpsest.llm.names import NICKNAMES, ORG_WORDS, PARTICLES, ROBOT_WORDS, TITLES, VERB_NAMES, WORD, NameModel, learnt, plain
+from palimpsest.llm.tokens import vocabulary_path
+from palimpsest.plans.durable import durable, release
 from palimpsest.plans.spread import spread
 
 KINDS = ["email", "phone", "id_number", "street_address", "person_name"]
-SAMPLE = 6000  # rows of each field that the models are fitted on
-INJECTED = 9000  # labelled spans made from them
+SAMPLE = 6000  # messages whose lines surround the labelled items
+INJECTED = 26000  # labelled texts made from them
 
 _AT = r"(?: ?@ ?| ?\(at\) ?| ?\[at\] ?| at )"
 _DOT = r"(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )"
-EMAIL = re.compile(rf"(?:mailto:)?[^\W_][\w.+%’'-]*(?: dot [\w+-]+)*{_AT}[\w-]+(?:{_DOT}[\w-]+)*", re.I)
-NUMBER = re.compile(r"(?<![\w.+@/#-])(?:(?!ID|NO|Nr)[A-Z]{1,2}[ -]?(?=\d))?[+(]{0,2}\d(?:[\d .()/\-]{4,24})\d(?:[ -]?[A-Za-z]\b)?(?: ?(?:ext\.?|x) ?\d+)?(?![\w@]|\.\d)")
-_WAY = r"(?:street|st|road|rd|avenue|ave|lane|ln|boulevard|blvd|drive|court|crescent|terrace|place|square|close|way|row|highway|hwy)"
+EMAIL = re.compile(rf"(?<![^\W_])(?:mailto:)?[^\W_][\w.+%’'-]*(?: dot [\w+-]+)*{_AT}[\w-]+(?:{_DOT}[\w-]+)*", re.I)
+_MAYBE_AT = re.compile(r"@|\bat\b|[(\[]at[)\]]", re.I)
+_SPELT = re.compile(r"dot |\(dot|\[dot|\(at\)|\[at\]", re.I)
+_PLAIN_AT = re.compile(r" at [\w-]+(?:\.[\w-]+)*\.[a-z]{2,7}$", re.I)
+_MAYBE_NUMBER = re.compile(r"\d[^a-z]{2,}\d|\d\d")
+# Words by which addresses name a way, in several languages.
+_WAY = r"(?:street|st|road|rd|avenue|ave|lane|ln|boulevard|blvd|drive|dr|court|ct|crescent|terrace|place|pl|square|sq|close|way|row|highway|hwy|parkway|pkwy|grove|gardens|hill|mews|trail|circle|walk|wharf|quay|alley|plaza)"
 _UP = r"[^\W\d_][\w’'-]*"
 ADDRESS = re.compile(
-    rf"(?:(?:flat|apt|suite|unit) \w+, (?:{_UP} ){{1,2}}house, )?\b\d{{1,5}}[a-z]? (?:[nsew]\. ?)?(?:{_UP} ){{1,3}}{_WAY}\b\.?(?![\w/_(])"
-    rf"|\b\d{{1,4}}[a-z]?,? (?:bis )?(?:rue|avenue|boulevard|chemin|impasse|quai|allée|place) (?:d[eu] |des |de la |d’)?{_UP}"
-    rf"|\b(?:calle|avenida|plaza|paseo|rua|travessa|via|viale|piazza) (?:d[eao]s? )?{_UP}(?: {_UP})?,? (?:n[.º°]? ?)?\d+"
-    rf"|\b(?:ul\.|ulica|al\.|os\.|ул\.|улица|пр\.|просп\.|пер\.) ?{_UP}(?: {_UP})?,? (?:[дd]\. ?)?\d+[\w/]*"
-    r"|\b[^\W\d_]{3,}(?:straße|strasse|strase|str\.|weg|platz|allee|gasse|gatan|vägen|gränd|gata|vej|gade|laan|straat|plein|katu) \d+ ?[a-z]?\b",
+    rf"(?:(?:flat|apt|suite|unit) \w+, (?:{_UP} ){{1,2}}house, )?\b\d{{1,5}}[a-z]? (?:[nsew]\.? )?(?:{_UP} ){{1,3}}{_WAY}\b\.?(?![\w/_(])"
+    rf"|\b\d{{1,4}}[a-z]?,? (?:bis,? |ter,? )?(?:rue|avenue|av\.|boulevard|bd|chemin|impasse|quai|allée|cours|place|square) (?:d[eu]s? |de la |d[’'])?{_UP}(?: {_UP})?"
+    rf"|\b(?:calle|c/|avenida|av\.|plaza|paseo|carrer|rua|travessa|largo|via|viale|piazza|corso|strada) (?:d[eao]s? |della |del |las? |los )?{_UP}(?: {_UP}){{0,2}},? (?:n[.º°]{{0,2}} ?)?\d+"
+    rf"|(?<!\w)(?:ul\.|ulica|al\.|os\.|pl\.|ulice|nám\.|náměstí|ул\.|улица|пр\.|просп\.|проспект|пер\.|вул\.|бул\.|οδός) ?{_UP}(?: {_UP})?,? (?:[дd]\. ?)?\d+[\w/]*"
+    r"|\b[^\W\d_]{3,}(?:straße|strasse|strase|str\.|weg|platz|allee|gasse|ring|damm|ufer|gatan|vägen|gränd|gata|vej|gade|veien|vei|laan|straat|plein|kade|katu|tie) \d+ ?[a-z]?\b"
+    rf"|\b{_UP} (?:utca|út|sokak|sokağı|caddesi|cad\.|straße|straat|allee|platz|weg) (?:no:? ?)?\d+[a-z]?\b"
+    r"|[\u4e00-\u9fff]{2,}(?:路|街|道|巷|弄)\d+号?|[\u4e00-\u9fff]{2,}[都道府県市区町村][\u3040-\u30ff\u4e00-\u9fff]*\d+(?:[丁目番地号]|[-－]\d+)+|[\uac00-\ud7a3]+(?:로|길) ?\d+(?:-\d+)?",
     re.I,
 )
 _TAIL = re.compile(r"(?:,? ?(?:apt|suite|unit|flat)\.? \w+)?(?:, ?(?:\d+º \w|[кk]в\. ?\d+|д\. ?\d+))*(?:(?:\n[^\W\d_]+, [A-Z]{2} \d{4,6})|,\s?(?:[A-Z]{2} )?(?:\d{4,6} )?[^\W\d_]+(?: (?:[A-Z]{2} )?\d{4,6})?)?", re.I)
 
 # Words that announce a kind, and words that announce something else.
-PHONE_WORDS = re.compile(r"(?:call|phone|tel|mobile|fax|desk|on-call|fragen|anrufen|ring|cell|ext|whatsapp)\b\.?", re.I)
+PHONE_WORDS = re.compile(r"(?:call|phone|tel|telephone|mobile|cell|fax|desk|on-call|fragen|anrufen|ring|ext|whatsapp|téléphone|teléfono|telefon\w*|тел|звоните|móvil|handy|電話|电话|전화|reach \w+ at)\b\.?", re.I)
 ID_WORDS = re.compile(
-    r"ssn|social security|tax id|taxpayer|\bcpf\b|\bdni\b|\bnie\b|\bnif\b|pesel|steuer-?id|снилс|инн\b|\bni number|national insurance|nino\b|passport|reisepass|pasaporte|passeport|паспорт"
-    r"|driving licen|driver'?s licen|führerschein|personal id|personnummer|rodné|マイナンバー|身份证|\bbsn\b|insee|\bnir\b|codice fiscale|identity (?:card|number|no)|national id|\bid no\b|citizen", re.I)
-DECOY_WORDS = re.compile(r"(?:lines?|offset|timing|build|bug|crc32|epoch|version|sha1?|size|address|port|pid|page|chapter|rev|revision|commit|issue|ticket|takes|costs|run|bytes|ms|kb|mb|skipped|per step|is not|#)\b", re.I)
-_DECOY_BEFORE = re.compile(DECOY_WORDS.pattern + r"\W*$", re.I)
+    r"\bssn\b|\bsin\b|social (?:security|insurance)|tax id|tax file|taxpayer|\btfn\b|\bcpf\b|\bdni\b|\bnie\b|\bnif\b|\bcurp\b|\brfc\b|\bpan\b|aadhaar|pesel|steuer-?id|снилс|инн\b|\bni number|\bnhs\b|national insurance|nino\b|passport|reisepass|pasaporte|passeport|паспорт|ausweis|medicare|\bahv\b|\brrn\b|resident registration|주민등록"
+    r"|driving licen|driver'?s licen|licence no|permis|führerschein|personal id|personnummer|fødselsnummer|\bcpr\b|hetu\b|henkilötunnus|rodné|マイナンバー|my number|身份证|\bbsn\b|insee|\bnir\b|sécurité sociale|codice fiscale|identity (?:card|number|no)|national id|\bid (?:no|number|card)\b|citizen", re.I)
+DECOY_WORDS = re.compile(
+    r"(?:lines?|rows?|pages?|offset|timing|build|bug|crc(?:32)?|checksum|epoch|version|sha\d*|size|address|port|pid|chapter|section|rev|revision|commit|issue|ticket|takes|costs|run|bytes|ms|kb|mb|s|times|items|entries|blocks?|skipped|per (?:step|page|run)|is not|seed|chunk|index|column|step|timeout|retry|limit|count|code|status|part|test|case|slot|order|total|width|height|time|length|were|€|\$|%|#)(?!\w)", re.I)
+_DECOY_BEFORE = re.compile(r"(?<!\w)" + DECOY_WORDS.pattern + r"[ :=#\"“”„«»'(*]*$", re.I)
 CARRIER = re.compile(
-    r"(?:\b(?:by|from|to|cc|thanks to|per|ping|mit|merci à|спасибо|contact|kontakt|mail|with|ask|as|r=|reviewer|owner|author|todo|was|had|used|contained|leaked|redact|strip|moved|goes|wohnt|shows|reported|signed-off-by|acked-by|reported-by|co-developed-by|reviewed-by|tested-by|suggested-by)\b\W*|[(\[\"“=;*#>|-]\s*|^\s*)$", re.I)
-ID_SHAPES = {s: i + 1 for i, s in enumerate("999-99-9999|999 99 9999|999.999.999-99|99999999-A|99999999A|99999999999|99 999 999 999|999-999-999 99|AA999999A|AA 99 99 99 A|AA9999999|A99999999A|999999999|999999/9999|9999 9999 9999|A9999999A|99 99 99 9999 99|999999-9999".split("|"))}
-PHONE_SHAPES = {s: i + 1 for i, s in enumerate("+99 99 9999 9999|+99 9 99 99 99 99|+9 (999) 999-99-99|+99 (9)99 99999 999|+999999999999|99999 999999|9999 999 999|9999999 999999|(999) 999-9999|999-999-9999|999.999.9999|9-999-999-9999|999 9999|+9 (999) 999-9999|99-9999-9999|+9 999 999 9999|+999999999|99 99 99 99 99".split("|"))}
-_SHAPES = {*ID_SHAPES, *PHONE_SHAPES}
+    r"(?:\b(?:by|from|to|cc|thanks|thanks to|via|per|ping|mit|und|et|y|e|i|and|merci à|gracias a|спасибо|dzięki|obrigado a|contact|kontakt|credit|mail|with|ask|as|für|for|r=|reviewer|owner|author|todo|was|had|used|contained|leaked|redact|strip|moved|goes|wohnt|shows|reported|\w+-by)\b\W*|[(\[\"“=;*#>|-]\s*|^\s*)$", re.I)
+_TRAILER = re.compile(r"\b[a-z]+(?:-[a-z]+)*-by: *$|\bcc: *$", re.I)
+_PLACE = re.compile(r"\b(?:in|em|em são|at|near|à|bei|aus|en|w|в) $", re.I)
 CODE = {"py", "rs", "toml", "json", "txt", "md", "c", "h", "sh", "svg", "po", "cfg", "js", "html", "xml", "yml", "go", "java"}
-
-
-def shape(s: str) -> str:
-    return re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", s)).strip()
+_OTHER_SCRIPT = re.compile(r"^[\u0370-\u03ff\u0530-\u06ff\u0900-\u0dff\u0e00-\u0eff\u10a0-\u10ff\u1100-\u11ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3]+$")
+_IDEOGRAPHIC = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3]")
 
 
 def folded(text: str) -> str:
     """Full-width digits, signs and spaces as ASCII, character by character."""
     if text.isascii():
         return text
-    return "".join((unicodedata.normalize("NFKC", c) if (0xFF00 <= ord(c) < 0xFF5F or c in "　－‐‑–−") and len(unicodedata.normalize("NFKC", c)) == 1 else c).replace("–", "-").replace("−", "-").replace("‑", "-") for c in text)
+    return "".join(map(_folded, text))
+
+
+@lru_cache(maxsize=65536)
+def _folded(c: str) -> str:
+    if c in "–−‑‐":
+        return "-"
+    if 0xFF00 <= ord(c) < 0xFF5F or c == "　":
+        n = unicodedata.normalize("NFKC", c)
+        return n if len(n) == 1 else c
+    return c
+
+
+@lru_cache(maxsize=2)
+def public_words(path: str | None = None) -> tuple[dict[str, int], dict[str, int]]:
+    """Whole words of a public tokenizer's vocabulary with their ranks: those in lower case, and those capitalised."""
+    low, cap = {}, {}
+    with open(path or vocabulary_path(), "rb") as f:
+        for line in f:
+            token, rank = line.split()
+            t = base64.b64decode(token)
+            if len(t) > 2 and t[:1] == b" " and t[1:].isalpha() and t.isascii():
+                w = t[1:].decode()
+                if w.islower():
+                    low[w] = int(rank)
+                elif w[1:].islower():
+                    cap[w] = int(rank)
+    return low, cap
+
+
+class Word:
+    """What is known of one word, wherever it stands."""
+
+    __slots__ = ("plain", "given", "family", "common", "low", "proper", "cap", "core", "upper", "inner", "other", "initial", "title", "particle")
+
+    def __init__(self, w: str, model: NameModel, low: dict[str, int], cap: dict[str, int]):
+        p = plain(w)
+        self.plain = p
+        self.given = p in model.given or ("�" in w and p in model.lossy_given) or ("а" <= w[:1].lower() <= "я" and p.replace("v", "w") in model.given)
+        self.family, self.common = model.family(p), p in model.common
+        rank = low.get(w.lower())
+        self.low = 0.0 if rank is None else 17.0 - math.log2(rank + 2)
+        self.proper = w.capitalize() in cap and rank is None
+        self.cap = w[:1].isupper()
+        self.upper = len(w) > 1 and w.isupper()
+        self.inner = not w.isupper() and any(c.isupper() for c in w[1:]) and "’" not in w and "'" not in w
+        self.other = bool(_OTHER_SCRIPT.match(w))
+        self.initial = len(w) == 1 and self.cap
+        self.title = w.lower() in TITLES
+        self.particle = p in PARTICLES
+        likely = len(p) > 3 and self.family > (0.6 if "�" in w else -0.1) and not ((self.common or self.low) and w.islower())
+        unknown = self.cap and len(p) > 1 and not self.low and not self.common and "�" not in w
+        written = self.other and (2 <= len(w) <= 5 if _IDEOGRAPHIC.search(w) else 3 <= len(w) <= 14)
+        self.core = self.given or likely or unknown or written
 
 
 class Tokens:
-    """Words of a text with what the name model knows of them."""
+    """Words of a text with what the models know of them."""
+
+    def __init__(self, text: str, lookup):
+        self.spans, self.words, self.info = [], [], []
+        for m in WORD.finditer(text):
+            self.spans.append(m.span())
+            self.words.append(m.group())
+        self.info = [lookup(w) for w in self.words]
+        self.breaks = [-1, *(m.start() for m in re.finditer("\n", text)), len(text)]
+
+    def line(self, s: int) -> int:
+        """Length of the line that place ``s`` lies in."""
+        i = bisect_right(self.breaks, s - 1) - 1
+        return self.breaks[i + 1] - self.breaks[i] - 1
+
+
+def _glued(text: str, a: int, b: int) -> bool:
+    """Whether a word is part of an identifier, a path, a call or a number."""
+    if a and (text[a - 1] in "_@./" or text[a - 1].isdigit() or (text[a - 1] == "-" and text[a - 2 : a - 1].isdigit())):
+        return True
+    nxt = text[b : b + 1]
+    return bool(nxt) and (nxt in "_@/" or nxt.isdigit() or text[b : b + 2] == "()" or (nxt == "." and text[b + 1 : b + 2].isalpha()))
+
 
-    def __init__(self, text: str, model: NameModel):
-        self.spans = [m.span() for m in WORD.finditer(text)]
-        self.words = [text[a:b] for a, b in self.spans]
-        self.plain = [plain(w) for w in self.words]
-        self.given = [p in model.given or ("�" in w and p in model.lossy_given) or ("а" <= w[:1].lower() <= "я" and p.replace("v", "w") in model.given) for p, w in zip(self.plain, self.words)]
-        self.family = [model.family(p) for p in self.plain]
-        self.common = [p in model.common for p in self.plain]
+_GAP = {" ", ". ", "  ", ", "}
 
 
 def _name_spans(text: str, t: Tokens, masked: list[tuple[int, int]]):
     """Runs of name-like words with at least one that may be a name; (first, last) word positions."""
-    n = len(t.words)
-    hidden = [any(a < e and s < b for s, e in masked) for a, b in t.spans]
-    glued = [(a and (text[a - 1] in "_@./" or text[a - 1].isdigit() or (text[a - 1] == "-" and text[: a - 1][-1:].isdigit()))) or (b < len(text) and (text[b] in "_@/(" and text[b : b + 1] != "(" or text[b : b + 2] == "()" or text[b].isdigit() or (text[b] == "." and text[b + 1 : b + 2].isalpha()))) for a, b in t.spans]
-    core = [not hidden[i] and not glued[i] and (t.given[i] or (len(t.plain[i]) > 3 and t.family[i] > (0.6 if "�" in t.words[i] else -0.1) and not (t.common[i] and t.words[i].islower()))) for i in range(n)]
+    n, info = len(t.words), t.info
+    likely = [i for i in range(n) if info[i].core]
     for i in range(1, n):
-        if not hidden[i] and not glued[i] and len(t.plain[i]) > 2 and (t.words[i - 1].lower() in TITLES or (len(t.words[i - 1]) == 1 and t.words[i - 1].isupper() and text[t.spans[i - 1][1] : t.spans[i][0]] == ". ")) and t.words[i][0].isupper():
-            core[i] = True
-    i = 0
-    while i < n:
-        if not core[i]:
-            i += 1
+        if not info[i].core and info[i].cap and len(info[i].plain) > 2 and (info[i - 1].title or (info[i - 1].initial and text[t.spans[i - 1][1] : t.spans[i][0]] == ". ")):
+            likely.append(i)
+    if not likely:
+        return
+
+    masked, ends = sorted(masked), []
+    for _, e in masked:  # furthest end so far: the masked spans may overlap
+        ends.append(max(e, ends[-1]) if ends else e)
+
+    def free(i: int) -> bool:
+        a, b = t.spans[i]
+        k = bisect_left(masked, (b, 0)) - 1
+        return (k < 0 or ends[k] <= a) and not _glued(text, a, b)
+
+    core = {i for i in likely if free(i)}
+    done = -1
+    for i in sorted(core):
+        if i <= done:
             continue
         a = b = i
-        while a > 0 and not hidden[a - 1] and not glued[a - 1] and text[t.spans[a - 1][1] : t.spans[a][0]] in (" ", ". ", "  ", ", ") and (core[a - 1] or (len(t.words[a - 1]) == 1 and t.words[a - 1].isupper()) or t.plain[a - 1] in PARTICLES):
+        while a - 1 > done and text[t.spans[a - 1][1] : t.spans[a][0]] in _GAP and (a - 1 in core or ((info[a - 1].initial or info[a - 1].particle) and free(a - 1))):
             a -= 1
-        while b + 1 < n and not hidden[b + 1] and text[t.spans[b][1] : t.spans[b + 1][0]] in (" ", ". ", "  ", ", ", "-") and (core[b + 1] or (len(t.words[b + 1]) == 1 and t.words[b + 1].isupper()) or (t.plain[b + 1] in PARTICLES and b + 2 < n and core[b + 2])):
+        while b + 1 < n and (text[t.spans[b][1] : t.spans[b + 1][0]] in _GAP or text[t.spans[b][1] : t.spans[b + 1][0]] == "-") and (b + 1 in core or (info[b + 1].initial and free(b + 1)) or (info[b + 1].particle and b + 2 in core)):
             b += 1
-        while a < b and t.plain[a] in PARTICLES and not core[a] and t.words[a].islower() and t.plain[a] in ("da", "la", "le", "de") and not any(core[a + 1 : b + 1]):
+        while a < b and a not in core and t.words[a].islower() and info[a].plain in ("da", "la", "le", "de") and not any(k in core for k in range(a + 1, b + 1)):
             a += 1
+        done = b
         yield a, b
-        i = b + 1
-
-
-def candidates(text: str, model: NameModel):
-    """(kind index, start, end, first word, last word) of every span a generator proposes."""
+        # where a plain word of the language begins or ends the run, the rest is proposed too
+        lo, hi = a, b
+        while lo < hi and (info[lo].low or info[lo].common) and not info[lo].given:
+            lo += 1
+        while hi > lo and (info[hi].low or info[hi].common) and not info[hi].given:
+            hi -= 1
+        if (lo, hi) != (a, b):
+            yield lo, hi
+        # a comma may part two persons or a person and a place
+        for k in range(a, b):
+            if text[t.spans[k][1] : t.spans[k + 1][0]] == ", ":
+                yield a, k
+                yield k + 1, b
+
+
+def candidates(text: str, lookup):
+    """(kind index, start, end, x, y) of every span a generator proposes; x, y are word positions, or number pieces left out on either side."""
     flat = folded(text)
     out, masked = [], []
-    if "@" in flat or re.search(r"\bat\b|\(at\)|\[at\]", flat, re.I):
+    if _MAYBE_AT.search(flat):
         for m in EMAIL.finditer(flat):
             s = m.group()
-            if "@" not in s and not re.search(r"dot |\(dot|\[dot|\(at\)|\[at\]", s, re.I) and not re.search(r" at [\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|local|com|org|net|edu|io|de|fr|uk|eu|info)$", s, re.I):
+            if "@" not in s and not _SPELT.search(s) and not _PLAIN_AT.search(s):
                 continue
             out.append((0, m.start(), m.end(), 0, 0))
             masked.append(m.span())
+    if _MAYBE_NUMBER.search(flat):
+        for a, b, x, y in numbers.windows(flat):
+            digits = sum(c.isdigit() for c in flat[a:b])
+            if digits >= 7:
+                out.append((1, a, b, x, y))
+            out.append((2, a, b, x, y))
     if any(c.isdigit() for c in flat):
-        for m in NUMBER.finditer(flat):
-            start, s = m.start(), m.group()
-            while s[:1] == "(" and s.count("(") > s.count(")"):
-                start, s = start + 1, s[1:]
-            whole, cuts = (start, m.end()), [x.span() for x in re.finditer(r"[^ ]+", s)]
-            spans = {whole} | {(start + a, start + b) for i, (a, _) in enumerate(cuts) for _, b in cuts[i : i + 6] if shape(s[a:b]) in _SHAPES}
-            for a, b in sorted(spans):  # neighbouring numbers run together: known shapes inside are proposed too
-                digits = sum(c.isdigit() for c in flat[a:b])
-                if digits >= 7:
-                    out.append((1, a, b, 0, 0))
-                if digits >= 6:
-                    out.append((2, a, b, 0, 0))
         for m in ADDRESS.finditer(flat):
             tail = _TAIL.match(flat, m.end())
             out.append((3, m.start(), tail.end() if tail else m.end(), 0, 0))
             masked.append(out[-1][1:3])
-    t = Tokens(text, model)
+    t = Tokens(text, lookup)
     out.extend((4, t.spans[a][0], t.spans[b][1], a, b) for a, b in _name_spans(text, t, masked))
     return out, t, flat
 
 
-_N_FEATURES = 40
-
-
 def features(text: str, flat: str, t: Tokens, c: tuple, field: int) -> list[float]:
-    kind, s, e, a, b = c
+    kind, s, e, x, y = c
     span = flat[s:e]
-    before, after = flat[max(0, s - 32) : s].split("\n")[-1], flat[e : e + 24].split("\n")[0]
-    line_start, line_end = text.rfind("\n", 0, s) + 1, text.find("\n", e)
-    line = text[line_start : line_end if line_end >= 0 else len(text)]
-    digits = sum(ch.isdigit() for ch in span)
-    f = [float(kind), float(field), e - s, digits, (e - s) / max(1, len(line.strip())), bool(CARRIER.search(before)), bool(PHONE_WORDS.search(before)) or bool(PHONE_WORDS.search(after)), bool(ID_WORDS.search(before[-30:])) or bool(ID_WORDS.search(span)), bool(_DECOY_BEFORE.search(before)), bool(DECOY_WORDS.search(after[:12]))]
-    f += [after[:1] in "),;]\">*" if after else True, before[-1:] in "([\"<*=" if before else True, span.islower(), span.isupper(), span[:1].isupper()]
+    before, after = flat[max(0, s - 40) : s].rpartition("\n")[2], flat[e : e + 24].partition("\n")[0]
+    line = t.line(s)
+    f = [field, e - s, (e - s) / max(1, line), bool(CARRIER.search(before)), before[-1:] in "([\"<*=“" if before else True, after[:1] in "),;]\">*”" if after else True]
     if kind == 0:
-        domain = re.split(_AT, span, maxsplit=1, flags=re.I)[-1]
-        labels = [x for x in re.split(r"[^\w-]+|\bdot\b", domain) if x]
+        parts = re.split(_AT, span, maxsplit=1, flags=re.I)
+        domain, local = parts[-1], parts[0].replace("mailto:", "")
+        labels = [z for z in re.split(r"[^\w-]+|\bdot\b", domain) if z]
         last = labels[-1].lower() if labels else ""
-        local = re.split(_AT, span, maxsplit=1, flags=re.I)[0].replace("mailto:", "")
-        f += [domain[:1].isdigit(), len(labels), last.isalpha(), last in CODE, bool(re.fullmatch(r"[0-9a-f]{6,40}", domain)), "@" in span, " at " in span.lower(), "dot" in span.lower(), len(last), any(x.isdigit() for x in domain), bool(re.search(r"[._+]", local)), t_family(local, t)]
+        i = bisect_left(t.spans, (s, 0))
+        around = [w for z, w in zip(t.words[max(0, i - 8) : i + 12], t.info[max(0, i - 8) : i + 12]) if z in local]
+        spelt, known = max((w.family for w in around), default=-2.0), any(w.given for w in around)
+        f += [span.islower(), span.isupper(), domain[:1].isdigit(), len(labels), last.isalpha(), last in CODE, bool(re.fullmatch(r"[0-9a-f]{6,40}", domain)), "@" in span, " at " in span.lower(), "dot" in span.lower(), len(last), any(z.isdigit() for z in domain), bool(re.search(r"[._+]", local)), spelt, known, span.startswith("mailto:"), len(local)]
     elif kind in (1, 2):
-        shp = shape(span)
-        groups = re.findall(r"\d+", span)
-        f += [span.startswith("+"), span.startswith("00"), span.startswith("0"), "(" in span, "-" in span, "." in span, " " in span, "/" in span, PHONE_SHAPES.get(re.sub(r" ?(ext|x)\W.*", "", shp), 0), ID_SHAPES.get(shp, 0), len(groups), "555" in groups or "ext" in span, len(groups[0]), len(groups[-1]), span[:1].isalpha(), bool(re.search(r"^\w+[ =:]*$", before))]
+        f += numbers.form(span)
+        f += [x, y, bool(PHONE_WORDS.search(before)), bool(PHONE_WORDS.search(after)), bool(ID_WORDS.search(before)) or bool(ID_WORDS.search(span)), bool(_DECOY_BEFORE.search(before)), bool(DECOY_WORDS.match(after.lstrip())), bool(re.search(r"[\w.]+[@=:-]$", before)), bool(re.search(r"\d\W*$", before)), bool(re.match(r"\W*\d", after)), bool(re.search(r"^\w+[ =:]*$", before)), flat is not text and flat[s:e] != text[s:e]]
     elif kind == 3:
-        f += [len(re.findall(r"[A-ZÀ-Ý]", span)), bool(re.search(rf"\b{_WAY}\b", span, re.I)), bool(re.search(r"\b(?:lane|road|avenue|street|blvd|boulevard|st|rd|ave)\b", span, re.I)), bool(re.search(r"rue|calle|rua|ul\.|ул\.", span, re.I)), bool(re.search(r"(?:weg|str|gatan|platz|allee|gasse)", span, re.I)), span.count(","), bool(re.search(r"apt|suite|flat|кв|º", span, re.I)), bool(re.search(r"\b\d{5}\b", span)), len(span.split())]
+        f += [len(re.findall(r"[A-ZÀ-Ý]", span)), bool(re.search(rf"\b{_WAY}\b", span, re.I)), bool(re.search(r"\b(?:lane|road|avenue|street|blvd|boulevard|st|rd|ave|drive|court)\b", span, re.I)), bool(re.search(r"rue|calle|rua|via|ul\.|ул\.", span, re.I)), bool(re.search(r"(?:weg|str|gatan|platz|allee|gasse)", span, re.I)), span.count(","), bool(re.search(r"apt|suite|flat|кв|º", span, re.I)), bool(re.search(r"\b\d{5}\b", span)), len(span.split()), span.islower(), span[:1].isdigit(),
+              bool(DECOY_WORDS.match(after.lstrip())), bool(_DECOY_BEFORE.search(before)), bool(re.match(r" [a-z]", after)), span[-1:].isdigit()]
+        words = [z for z in re.findall(r"[^\W\d_]+", span)]
+        low, cap = public_words()
+        f += [sum(z.lower() in low for z in words) / max(1, len(words)), sum(z[:1].isupper() for z in words) / max(1, len(words))]
     else:
-        fam, words = t.family[a : b + 1], t.words[a : b + 1]
-        n_given = sum(t.given[a : b + 1])
-        org = {t.plain[i] for i in range(max(0, a - 2), min(len(t.words), b + 4))} & (ORG_WORDS | ROBOT_WORDS)
-        prev = t.words[a - 1] if a else ""
-        nxt = t.words[b + 1] if b + 1 < len(t.words) else ""
+        a, b = x, y
+        info, words = t.info[a : b + 1], t.words[a : b + 1]
+        fam = [w.family for w in info]
+        near = {t.info[i].plain for i in range(max(0, a - 2), min(len(t.words), b + 4))}
+        prev = t.info[a - 1] if a else None
+        nxt = t.info[b + 1] if b + 1 < len(t.words) else None
+        joined = nxt is not None and text[e : e + 1] == " "
+        n = len(info)
         f += [
-            b - a + 1, n_given, max(fam), float(np.mean(fam)), min(fam), sum(x > 0.6 for x in fam), sum(t.common[a : b + 1]), sum(w[0].isupper() for w in words), sum(w.isupper() and len(w) > 1 for w in words), sum(len(w) == 1 for w in words),
-            bool(org), prev.lower() in TITLES or words[0].lower() in TITLES, a == 0 or "\n" in text[t.spans[a - 1][1] : s] or text[s - 2 : s - 1] in ".!?", bool(nxt) and text[e : e + 1] == " " and nxt.islower() and (plain(nxt) in t_common(t, b + 1)), sum(t.plain[i] in VERB_NAMES for i in range(a, b + 1)),
-            bool(re.match(r"\s*[<(]?\S*@|\s*<", after)), after.startswith(("'s", "’s")), bool(re.search(r"\b(?:em|in|em são|at|from|near) $", before, re.I)), "," in span, max(len(p) for p in t.plain[a : b + 1]),
-            any("Ѐ" <= ch < "԰" for ch in span), max((fam[i] for i in range(len(fam)) if not t.given[a + i]), default=-2.0),
+            n, sum(w.given for w in info), max(fam), sum(fam) / n, min(fam), sum(z > 0.6 for z in fam), sum(w.common for w in info), sum(w.cap for w in info), sum(w.upper for w in info), sum(w.initial for w in info), sum(w.inner for w in info),
+            sum(w.low > 0 for w in info), max(w.low for w in info), sum(w.proper for w in info), sum(w.cap and not w.low and not w.common for w in info), sum(w.other for w in info),
+            bool(near & ORG_WORDS), bool(near & ROBOT_WORDS), (prev is not None and prev.title) or info[0].title, a == 0 or "\n" in text[t.spans[a - 1][1] : s] or text[s - 2 : s - 1] in (".", "!", "?"),
+            joined and t.words[b + 1].islower() and (nxt.common or nxt.low > 0), joined and nxt.cap, prev is not None and prev.cap and text[s - 1 : s] == " ", 0.0 if prev is None else prev.low, sum(w.plain in VERB_NAMES for w in info), sum(w.plain in NICKNAMES for w in info),
+            bool(re.match(r"\s*[<(]?\S*@|\s*<", after)), after.startswith(("'s", "’s")), bool(_PLACE.search(before)), bool(_TRAILER.search(before)), "," in text[s:e], "-" in text[s:e], max(len(w.plain) for w in info), min(len(w.plain) for w in info),
+            any("Ѐ" <= ch < "԰" for ch in span), max((w.family for w in info if not w.given), default=-2.0), line == e - s, bool(re.match(r"[.(]", after) and re.match(r"[.(]\w", after)), "�" in span, text.isascii(),
         ]
-    f = [float(x) for x in f]
-    return f + [-9.0] * (_N_FEATURES - len(f))
+    return [float(z) for z in f]
+
+
+def labelled(names: NameModel, lines: list[str], seed: int, count: int):
+    """(kind, label, features) of the candidates in ``count`` made texts whose label is known."""
+    d = Detector(names)
+    made = Examples(names, lines, sorted(w for w in d.cap if w.lower() not in d.low and len(w) > 3), seed)
+    # frequent words, in a fixed order: of the corpus and of the public vocabulary
+    made.common = sorted(w for w in names.common if len(w) > 3)[:3000] + sorted(w for w, k in d.low.items() if k < 8000 and len(w) > 3)
+    for text, field, k, start, end in made.texts(count):
+        found, t, flat = candidates(text, d.word)
+        for c in found:
+            y = d._label(c, t, text, field, k, start, end)
+            if y is not None:
+                yield c[0], y, features(text, flat, t, c, field)
+
+
+def fit_kind(x: np.ndarray, y: np.ndarray) -> tuple[Boosted, float, int, float]:
+    """Trees of one kind, calibrated on every fourth row, with the threshold of the best F1 there."""
+    hold = np.arange(len(y)) % 4 == 0
+    tree = Boosted(rounds=110, depth=4).fit(x[~hold], y[~hold]).calibrate(x[hold], y[hold])
+    p = tree.predict(x[hold])
+    grid = np.linspace(0.2, 0.8, 25)
+    f1 = [2 * ((p >= g) & (y[hold] == 1)).sum() / max(1, (p >= g).sum() + y[hold].sum()) for g in grid]
+    top = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
+    return tree, float(grid[top[len(top) // 2]]), int(hold.sum()), float(max(f1))
 
 
-def t_family(local: str, t: Tokens) -> float:
-    return max((t.family[i] for i in range(len(t.words)) if t.words[i] in local), default=-2.0)
+class Detector:
+    """Models of one corpus: words, one boosted classifier a kind, its threshold."""
 
+    def __init__(self, names: NameModel):
+        self.names, self._words = names, {}
+        self.low, self.cap = public_words()
+        self.trees, self.limits, self.held_out = [], [], {}
 
-def t_common(t: Tokens, i: int) -> set[str]:
-    return {t.plain[i]} if t.common[i] else set()
+    @staticmethod
+    def _label(c: tuple, t: Tokens, text: str, field: int, k: int, start: int, end: int) -> int | None:
+        """1 for a span that covers the item well, 0 for one that surely covers none, None where that is unknown."""
+        inside = min(c[2], end) - max(c[1], start)
+        if inside > 0:
+            if k == c[0]:
+                if k in (1, 2):
+                    return int(inside >= 0.95 * (end - start) and inside >= 0.95 * (c[2] - c[1]))
+                return int(inside >= 0.6 * (c[2] - c[1]))
+            if k >= 0 and (c[0] == 0 or k == 0 or (k == 2 and c[0] == 4) or field):
+                return None
+            return 0
+        if field:
+            return 1 if c[0] == 0 and "@" in text[c[1] : c[2]] else None
+        if c[0] == 4:
+            info = t.info[c[3] : c[4] + 1]
+            if any(w.given for w in info) and (any(not w.given and w.family > 0.6 for w in info) or not all(w.plain in VERB_NAMES for w in info if w.given)):
+                return None
+            return 0 if all(w.common or w.low or w.family < 0.3 for w in info) else None
+        return None
 
+    def word(self, w: str) -> Word:
+        if w not in self._words:
+            if len(self._words) > 100_000:
+                self._words.clear()
+            self._words[w] = Word(w, self.names, self.low, self.cap)
+        return self._words[w]
 
-class Detector:
-    """Models of one corpus: names, one boosted classifier a kind, its threshold."""
-
-    def __init__(self, committers: list[str], messages: list[str], seed: int = 5):
-        self.names = NameModel([repair(c)[0] for c in committers], [repair(m)[0] for m in messages])
-        made = Synthetic(self.names, [repair(m)[0] for m in messages], committers, seed)
-        rows: list[list[list[float]]] = [[] for _ in KINDS]
-        labels: list[list[int]] = [[] for _ in KINDS]
-        for text, field, truth in made.texts(INJECTED):
-            found, t, flat = candidates(text, self.names)
-            for c in found:
-                y = truth(c, t)
-                if y is not None:
-                    rows[c[0]].append(features(text, flat, t, c, field))
-                    labels[c[0]].append(y)
-        self.trees, self.limits, self.held_out = [], [], {}
-        for k, kind in enumerate(KINDS):
-            x, y = np.array(rows[k]), np.array(labels[k], float)
-            hold = np.arange(len(y)) % 4 == 0
-            tree = Boosted().fit(x[~hold], y[~hold]).calibrate(x[hold], y[hold])
-            p = tree.predict(x[hold])
-            grid = np.linspace(0.2, 0.8, 25)
-            f1 = [2 * ((p >= g) & (y[hold] == 1)).sum() / max(1, (p >= g).sum() + y[hold].sum()) for g in grid]
-            top = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-            self.trees.append(tree)
-            self.limits.append(float(grid[top[len(top) // 2]]))
-            self.held_out[kind] = (int(hold.sum()), float(max(f1)))
+    def __getstate__(self):
+        return self.__dict__ | {"_words": {}}
 
     def spans(self, text: str | None, field: int) -> list[tuple[int, int, int]]:
         """Selected (start, end, kind), without overlaps: the more probable span wins."""
-        if not text:
-            return []
-        found, t, flat = candidates(text, self.names)
-        if not found:
-            return []
-        scored = []
-        for k in {c[0] for c in found}:
-            own = [c for c in found if c[0] == k]
-            p = self.trees[k].predict(np.array([features(text, flat, t, c, field) for c in own]))
-            scored.extend((float(q) - self.limits[k], c) for q, c in zip(p, own) if q >= self.limits[k])
-        taken: list[tuple[int, int, int]] = []
-        for _, c in sorted(scored, key=lambda x: (-x[0], x[1])):
-            if not any(c[1] < e and s < c[2] for s, e, _ in taken):
-                taken.append((c[1], c[2], c[0]))
-        return sorted(taken)
+        return self.batch([text or ""], field)[0]
 
     def batch(self, texts: list[str], field: int) -> list[list[tuple[int, int, int]]]:
         """``spans`` of many texts with one scoring call a kind."""
-        found = [candidates(x, self.names) if x else ([], None, "") for x in texts]
+        found = [candidates(z, self.word) if z else ([], None, "") for z in texts]
         keep: list[list[tuple[float, tuple]]] = [[] for _ in texts]
         for k in range(len(KINDS)):
             at = [(i, c) for i, (cs, _, _) in enumerate(found) for c in cs if c[0] == k]
@@ -244,163 +362,15 @@ class Detector:
                         keep[i].append((float(q) - self.limits[k], c))
         out = []
         for scored in keep:
-            taken: list[tuple[int, int, int]] = []
-            for _, c in sorted(scored, key=lambda x: (-x[0], x[1])):
-                if not any(c[1] < e and s < c[2] for s, e, _ in taken):
-                    taken.append((c[1], c[2], c[0]))
-            out.append(sorted(taken))
+            taken: list[tuple[int, int, int]] = []  # sorted, without overlaps
+            for _, c in sorted(scored, key=lambda z: (-round(z[0], 2), z[1][1] - z[1][2], z[1])):
+                i = bisect_left(taken, (c[2], 0, 0))
+                if i == 0 or taken[i - 1][1] <= c[1]:
+                    taken.insert(i, (c[1], c[2], c[0]))
+            out.append(taken)
         return out
 
 
-class Synthetic:
-    """Labelled texts: items and look-alikes in carriers, set into lines of the sample."""
-
-    def __init__(self, names: NameModel, messages: list[str], committers: list[str], seed: int):
-        self.r = random.Random(seed)
-        self.names = names
-        self.lines = [x for m in messages if m for x in m.split("\n") if x.strip()] or ["Check the page"]
-        self.families = names.families or ["smith", "jones", "novakova"]
-        self.givens = [*names.givens, *GIVEN]
-
-    def n(self, pattern: str) -> str:
-        r = self.r
-        return "".join(str(r.randrange(10)) if c == "9" else r.choice("ABCEHJKMNPQRXYZ") if c == "A" else c for c in pattern)
-
-    def word(self) -> str:
-        r = self.r
-        return "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") + r.choice(["", "", "n", "r", "l", "m", "s"]) for _ in range(r.choice([1, 2, 2]))) + r.choice(["ford", "wick", "by", "mere", "holm", "ton", "dorf", "ville"])
-
-    def name(self) -> str:
-        r = self.r
-        g, f = r.choice(self.givens), r.choice(self.families)
-        if r.random() < 0.2:
-            g = r.choice(list(NICKNAMES))
-        if r.random() < 0.12:
-            f = r.choice(["van ", "de la ", "von ", "O’", "O'"]) + f.title()
-        g, f = g.title(), f[:1].upper() + f[1:]
-        u = r.random()
-        s = f"{g} {f}" if u < 0.4 else f"{g[0]}. {f}" if u < 0.5 else f"{g} {r.choice('ABCDKMR')}. {f}" if u < 0.58 else f"{f}, {g}" if u < 0.66 else f"{r.choice(['Mr', 'Ms', 'Dr.', 'Frau', 'Herr', 'Señora', 'M.'])} {f}" if u < 0.78 else g if u < 0.86 else f"{g} {f}".lower() if u < 0.92 else f"{g} {f}".upper() if u < 0.96 else f"{f}, {g[0]}."
-        u = r.random()
-        if u < 0.08 and s.isascii():
-            s = cyrillic(s)
-        elif u < 0.13:
-            s = f"{g}{f}".replace(" ", "")
-        elif u < 0.27:
-            i = r.randrange(1, len(s))
-            s = r.choice([s[:i] + s[i + 1 :], s[:i] + s[i - 1] + s[i:], s[: i - 1] + s[i - 1 : i + 1][::-1] + s[i + 1 :], s[:i] + r.choice("aeiorstn") + s[i + 1 :]]).strip() or s
-        elif u < 0.3 and not s.isupper():
-            s = s[:2] + "�" + s[3:]
-        return s
-
-    def email(self) -> str:
-        r = self.r
-        g, f = r.choice(self.givens), r.choice(self.families)
-        local = r.choice([f"{g}.{f}", f"{g[0]}{f}", f"{f}{r.randrange(99)}", f"{g}_{f}", f"{g}+{r.choice(['row', 'tree', 'page'])}", f"{f}.{g}", f"{g}-{f}", g[0] + f[0], f, r.choice(["build", "info", "landing", "no-reply", "core-team", "x", "me2"])])
-        dom = [r.choice(["mail", "dev", "post"]), self.word()] if r.random() < 0.3 else [self.word()]
-        tld = r.choice(["example", "test", "invalid", "com", "org", "net", "de", "io"])
-        u = r.random()
-        if u < 0.6:
-            s = f"{local}@{'.'.join([*dom, tld])}"
-        elif u < 0.68:
-            s = f"{local} at {' dot '.join([*dom, tld])}"
-        elif u < 0.76:
-            s = f"{local} [at] {'.'.join([*dom, tld])}"
-        elif u < 0.84:
-            s = f"{local}(at){'(dot)'.join([*dom, tld])}"
-        elif u < 0.9:
-            s = f"{local} @ {'.'.join([*dom, tld])}"
-        else:
-            s = f"{local}@{self.word()}" + (str(r.randrange(1, 10)) if r.random() < 0.5 else "")
-        u = r.random()
-        return f"<{s}>" if u < 0.3 else f"mailto:{s}" if u < 0.4 else s.upper() if u < 0.46 else s
-
-    def phone(self) -> str:
-        s = self.n(self.r.choice(["+44 20 7946 0999", "+33 1 99 00 99 99", "+7 (495) 000-99-99", "+49 (0)30 23125 999", "+493023125999", "01632 960999", "0491 570 999", "(999) 555-0199", "999-555-0199", "999.555.0199", "1-999-555-0199", "555 0199", "+1 (999) 555-0199", "0033199 009999", "03-0000-9999", "+1 999 555 0199", "01 99 00 99 99", "+41 44 999 99 99"]))
-        s = s.replace("(", "(").strip()
-        return "".join(chr(ord(c) + 0xFEE0) if c.isdigit() or c == "-" else c for c in s) if self.r.random() < 0.1 else s + (self.r.choice([" ext. ", " x"]) + self.n("999") if self.r.random() < 0.1 else "")
-
-    def number(self) -> str:
-        r = self.r
-        key, pat = r.choice([("SSN ", "666-99-9999"), ("SSN ", "000-99-9999"), ("social security number: ", "666 99 9999"), ("CPF ", "000.999.999-99"), ("DNI ", "99999999-A"), ("PESEL ", "99999999999"), ("Steuer-ID ", "99 999 999 999"), ("СНИЛС ", "000-999-999 99"), ("NI number ", "AA 99 99 99 A"), ("", "AA999999A"), ("", "QQ999999A"), ("driving licence no. ", "ZZ999999A"), ("passport no. ", "AA9999999"), ("Reisepass ", "X99999999A"), ("tax id ", "000999999"), ("personal ID ", "999999/9999"), ("マイナンバー ", "0000 9999 9999"), ("", "000-99-9999"), ("", "666-99-9999"), ("BSN ", "999999999")])
-        return (key if key and r.random() < 0.85 else "") + self.n(pat) if pat not in ("000999999", "99999999999", "0000 9999 9999", "99 999 999 999", "999999999") else key + self.n(pat)
-
-    def address(self) -> str:
-        r, w, n = self.r, self.word().title(), self.r.randrange(1, 250)
-        t = self.word().title()
-        s = r.choice([f"{n} {w} Lane, {t}", f"{n} {w} Avenue, Apt {n % 30}B, {t} {self.n('99999')}", f"{n} {w} St", f"{n} N. {w} Blvd, Suite {self.n('999')}", f"{n} old {w.lower()} rd, {t.lower()}", f"Flat {n % 9 + 1}, {t} House, {n} {w} Road", f"{n}, rue de {w}, {self.n('99999')} {t}", f"calle {w} {n}, {n % 9 + 1}º B, {t}", f"ul. {w} {n}/{n % 40 + 1}, {t}", f"{w}weg {n}a", f"{w}straße {n}, {self.n('99999')} {t}", f"{w}gatan {n}, {t}", f"{n} {w} Road", f"{n} {w} Street, {t}", f"ул. {cyrillic(w)}, д. {n}, кв. {n % 90 + 1}"])
-        return s.upper() if r.random() < 0.04 else s
-
-    def org(self) -> str:
-        r = self.r
-        base = (r.choice(self.families).title() if r.random() < 0.6 else self.word().title()) + r.choice(["ix", "tec", "", ""])
-        what = r.choice(["Laboratories", "Systems", "Software", "Consulting", "Industries", "Engineering", "Labs", "Softw.", "Eng.", "Syst.", "Lab.", "Consult."])
-        end = r.choice(["Ltd", "Inc", "GmbH", "SA", "Limited", "Incorporated", "s.a.", ""])
-        s = r.choice([f"{base} {what} {end}", f"{base} {what}, {end}", f"{what} {base} {end}", f"The {base} {what} Team", f"{base} {what}"]).strip(" ,")
-        return s.upper() if r.random() < 0.08 else s.lower() if r.random() < 0.05 else s
-
-    def decoy(self) -> str:
-        r = self.r
-        return r.choice([
-            lambda: self.n("Timing: 999-99-9 ms per step"), lambda: self.n("offset 00999 999 999"), lambda: self.n("Lines 999-999-9999 were skipped"), lambda: self.n("crc32 9999999999"), lambda: self.n("epoch 1699999999 is not 1999999999"),
-            lambda: self.n("build 9.99.999.9999"), lambda: self.n("Fixes bug 999999"), lambda: self.n("Bump librow@9.99.9"), lambda: self.word() + "@" + "".join(r.choice("0123456789abcdef") for _ in range(r.choice([7, 7, 12]))), lambda: self.word() + "@" + "".join(r.choice("abcdef") for _ in range(7)), lambda: "Use the @read_only decorator",
-            lambda: "sha1:" + "".join(r.choice("0123456789abcdef") for _ in range(40)), lambda: self.n("2024-09-19"), lambda: self.n("2024-09-19 19:49:09"), lambda: self.n("10.99.99.99"), lambda: self.n("Costs 9 € per run"), lambda: self.n("9 lanes and one road block in ") + "get_name",
-            lambda: f"Will {r.choice(['drop', 'copy', 'merge', 'check'])} the {r.choice(['page', 'overlay', 'reader'])} later", lambda: f"Mark {r.choice(['hunk', 'page', 'reader'])} as {r.choice(['stale', 'sparse', 'missing'])}", lambda: f"Bill of materials for the {r.choice(['page', 'overlay'])}", lambda: f"Grant {r.choice(['page', 'reader'])} access only once", lambda: self.n("Max page size is 99 kB"),
-            self.org, self.org, lambda: f"{r.choice(['Landing', 'Mirror', 'Nightly'])} {r.choice(['Robot', 'Daemon', 'Bot'])}", lambda: self.n("line 9999999 of 9999999"), lambda: self.n("99999999 bytes"), lambda: self.n("pid 9999999"),
-            lambda: self.n("address 0x99cc9cc9d"), lambda: "in " + self.word().title(), lambda: "em São " + self.word().title(), lambda: self.word() + "-kit", lambda: self.n("99 root entries close 9 rows"), lambda: self.n("rows 9999999-9999999"), lambda: f"{self.r.choice(self.families)}.get()", lambda: self.n("port 99999, size 9999999"),
-        ])()
-
-    _CARRIERS = ["{}", "thanks to {} for the trace", "Cc: {}", "Acked-by: {}", "suggested by {}, not tested", "TODO({})", "old value was {}", '"contact": "{}",', "owner = {}", "- tree, {}, row", "; {}; page", "# {}", "* {} *", "[{}]", "({})", "{} / stream", "per {}'s patch", "As {} pointed out, this is racy", "mit {} besprochen", "спасибо {}", "Merci à {}", "ping {}", "redact {} later", "strip {} from the sample", "the dump leaked {}", "test row had {}", "fixture contained {}", "call {} before landing", "fax {} still works", "bei Fragen {} anrufen", "their desk is {}", "wohnt {}", "office moved to {}", "parcel goes to {}", "invoice address {}", "Ship the disk to {}", "Mail {} with questions", "bounce from {} again", "reported by {}", "> {}", "{} was in the fixture", "log shows {} twice", "r={}", "sample used {}", "Kontakt {}", "contact: {}"]
-
-    def texts(self, count: int):
-        r = self.r
-        make = [self.email, self.phone, self.number, self.address, self.name]
-        weights = [1, 1.2, 1.2, 1, 2.2]
-        for _ in range(count):
-            base, tail = r.choice(self.lines), r.choice(self.lines)
-            field = int(r.random() < 0.2)
-            if field:
-                k = 4
-                item = self.name()
-                u = r.random()
-                mail = self.email().strip("<>").replace("mailto:", "")
-                text = f"{item} <{mail}>" if u < 0.5 else item if u < 0.7 else f"{item} ({self.phone()})" if u < 0.8 else f"{item}, {self.word().title()} <{mail}>" if u < 0.85 else None
-                who = ""
-                if text is None:
-                    who = self.org() if r.random() < 0.8 else r.choice(["Landing Robot", "Mirror Daemon", "nightly-import", "Build Bot", "autopack service"])
-                    text, k = who + (f" <build@{self.word()}.example>" if r.random() < 0.6 else ""), -1
-                start, end = (0, len(item)) if k >= 0 else (0, len(who))
-            else:
-                k = r.choices(range(-1, 5), [3.5, *weights])[0]
-                item = self.decoy() if k < 0 else make[k]()
-                carrier = r.choice(self._CARRIERS) if k >= 0 or r.random() < 0.35 else "{}"
-                sep = r.choice(["\n", "\n", " ", ". ", " "])
-                head, foot = ("" if r.random() < 0.15 else base + sep), ("" if r.random() < 0.4 else r.choice(["\n", "\n", " "]) + tail)
-                pre, post = carrier.split("{}")
-                start = len(head) + len(pre)
-                end = start + len(item)
-                text = head + pre + item + post + foot
-
-            def truth(c, t, k=k, start=start, end=end, text=text, field=field):
-                inside = min(c[2], end) - max(c[1], start)
-                if inside > 0:
-                    if k == c[0]:
-                        return int(inside >= 0.5 * (c[2] - c[1]))
-                    if k >= 0 and (c[0] == 0 or k == 0 or (k == 2 and c[0] == 4) or field):
-                        return None
-                    return 0
-                if field:
-                    return 1 if c[0] == 0 and "@" in text[c[1] : c[2]] else None
-                if c[0] == 4:
-                    a, b = c[3], c[4]
-                    strong = any(t.given[a : b + 1]) and any(not g and f > 0.6 for g, f in zip(t.given[a : b + 1], t.family[a : b + 1]))
-                    if strong:
-                        return None
-                    return 0 if all(t.common[i] or t.family[i] < 0.3 for i in range(a, b + 1)) and not any(t.given[i] and t.plain[i] not in VERB_NAMES for i in range(a, b + 1)) else None
-                return None
-
-            yield text, field, truth
-
-
 def sample(df: DataFrame, column: str, rows: int = SAMPLE) -> list[str]:
     """Up to ``rows`` distinct values, those of least hash: the same on every run.
 
@@ -415,21 +385,47 @@ def sample(df: DataFrame, column: str, rows: int = SAMPLE) -> list[str]:
     return [r[0] for r in part.distinct().orderBy("h", column).limit(rows).collect()]
 
 
-def hash_of(s: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(s)
-
+PARTS = 16  # tasks that make the labelled texts; the same at every size of cluster and corpus
 
-def fitted(df: DataFrame) -> Detector:
-    """The detector of a revision table; at most SAMPLE values of each field reach the driver."""
-    return Detector(sample(df, "committer"), sample(df, "message"))
 
+def fitted(df: DataFrame, seed: int = 5) -> Detector:
+    """The detector of a revision table: lexicons of all rows, trees from INJECTED texts around lines of at most SAMPLE messages.
 
-_worker: dict[int, Detector] = {}
-
-
-def _load(key: int, blob) -> Detector:
+    Labelled texts are made and trees grown in Spark tasks, a part and a kind each; what they
+    hold is bounded by the parameters. The same table gives the same detector.
+    """
+    spark = df.sparkSession
+    names, messages = learnt(df), sample(df, "message")
+    held = spark.sparkContext.broadcast((names, messages))
+
+    def make(batches):
+        names, messages = held.value
+        lines = [z for m in messages for z in repair(m)[0].split("\n") if z.strip()]
+        for b in batches:
+            for part in b["id"]:
+                rows = list(labelled(names, lines, seed * 1000 + int(part), INJECTED // PARTS))
+                yield pd.DataFrame({"part": int(part), "n": range(len(rows)), "kind": [r[0] for r in rows], "y": [float(r[1]) for r in rows], "x": [r[2] for r in rows]})
+
+    def grow(key, pdf):
+        pdf = pdf.sort_values(["part", "n"])
+        return pd.DataFrame({"kind": [int(key[0])], "model": [pickle.dumps(fit_kind(np.stack(pdf["x"].to_list()), pdf["y"].to_numpy()))]})
+
+    made = durable(spark.range(0, PARTS, 1, PARTS).mapInPandas(make, "part int, n int, kind int, y double, x array<double>"))
+    grown = {r["kind"]: pickle.loads(bytes(r["model"])) for r in made.groupBy("kind").applyInPandas(grow, "kind int, model binary").collect()}
+    release(made)
+    d = Detector(names)
+    for k, kind in enumerate(KINDS):
+        tree, limit, n, f1 = grown[k]
+        d.trees.append(tree)
+        d.limits.append(limit)
+        d.held_out[kind] = (n, f1)
+    return d
+
+
+_worker: dict[str, Detector] = {}
+
+
+def _load(key: str, blob) -> Detector:
     if key not in _worker:
         _worker.clear()
         _worker[key] = pickle.loads(blob.value)
@@ -479,8 +475,8 @@ def personal(df: DataFrame, detector: Detector | None = None) -> DataFrame:
     repeated rows give repeated results.
     """
     detector = detector or fitted(df)
-    blob = df.sparkSession.sparkContext.broadcast(pickle.dumps(detector))  # some 200 kB, bounded by SAMPLE
-    key = id(blob)
+    blob = df.sparkSession.sparkContext.broadcast(pickle.dumps(detector))  # some MB: bounded by names.MOST and the vocabulary
+    key = str(uuid.uuid4())
     kind = "out string, kinds array<string>"
 
     def scan(field: int):
