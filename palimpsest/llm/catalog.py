@@ -1,5 +1,7 @@
 """Queries of the text operators over the store's tables."""
 
+from pyspark.sql import functions as F
+
 from palimpsest.llm import aliases, garbled, mixing, pii, repetition, tokens
 from palimpsest.sources.tables import table
 
@@ -20,6 +22,7 @@ QUERIES = {
     "p6_found": lambda s, d: aliases.variants(_revs(s, d)),
     "p6_entities": lambda s, d: aliases.entities(_revs(s, d)),
     "p7_ids": lambda s, d: tokens.encode_corpus(_docs(s, d)),
+    "p7_decoded": lambda s, d: tokens.decode_corpus(tokens.encode_corpus(_docs(s, d))).select("doc_id", F.sha1("text").alias("sha1")),
     "p8_mix": lambda s, d: mixing.mix(_docs(s, d), table(s, d, "mix_target")),
     "p8_shares": lambda s, d: mixing.shares(_docs(s, d), table(s, d, "mix_target")),
     "p9_found": lambda s, d: repetition.repetitive(_docs(s, d)),
@@ -35,4 +38,4 @@ share AS (SELECT doc_id, count(*) AS n FROM cover GROUP BY 1)
 SELECT t.doc_id FROM t JOIN share USING (doc_id) WHERE n >= 0.35 * length(s)
 """
 
-ORACLE: dict[str, str] = {"p9_found": _P9}
+ORACLE: dict[str, str] = {"p9_found": _P9, "p7_decoded": "SELECT doc_id, sha1(coalesce(text, '')) AS sha1 FROM documents"}

@@ -1,9 +1,10 @@
 """Repetition inside a single document by compression bands.
 
 zstandard ratios of the letters, over the whole document and over fixed chunks, place each
-document in a band: `incompressible` texts hold no share of repeated letters worth naming,
-`suspect` ones are measured exactly, `short` ones have no room for repetition. Limits depend on the length, since
-short texts compress badly even where they repeat.
+document in a band. `short` texts have no room for repetition. `incompressible` ones are
+rejected: from FREE bytes on, a text of which zstandard makes hardly less than what the
+frequencies of its bytes alone allow repeats nothing worth naming. `repetitive` ones (ratios
+below limits for their length) and `suspect` ones (all others) are measured exactly.
 """
 
 from collections.abc import Iterator
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 SPAN = 20  # letters of one repeated run
 SHARE = 0.35  # share of repeated letters from which a document counts
 CHUNK = 2048  # bytes of one chunk
-#: (letters below, greatest ratio of compressed to plain bytes that may hide repetition)
-LIMITS = [(120, 2.0), (300, 0.75), (1000, 0.60), (4000, 0.50), (1 << 62, 0.45)]
+FREE = 4096  # bytes below which no text is rejected: headers hide what repeats
+GAIN = 0.97  # share of the bytes' entropy above which compression found no repetition
+#: (bytes below, ratio of compressed to plain bytes below which a text repeats itself)
+REPETITIVE = [(300, 0.45), (1000, 0.30), (4000, 0.22), (1 << 62, 0.15)]
 _OTHER = regex.compile(r"[^\p{L}]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -29,7 +32,14 @@ def letters(text: str | None) -> str:
 
 
 def limit(n: int) -> float:
-    return next(x for below, x in LIMITS if n < below)
+    return next(x for below, x in REPETITIVE if n < below)
+
+
+def entropy(raw: bytes) -> float:
+    """Bits a byte that the frequencies of the bytes need, as a share of 8."""
+    n = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    p = n[n > 0] / len(raw)
+    return float(-(p * np.log2(p)).sum() / 8)
 
 
 def _compressor(size: int):
@@ -37,22 +47,24 @@ def _compressor(size: int):
     return zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(6, window_log=log, write_content_size=False))
 
 
-def ratios(seq: str) -> tuple[float, float]:
-    """Compressed share of the whole sequence and the least of its chunks; 1.0 where empty."""
+def ratios(seq: str) -> tuple[float, float, float]:
+    """Compressed share of the whole sequence, the least of its chunks (the last may be shorter), and its bytes' entropy."""
     raw = seq.encode()
     if not raw:
-        return 1.0, 1.0
+        return 1.0, 1.0, 0.0
     c = _compressor(len(raw))
     whole = len(c.compress(raw)) / len(raw)
-    parts = [raw[i : i + CHUNK] for i in range(0, len(raw) - CHUNK + 1, CHUNK)] if len(raw) > CHUNK else []
-    return whole, min((len(c.compress(p)) / len(p) for p in parts), default=whole)
+    parts = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)] if len(raw) > CHUNK else []
+    return whole, min((len(c.compress(p)) / len(p) for p in parts), default=whole), entropy(raw)
 
 
-def band(seq: str, whole: float, least: float) -> str:
-    n = len(seq)
-    if n <= SPAN:
+def band(seq: str, whole: float, least: float, even: float) -> str:
+    n = len(seq.encode())
+    if len(seq) <= SPAN:
         return "short"
-    return "suspect" if whole <= limit(n) or least <= limit(CHUNK) else "incompressible"
+    if whole <= limit(n) or least <= limit(CHUNK):
+        return "repetitive"
+    return "incompressible" if n >= FREE and whole >= GAIN * even and least >= GAIN * even else "suspect"
 
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -94,9 +106,9 @@ def repeated_share(seq: str) -> float:
 
 def measure(text: str | None, every: bool = False) -> tuple[int, float, float, str, float | None]:
     seq = letters(text)
-    whole, least = ratios(seq)
-    b = band(seq, whole, least)
-    return len(seq), whole, least, b, repeated_share(seq) if every or b == "suspect" else (0.0 if b == "short" else None)
+    whole, least, even = ratios(seq)
+    b = band(seq, whole, least, even)
+    return len(seq), whole, least, b, 0.0 if b == "short" else repeated_share(seq) if every or b != "incompressible" else None
 
 
 def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:

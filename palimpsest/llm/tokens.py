@@ -2,10 +2,11 @@
 
 A text is halved down to leaves; leaves are encoded, and neighbours are joined by
 encoding a window around their border again. The window grows on either side until it
-starts and ends where a letter or digit is followed by a space or line feed. No piece of
-the tokenizer's pattern crosses such a place and none looks behind it, so tokens outside
-the window are those of the whole text. Where no such place exists the window is the
-whole text of both halves.
+starts and ends at a stable place: where a letter or digit is followed by a space, a line
+feed or a mark, or a mark other than an apostrophe by a letter or digit. No piece of the
+tokenizer's pattern crosses such a place and none looks behind it, so tokens outside the
+window are those of the whole text. Where no such place exists the window is the whole
+text of both halves. Decoding concatenates the bytes of halves up the same kind of tree.
 """
 
 import base64
@@ -18,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 4096  # characters that are encoded at once
+LEAF = 256  # characters of a leaf of the tree, and ids of a leaf when decoding
 VOCABULARY = "byte_bpe_50k.tiktoken"
-_STABLE = re.compile(r"[^\W_][ \n]")
+_STABLE = re.compile(r"[^\W_](?=[ \n]|[^\w\s])|[^\w\s'](?=[^\W_])")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -89,8 +90,15 @@ def encode(text: str, enc, lengths: np.ndarray, leaf: int = LEAF) -> list[int]:
     return reduce(0, len(text))
 
 
-def decode(ids: list[int], path: str | None = None) -> str:
-    return tokenizer(path or vocabulary_path())[0].decode(ids)
+def decode(ids: list[int], enc, leaf: int = LEAF) -> str:
+    """The text of token ids: bytes of halves, concatenated up the tree."""
+    def reduce(lo: int, hi: int) -> bytes:
+        if hi - lo <= leaf:
+            return enc.decode_bytes(ids[lo:hi])
+        mid = (lo + hi) // 2
+        return reduce(lo, mid) + reduce(mid, hi)
+
+    return reduce(0, len(ids)).decode(errors="replace")
 
 
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -118,6 +126,18 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumnRenamed("id", id_col)
 
 
+def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """(id_col, text): the text of every row's token ids; null and empty lists give an empty text."""
+    path = path or vocabulary_path()
+
+    @F.pandas_udf("string")
+    def run(ids):
+        enc, _ = tokenizer(path)
+        return ids.map(lambda x: "" if x is None else decode([int(i) for i in x], enc))
+
+    return df.select(id_col, run(F.col(ids_col)).alias("text"))
+
+
 def token_counts(df: DataFrame, keep: list[str], text_col: str = "text", path: str | None = None) -> DataFrame:
     """The columns ``keep`` and n_tokens of every row; null and empty texts have 0 tokens."""
     path = path or vocabulary_path()

@@ -10,7 +10,7 @@ from palimpsest.llm import catalog, mixing, repetition, tokens
 
 DATA = "/root/testdata/sf0.001"
 ENC, LENGTHS = tokens.tokenizer(tokens.vocabulary_path())
-PIECES = st.lists(st.sampled_from(["word", " ", "  ", "\n", "é", "'ll", "'", "漢字", "👩‍💻", "<|endoftext|>", "12", "\t", "x" * 9, ".", "　"]), max_size=60).map("".join)
+PIECES = st.lists(st.sampled_from(["word", " ", "  ", "\n", "é", "'ll", "'", "漢字", "👩‍💻", "<|endoftext|>", "12", "\t", "x" * 9, ".", "　", "，", "don't", "_", "e\u0301", "\x1c", "½", "٣", "'s", "-", "\u00a0"]), max_size=60).map("".join)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
@@ -28,7 +28,7 @@ def test_query_runs(spark, name):
 @given(PIECES, st.sampled_from([1, 2, 3, 7, 16]))
 def test_tree_reduction_is_exact(text, leaf):
     ids = tokens.encode(text, ENC, LENGTHS, leaf)
-    assert ids == ENC.encode_ordinary(text) and ENC.decode(ids) == text
+    assert ids == ENC.encode_ordinary(text) and tokens.decode(ids, ENC, leaf) == text
 
 
 def test_same_as_the_other_library():
@@ -81,6 +81,26 @@ def test_bands_lose_nothing(spark):
     assert repetition.repetitive(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [5000, 30_000, 60_000, 100_000, 400_000])
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ab", "漢字列仮名交文書簡略"])
+@pytest.mark.parametrize("unit", [21, 400])
+def test_no_length_hides_repetition(n, alphabet, unit):
+    """Random letters of which 35 to 45 % come again, in pieces as short as counts, as far away as can be."""
+    rng = random.Random(n)
+    fresh = "".join(rng.choices(alphabet, k=int(n * 0.6)))
+    starts = rng.sample(range(len(fresh) - unit), int(n * 0.4) // unit)
+    text = fresh + "".join(fresh[i : i + unit] for i in starts)
+    assert repetition.repeated_share(text) >= repetition.SHARE
+    assert repetition.measure(text)[4] >= repetition.SHARE
+
+
+def test_bands_reject():
+    rng = random.Random(4)
+    noise = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20_000))
+    assert repetition.measure(noise)[3:] == ("incompressible", None) and repetition.measure("spam and eggs " * 500)[3] == "repetitive"
+    assert repetition.measure(noise[:3000])[3] == "suspect" and repetition.measure("x" * 20)[3] == "short"
+
+
 def test_raking():
     rng = np.random.default_rng(2)
     s, lang, topic = (rng.integers(0, k, 60) for k in (3, 2, 4))
