@@ -5,12 +5,14 @@ and decodes the bytes with another (or unescapes references). A character-plausi
 cost orders the frontier, visited texts are kept by hash, and the cheapest reachable text
 wins if it beats the given one by a margin. The search runs on lines, on stretches of
 non-ASCII words, on words and on runs of non-ASCII characters, so that partly garbled
-texts are repaired too.
+texts are repaired too. One-byte misreadings that leave a plausible word are recognised by
+the corpus: the word that they stand for is counted far more often.
 """
 
 import codecs
 import heapq
 import html
+import math
 import re
 from functools import lru_cache
 
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.plans.spread import spread
 
-MAX_NODES = 40  # expanded texts of one search; garbling nests a few times at most
-MAX_DEPTH = 4
+MAX_NODES = 10_000  # expanded texts of one search; only steps into UTF-8 and unescaping are expanded, and those shorten a text
+ESCAPE = 1.5  # cost of an escape inside a word
 MULTI_MARGIN, SINGLE_MARGIN, SINGLE_SHARE = 0.3, 2.4, 0.62
 ODD, ODD_MARGIN = 2.2, 1.2  # a single character this implausible lets a one-byte step win by less
 
@@ -194,10 +196,65 @@ def least(s: str) -> float:
     return total
 
 
+#: escapes of characters outside ASCII: references, code points, and bytes in three notations
+_REFERENCE = re.compile(r"&(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z][A-Za-z0-9]{1,30});")
+_POINT = re.compile(r"\\u\{?([0-9a-fA-F]{4,6})\}?")
+_BYTES = {"%": re.compile(r"(?:%[89A-Fa-f][0-9A-Fa-f])+"), "=": re.compile(r"(?:=[89A-F][0-9A-F])+"), "\\x": re.compile(r"(?:\\x[89A-Fa-f][0-9A-Fa-f])+")}
+#: what may be such an escape, for a filter that runs before Python
+ESCAPED = r"&#?[A-Za-z0-9]{2,};|\\u\{?[0-9a-fA-F]{4}|(?:%[89A-Fa-f][0-9A-Fa-f]){2}|(?:=[89A-F][0-9A-F]){2}|(?:\\x[89A-Fa-f][0-9A-Fa-f]){2}"
+_ESCAPED = re.compile(ESCAPED)
+#: escapes that stand in a word or follow each other: a lone reference may well be meant
+_IN_WORD = re.compile(rf"(?<=[^\W\d_])(?:{ESCAPED})|(?:{ESCAPED})(?=[^\W\d_]|{ESCAPED})")
+
+
+def escapes(s: str) -> float:
+    """What the escapes inside the words of a text cost."""
+    return ESCAPE * len(_IN_WORD.findall(s)) if _ESCAPED.search(s) else 0.0
+
+
+def _start(s: str, i: int) -> int:
+    """Where the word that place ``i`` lies in begins."""
+    return max(s.rfind(c, 0, i) for c in " \t\n") + 1
+
+
+def unescaped(s: str):
+    """(text, grade, name) of each notation's escapes undone; those of ASCII characters stay as they are."""
+    if "&" in s:
+        t = _REFERENCE.sub(lambda m: m.group() if (u := html.unescape(m.group())).isascii() else u, s)
+        if t != s:
+            yield t, NEUTRAL, "unescape&"
+    if "\\u" in s:
+        def point(m: re.Match) -> str:
+            n = int(m.group(1), 16)
+            return chr(n) if 0x80 <= n <= 0x10FFFF else m.group()
+
+        t = _POINT.sub(point, s)
+        try:
+            t = t.encode("utf-16-le", "surrogatepass").decode("utf-16-le")
+        except UnicodeDecodeError:
+            t = s
+        if t != s:
+            yield t, NEUTRAL, "unescape\\u"
+    for mark, pattern in _BYTES.items():
+        if mark in s:
+            def text(m: re.Match, mark=mark) -> str:
+                if mark != "\\x" and "/" in s[_start(s, m.start()) : m.start()]:
+                    return m.group()  # addresses of pages are meant to hold them
+                b = bytes.fromhex(m.group().replace(mark, ""))
+                return from_bytes(b, "utf-8") or m.group()
+
+            t = pattern.sub(text, s)
+            if t != s:
+                yield t, STRONG, f"unescape{mark}>utf-8"
+
+
+WEAK, NEUTRAL, STRONG = range(3)
+
+
 def edges(s: str, limit: float):
-    """(next text, whether the step is strong evidence, its name); weak steps only if they can cost up to ``limit``."""
-    if "&" in s and (t := html.unescape(s)) != s and not t.isascii():
-        yield t, False, "unescape"
+    """(next text, grade of evidence, its name); weak steps only if they can cost up to ``limit``."""
+    if _ESCAPED.search(s):
+        yield from unescaped(s)
     pair, ideograph = bool(_PAIR.search(s)), bool(_IDEOGRAPH.search(s))
     single = least(s) <= limit
     for enc in READ_AS:
@@ -211,48 +268,52 @@ def edges(s: str, limit: float):
             continue
         t = from_bytes(b, "utf-8")
         if t is not None and t != s:
-            yield t, True, f"{enc}>utf-8"
+            yield t, STRONG, f"{enc}>utf-8"
         if enc in SINGLE_FROM:
             if single:
                 for to in SINGLE_TO:
                     if to != enc and (t := from_bytes(b, to)) != s:
-                        yield t, False, f"{enc}>{to}"
+                        yield t, WEAK, f"{enc}>{to}"
             if enc in ("cp1252", "latin-1", "mac_roman") and pair and sum(x >= 0x80 for x in b) >= 4:
                 for to in MULTI_TO:
                     t = from_bytes(b, to)
                     if t is not None and t != s:
-                        yield t, False, f"{enc}>{to}"
+                        yield t, WEAK, f"{enc}>{to}"
 
 
 @lru_cache(maxsize=50_000)
 def search(s: str) -> tuple[str, tuple[str, ...]]:
-    """The cheapest text reachable from ``s`` and the steps to it; no steps if none is cheap enough."""
+    """The cheapest text reachable from ``s`` and the steps to it; no steps if none is cheap enough.
+
+    Strong and neutral steps are followed to the end, cheapest text first, each text once.
+    A weak step ends its way: it is judged against the start, never expanded.
+    """
     start, worst = costs(s)
+    start += escapes(s)
     if start < 0.9:
         return s, ()
     margin = ODD_MARGIN if worst >= ODD else SINGLE_MARGIN
     limit = min(start * SINGLE_SHARE, start - margin)
     sure_best, weak_best = (start, s, ()), (start, s, ())
-    seen, frontier, k, expanded = {hash(s)}, [(start, 0, s, (), 0)], 0, 0
-    while frontier and expanded < MAX_NODES:
-        c, _, t, steps, weak = heapq.heappop(frontier)
-        expanded += 1
-        if len(steps) >= MAX_DEPTH or c < 0.5 or (steps and c > start + 1):
-            continue
-        for u, sure, name in edges(t, limit):
-            if hash(u) in seen or weak:
+    seen, frontier, k = {hash(s)}, [(start, 0, s, ())], 0
+    while frontier and k < MAX_NODES:
+        c, _, t, steps = heapq.heappop(frontier)
+        if c < 0.5 and steps:
+            break
+        for u, grade, name in edges(t, limit):
+            if hash(u) in seen or "\x00" in u:
                 continue
-            if sure:
-                seen.add(hash(u))
-            if "\x00" in u:
+            cu, path = cost(u) + escapes(u), (*steps, name)
+            if grade == WEAK:
+                cu += UNUSUAL.get(name.partition(">")[2], 0.0)
+                if cu < weak_best[0] and cu + margin <= start and cu <= start * SINGLE_SHARE:
+                    weak_best = (cu, u, path)
                 continue
-            cu, path, w = cost(u) + (0.0 if sure else UNUSUAL.get(name.partition(">")[2], 0.0)), (*steps, name), weak or not sure
-            if not w and cu < sure_best[0] and cu + MULTI_MARGIN <= start:
+            seen.add(hash(u))
+            if cu < sure_best[0] and cu + MULTI_MARGIN <= start:
                 sure_best = (cu, u, path)
-            elif w and cu < weak_best[0] and cu + margin <= start and cu <= start * SINGLE_SHARE:
-                weak_best = (cu, u, path)
             k += 1
-            heapq.heappush(frontier, (cu + 0.2 * len(steps), k, u, path, w))
+            heapq.heappush(frontier, (cu + 0.2 * len(steps), k, u, path))
     _, best, best_steps = sure_best if sure_best[2] else weak_best
     return best, best_steps
 
@@ -273,8 +334,12 @@ def _each(pattern: re.Pattern, s: str, steps: list[str], deeper) -> str:
     return "".join(out)
 
 
+def _clean(s: str) -> bool:
+    return s.isascii() and not _ESCAPED.search(s)
+
+
 def _level(s: str, steps: list[str], level: int) -> str:
-    if s.isascii():
+    if _clean(s):
         return s
     t, found = search(s)
     if level == 3 or (found and _strong(found)):
@@ -289,41 +354,78 @@ def _level(s: str, steps: list[str], level: int) -> str:
 
 
 def _strong(steps) -> bool:
-    return any(x.endswith(">utf-8") for x in steps)
+    return any(x.endswith(">utf-8") or x.startswith("unescape") for x in steps)
+
 
+def repair(text: str | None, words: dict[str, int] | None = None) -> tuple[str | None, tuple[str, ...], bool]:
+    """The text with garbled parts restored, the steps taken, and whether characters were lost.
 
-def repair(text: str | None) -> tuple[str | None, tuple[str, ...], bool]:
-    """The text with garbled parts restored, the steps taken, and whether characters were lost."""
-    if not text or text.isascii():
+    ``words`` counts the corpus's words that are not plain ASCII: what the search leaves may
+    still be a misreading of a word that is far more frequent.
+    """
+    if not text or _clean(text):
         return text, (), False
     steps: list[str] = []
     for _ in range(3):
         n = len(steps)
-        text = "\n".join(line if line.isascii() else _level(line, steps, 0) for line in text.split("\n"))
+        text = "\n".join(line if _clean(line) else _level(line, steps, 0) for line in text.split("\n"))
         if len(steps) == n:
             break
+    if words:
+        text = _FOREIGN.sub(lambda m: _familiar(m.group(), words, steps), text)
     lost = "�" in text or bool(_CUT.search(text))
     return text, tuple(steps), lost
 
 
+FOREIGN = r"[^\s<>()\[\]\"/.,;:]*[^\x00-\x7f\s][^\s<>()\[\]\"/.,;:]*"  # a word with a character outside ASCII
+_FOREIGN = re.compile(FOREIGN)
+MOST_WORDS = 200_000  # counted words that are sent to the tasks, the most frequent ones
+FAR_MORE = 10  # times that a word must be as frequent as what may be its misreading
+
+
+def _familiar(w: str, words: dict[str, int], steps: list[str]) -> str:
+    least = FAR_MORE * words.get(w, words.get("", 1))
+    best, how = w, None
+    for u, grade, name in edges(w, math.inf) if len(w) > 2 else ():
+        n = words.get(u, 0)
+        if grade == WEAK and n >= least and n > words.get(best if how else "", 0) and sum(c.isalpha() for c in u) > 2:
+            best, how = u, name
+    if how:
+        steps.append(how)
+    return best
+
+
+def foreign_words(texts: DataFrame) -> dict[str, int]:
+    """Counts of the words outside ASCII in a column ``text``, over all rows; "" has the count that words left out may have.
+
+    The counting is Spark's; at most MOST_WORDS words, the most frequent ones, reach the driver.
+    """
+    word = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({FOREIGN})"), F.lit(1))))
+    counts = texts.select(word.alias("w")).where("length(w) BETWEEN 3 AND 40").groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = counts.orderBy(F.col("n").desc(), "w").limit(MOST_WORDS).collect()
+    return {r["w"]: r["n"] for r in rows} | {"": rows[-1]["n"] if len(rows) == MOST_WORDS else 1}
+
+
 _RESULT = "restored string, found boolean, steps array<string>"
 
 
 def garbled(df: DataFrame, id_col: str = "revision_id", fields: tuple[str, ...] = ("message", "committer")) -> DataFrame:
     """id_col, field, text, restored, steps of every garbled field value, once per distinct value.
 
-    restored is null where characters were lost. Null, empty and ASCII values are never
-    garbled and do not leave the JVM; ids may be null. Repeated rows count once.
+    restored is null where characters were lost. Null, empty and ASCII values without escapes
+    are never garbled and do not leave the JVM; ids may be null. Repeated rows count once.
     """
     long = None
     for f in fields:
-        part = df.select(F.col(id_col).alias("id"), F.lit(f).alias("field"), F.col(f).alias("text")).where(F.col(f).rlike(r"[^\x00-\x7f]|&#?[A-Za-z0-9]+;"))
+        part = df.select(F.col(id_col).alias("id"), F.lit(f).alias("field"), F.col(f).alias("text")).where(F.col(f).rlike(r"[^\x00-\x7f]|" + ESCAPED))
         long = part if long is None else long.unionAll(part)
 
+    words = df.sparkSession.sparkContext.broadcast(foreign_words(long))
+
     @F.pandas_udf(_RESULT)
     def run(texts: pd.Series) -> pd.DataFrame:
         code, distinct = pd.factorize(texts)
-        once = [repair(t) for t in distinct]
+        once = [repair(t, words.value) for t in distinct]
         got = [once[c] for c in code]
         return pd.DataFrame({
             "restored": [None if lost else t for t, _, lost in got],

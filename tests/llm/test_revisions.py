@@ -31,6 +31,30 @@ def test_nested_partial_and_lost():
     assert garbled.repair(None) == (None, (), False) and garbled.repair("") == ("", (), False) and garbled.repair("plain" * 10000)[1] == ()
 
 
+@pytest.mark.parametrize("bad,good", [("Jos&Atilde;&copy; Silva", "José Silva"), ("Jos&eacute; Silva", "José Silva"), ("&#1055;&#1088;&#1080;&#1074;&#1077;&#1090;", "Привет"), ("caf\\u00e9 now", "café now"), ("caf%C3%A9 now", "café now"), ("caf=C3=A9", "café"), ("caf\\xc3\\xa9", "café")])
+def test_escapes(bad, good):
+    fixed, steps, lost = garbled.repair(f"Check the page\n{bad}")
+    assert fixed == f"Check the page\n{good}" and steps and not lost
+
+
+@pytest.mark.parametrize("text", ["use &copy; and &amp;", "AT&amp;T", "a=80 b%20c", "see http://x/%E4%BD%A0%E5%A5%BD", "&eacute; entity", "x &lt; y", "C:\\users\\u12"])
+def test_escapes_that_are_meant(text):
+    assert garbled.repair(text) == (text, (), False)
+
+
+def test_deep_nesting():
+    bad = "déjà vu"
+    for _ in range(7):
+        bad = garbled.from_bytes(bad.encode(), "cp1252")
+    assert garbled.repair(bad)[0] == "déjà vu"
+
+
+def test_misreadings_that_the_corpus_reveals(spark):
+    rows = [(f"r{i}", "Jiří Novák", "kůň") for i in range(30)] + [("x", "Jiøí Novák", "fine"), ("y", "Anna", "naïve")]
+    got = {tuple(r) for r in garbled.garbled(spark.createDataFrame(rows, REV)).select("revision_id", "field", "restored").collect()}
+    assert got == {("x", "committer", "Jiří Novák")}
+
+
 def test_garbled_rows(spark):
     rows = [("r1", "JosÃ©", "fine"), ("r1", "JosÃ©", "fine"), ("r2", None, ""), (None, "x", "dÃ©jÃ\xa0 vu"), ("r3", "A", "S�ren did")]
     df = spark.createDataFrame([(*r, 1) for r in rows], REV + ", text int")
