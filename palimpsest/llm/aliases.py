@@ -11,20 +11,25 @@ mailboxes, mailbox spellings, cut-off prefixes), never within whole groups.
 import math
 import pickle
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.garbled import repair
+from palimpsest.llm.garbled import foreign_words, repair
 from palimpsest.llm.names import NICKNAMES, ORG_WORDS, PARTICLES, ROBOT_WORDS, TITLES, WORD, NameModel, learnt, plain
 from palimpsest.plans.durable import durable
+from palimpsest.plans.skew import salted_join
 
 OWN = -8.0  # log chance that so similar a name is another person's
 TYPO = -3.0
-# Mailbox names of functions rather than people.
-ROLES = {"release", "releases", "build", "builds", "vcs", "core-hackers", "devteam", "dev", "team", "info", "contact", "hackers", "root", "admin", "noreply", "no-reply", "support", "office", "mail", "commits", "ci", "bot", "landing", "mirror", "maintainers", "security", "help", "sales", "staff", "all", "list", "announce", "webmaster", "postmaster"}
-TRADES = {"lab": "lab", "eng": "eng", "sof": "soft", "sw": "soft", "con": "cons", "ind": "ind", "sys": "sys", "syt": "sys", "tec": "tech", "gro": "group", "fou": "found", "ins": "inst", "uni": "univ", "sol": "sol", "ssy": "sys", "enn": "eng", "egn": "eng", "nei": "eng", "osf": "soft", "sft": "soft", "lba": "lab", "alb": "lab", "idn": "ind", "cno": "cons", "ocn": "cons"}
+# Mailbox names of functions rather than people, as mail standards and habit have them; others the corpus shows.
+ROLES = {"info", "contact", "root", "admin", "noreply", "no-reply", "support", "office", "mail", "help", "sales", "staff", "all", "list", "announce", "webmaster", "postmaster", "hostmaster", "abuse", "security", "team", "dev", "build", "builds", "release", "releases", "ci", "bot", "commits", "maintainers"}
+ONE_OWNER = 0.7  # share of a mailbox's rows whose family names begin alike, below which it is a group's
+# Trades in the names of organisations, and the short form that stands for all their spellings.
+TRADES = {"laboratories": "lab", "laboratory": "lab", "engineering": "eng", "software": "soft", "consulting": "cons", "consultants": "cons", "industries": "ind", "industry": "ind", "systems": "sys", "technologies": "tech", "technology": "tech", "group": "group", "foundation": "found", "institute": "inst", "university": "univ", "solutions": "sol"}
+INITIALISMS = {"sw": "soft", "labs": "lab"}
 LEGAL = {"ltd", "limited", "inc", "incorporated", "gmbh", "sa", "ag", "llc", "plc", "corp", "corporation", "co", "company", "oy", "ab", "bv", "srl", "spa", "kg", "pty", "sarl", "s", "a", "g", "m", "b", "h", "the", "team"}
 _MAIL = re.compile(r"<?\s*([\w.+%’'-]+(?: dot [\w+-]+)*)\s*(?:@|\(at\)|\[at\]| at )\s*([\w-]+(?:\s*(?:\.|\(dot\)|\[dot\]| dot )\s*[\w-]+)*)\s*>?", re.I)
 _HOST = re.compile(r"^([a-z]+)\.([a-z]+)@([a-z0-9-]+)$", re.I)
@@ -35,9 +40,24 @@ def canonical_given(g: str) -> str:
     return NICKNAMES.get(g, g)
 
 
-def parse(text: str, model: NameModel) -> dict:
+@lru_cache(maxsize=100_000)
+def trade_of(word: str) -> str:
+    """The trade that a plain word names: spelt out, cut short after two letters or more, or with up to two typos."""
+    if word in INITIALISMS:
+        return INITIALISMS[word]
+    short = {t for full, t in TRADES.items() if len(word) > 2 and full.startswith(word)}
+    if short:
+        return min(short)
+    near = min(((distance(word, full, 2), full) for full in TRADES if len(word) >= 5 and abs(len(full) - len(word)) <= 2), default=(3, ""))
+    if near[0] <= 2:
+        return TRADES[near[1]]
+    # an abbreviation with a typo: one edit from a cut of at least three letters that is in use
+    return next((t for full, t in TRADES.items() if 3 <= len(word) <= 5 and any(distance(word, cut, 1) <= 1 for cut in (full[:3], full[:4], full[:5], full[:4] + "s", full[:3] + "s"))), "")
+
+
+def parse(text: str, model: NameModel, words: dict[str, int] | None = None) -> dict:
     """cls p (full person), i (initial and family), t (cut off), m (mailbox only), o (organisation), r (robot), n (nothing usable)."""
-    s = repair(text)[0].strip()
+    s = repair(text, words)[0].strip()
     out = {"cls": "n", "given": "", "family": "", "mail": "", "loc": "", "cut": False}
     flat = re.sub(r"\s*(?:\(dot\)|\[dot\]| dot )\s*", ".", s)
     m = _MAIL.search(flat)
@@ -58,13 +78,14 @@ def parse(text: str, model: NameModel) -> dict:
     rest = re.sub(r"\([^)]*\)?", " ", rest).strip(" <\"'")
     words = [w for w in WORD.findall(rest)]
     low = [plain(w) for w in words]
-    trades = [p for p in low if p in ORG_WORDS and p not in LEGAL]
+    trades = [p for p in low if p not in LEGAL and (p in ORG_WORDS or p in INITIALISMS or (len(p) > 6 and trade_of(p) and p not in model.given))]
     if trades or any(p in LEGAL and p not in ("s", "a", "g", "m", "b", "h", "co", "sa", "ab") for p in low):
-        base = [p for p in low if p not in ORG_WORDS and p not in LEGAL and len(p) > 2]
-        t = [TRADES.get(p[:3], TRADES.get(p[:2], "")) for p in low if p not in LEGAL]
+        base = [p for p in low if p not in ORG_WORDS and p not in LEGAL and len(p) > 2 and p not in trades]
+        t = [trade_of(p) for p in low if p in trades]
         if len(base) >= 2:  # a misspelt trade word is left among the bases
-            odd = [p for p in base if TRADES.get(p[:3]) and model.family(p) < 0.8]
+            odd = [p for p in base if trade_of(p) and model.family(p) < 0.8]
             base = [p for p in base if p not in odd] or base
+            t += [trade_of(p) for p in odd]
         return out | {"cls": "o", "given": next((x for x in t if x), ""), "family": "".join(base)} if base else out
     if set(low) & ROBOT_WORDS and not any(canonical_given(p) in model.given for p in low):
         return out | {"cls": "r"}
@@ -131,6 +152,12 @@ def shortened(f: str) -> list[str]:
     return list({f, *(f[:i] + f[i + 1 :] for i in range(len(f)))}) if len(f) >= 4 else [f]
 
 
+def twice_shortened(f: str) -> list[str]:
+    """A long name and what one or two lost letters would leave of it."""
+    once = shortened(f)
+    return list({*once, *(x for y in once for x in shortened(y))}) if len(f) >= 8 else once
+
+
 def spelt(g: str, f: str) -> set[str]:
     return {g + f, f + g, g[:1] + f, f + g[:1], f} if f else set()
 
@@ -138,21 +165,21 @@ def spelt(g: str, f: str) -> set[str]:
 def keys_of(cls: str, given: str, family: str, mail: str, loc: str, canonical: bool) -> list[str]:
     """Blocking keys of a spelling; ``canonical`` for the side that may be attached to."""
     if cls == "o":
-        return [f"O:{given}:{x}" for x in shortened(family)]
+        return [f"O:{given}:{x}" for x in twice_shortened(family)]
     out = [f"M:{mail}"] if mail else []
     if cls == "p" or (cls == "i" and given):
         out += [f"F:{given[:1]}:{x}" for x in shortened(family)]
     if cls == "p":
         out += [f"D:{x}|{family}" for x in shortened(given)]
     if canonical and cls == "p":
-        out += [f"L:{x}" for x in spelt(given, family)] + [f"T:{given[:1]}:{family[:4]}", f"N:{family}"]
+        out += [f"L:{x}" for x in spelt(given, family)] + [f"T:{given[:1]}:{family[:k]}" for k in range(2, len(family) + 1)] + [f"N:{x}" for x in shortened(family)]
     elif not canonical:
         if cls == "t":
-            out.append(f"T:{given[:1]}:{family[:4]}")
-        if cls == "m":
+            out += [f"T:{given[:1]}:{x}" for x in shortened(family)]
+        if cls in ("m", "p") and loc:
             out.append(f"L:{loc}")
         if cls == "i" and not given:
-            out.append(f"N:{family}")
+            out += [f"N:{x}" for x in shortened(family)]
     return out
 
 
@@ -194,12 +221,13 @@ def channel(v: dict, g: str, f: str, same_mail: bool, known: set[str]) -> float
 
 def parsed(revision: DataFrame, model: NameModel, column: str = "committer") -> DataFrame:
     """Each distinct non-empty spelling once: its count and what it was parsed into."""
-    blob = revision.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by names.MOST
+    held = foreign_words(revision.select(F.col(column).alias("text")))
+    blob = revision.sparkSession.sparkContext.broadcast(pickle.dumps((model, held)))  # bounded by names.MOST and garbled.MOST_WORDS
 
     def run(batches):
-        m = pickle.loads(blob.value)
+        m, words = pickle.loads(blob.value)
         for b in batches:
-            got = [parse(s, m) for s in b["s"]]
+            got = [parse(s, m, words) for s in b["s"]]
             yield pd.DataFrame({"s": b["s"], "n": b["n"], **{c: [x[c] for x in got] for c in ("cls", "given", "family", "mail", "loc", "cut")}})
 
     counts = revision.where(F.length(F.col(column)) > 0).groupBy(F.col(column).alias("s")).agg(F.count(F.lit(1)).alias("n"))
@@ -208,6 +236,16 @@ def parsed(revision: DataFrame, model: NameModel, column: str = "committer") ->
     return counts.repartition(parts).mapInPandas(run, UNIT)
 
 
+def _without_groups(units: DataFrame) -> DataFrame:
+    """Units whose mailbox is a group's lose it: its rows name families that begin differently. One aggregation a mailbox and letter."""
+    named = units.where("mail <> '' AND cls = 'p'")
+    per = named.groupBy("mail", F.substring("family", 1, 1).alias("letter")).agg(F.sum("n").alias("n"))
+    groups = per.groupBy("mail").agg((F.max("n") / F.sum("n")).alias("share"), F.count(F.lit(1)).alias("letters")).where(f"letters > 1 AND share < {ONE_OWNER}").select("mail", F.lit(True).alias("shared"))
+    j = units.join(groups, "mail", "left")
+    bare = lambda c: F.when(F.col("shared"), "").otherwise(F.col(c)).alias(c)
+    return j.where("NOT (coalesce(shared, false) AND cls = 'm')").select("s", "n", "cls", "given", "family", bare("mail"), bare("loc"), "cut")
+
+
 def attributed(revision: DataFrame, column: str = "committer") -> DataFrame:
     """(spelling, entity): the canonical unit of every spelling that has one.
 
@@ -217,6 +255,7 @@ def attributed(revision: DataFrame, column: str = "committer") -> DataFrame:
     spark = revision.sparkSession
     known = spark.sparkContext.broadcast(model.given)
     units = durable(parsed(revision, model, column).where("cls NOT IN ('n', 'r')"))
+    units = durable(_without_groups(units))
     whole = F.col("cls").isin("p", "o")
     units = units.withColumn("u", F.when(whole, F.concat_ws("|", "cls", "given", "family")).otherwise(F.concat(F.lit("s|"), "s")))
     ranked = units.where(whole).groupBy("u").agg(F.sum("n").alias("nu"))
@@ -232,7 +271,7 @@ def attributed(revision: DataFrame, column: str = "committer") -> DataFrame:
     left = keyed.select("s", "u", "nu", "cls", "given", "family", "mail", "loc", spread(False).alias("key"))
     right = keyed.where(whole).select(F.col("u").alias("cu"), F.col("nu").alias("cn"), F.col("given").alias("cg"), F.col("family").alias("cf"), spread(True).alias("key")).distinct()
     ahead = (F.col("cn") > F.col("nu")) | ((F.col("cn") == F.col("nu")) & (F.col("cu") < F.col("u"))) | ~F.col("cls").isin("p", "o")
-    pairs = left.join(right, "key").where((F.col("u") != F.col("cu")) & ahead)
+    pairs = salted_join(left, right, ["key"], ["s"], "inner").where((F.col("u") != F.col("cu")) & ahead)
     pairs = pairs.groupBy("s", "u", "cu").agg(*[F.first(c).alias(c) for c in ("nu", "cn", "cls", "given", "family", "mail", "loc", "cg", "cf")], F.max(F.col("key").startswith("M:")).alias("same"))
 
     @F.pandas_udf("double")
@@ -260,7 +299,10 @@ def attributed(revision: DataFrame, column: str = "committer") -> DataFrame:
 
 
 def variants(revision: DataFrame, column: str = "committer") -> DataFrame:
-    """(committer_a, committer_b): pairs of different spellings of one entity, the smaller first.
+    """(committer_a, committer_b): pairs of different spellings of one entity, the smaller first, from the membership that ``attributed`` gives.
+
+    The form asks for all pairs, so its size is quadratic in an entity's spellings; ``entities``
+    says the same with a row a spelling.
 
     Strings compare by code points, exactly as they stand (blanks at the ends included).
     """

@@ -37,7 +37,7 @@ TITLES = {"mr", "ms", "mrs", "miss", "dr", "prof", "frau", "herr", "senora", "se
 PARTICLES = {"van", "von", "de", "der", "den", "la", "le", "del", "della", "di", "da", "dos", "ter", "ten", "al", "bin"}
 ORG_WORDS = {
     "ltd", "limited", "inc", "incorporated", "gmbh", "sa", "ag", "llc", "plc", "corp", "corporation", "co", "company", "laboratories", "laboratory", "labs", "lab", "systems", "system", "syst", "sys", "software", "softw",
-    "consulting", "consult", "engineering", "engineerng", "eng", "industries", "industry", "ind", "group", "foundation", "solutions", "technologies", "technology", "tech", "institute", "university", "team", "project", "oy", "ab", "bv", "srl", "spa", "kg", "pty", "sarl",
+    "consulting", "consult", "engineering", "eng", "industries", "industry", "ind", "group", "foundation", "solutions", "technologies", "technology", "tech", "institute", "university", "team", "project", "oy", "ab", "bv", "srl", "spa", "kg", "pty", "sarl",
 }
 ROBOT_WORDS = {"robot", "bot", "daemon", "nightly", "import", "importer", "mirror", "builder", "buildbot", "landing", "autopack", "sync", "cron", "service", "system", "jenkins", "noreply", "script", "root", "admin", "ci"}
 VERB_NAMES = {"will", "mark", "bill", "grant", "max", "skip", "drew", "rose", "chase", "art", "dean", "jack", "may", "hope", "sue", "rob", "pat", "ray", "frank", "iris", "dawn", "penny", "rich", "guard", "lin", "dick", "pip", "dan", "jo", "ed", "ola", "al", "deb"}

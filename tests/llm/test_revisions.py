@@ -196,3 +196,16 @@ def test_variants(spark):
 def test_shared_mailbox_and_namesakes(spark):
     rows = [(None, x, None) for x in ("Anna Soldivark <dev@brook.example>", "Richard Kelmorind <dev@brook.example>", "William Soldivark <wsoldivark@brook.example>", "Theodore Kelmorind <tk@brook.example>") for _ in range(3)]
     assert aliases.variants(spark.createDataFrame(rows, REV)).count() == 0
+
+
+def test_trades_by_channel():
+    for word, trade in {"laboratories": "lab", "labs": "lab", "lab": "lab", "laboratoires": "lab", "engineerng": "eng", "enigneering": "eng", "eng": "eng", "softw": "soft", "sfotware": "soft", "sw": "soft", "sytems": "sys", "consult": "cons", "smith": "", "brook": ""}.items():
+        assert aliases.trade_of(word) == trade, word
+
+
+def test_group_mailboxes(spark):
+    rows = [(None, x, None) for x in ("Anna Soldivark <crew@brook.example>", "Richard Kelmorind <crew@brook.example>", "William Trovasko <crew@brook.example>") for _ in range(3)] + [(None, "<crew@brook.example>", None)]
+    assert aliases.variants(spark.createDataFrame(rows, REV)).count() == 0
+    cut = [(None, x, None) for x in ["Anna Soldivark <as@brook.example>"] * 4 + ["Anna So...", "Anna Soldvark", "Soldivark, Anna"]]
+    got = {tuple(r) for r in aliases.variants(spark.createDataFrame(cut, REV)).collect()}
+    assert ("Anna So...", "Anna Soldivark <as@brook.example>") in got and len(got) == 6
