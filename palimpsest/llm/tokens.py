@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF = 256  # characters of a leaf of the tree, and ids of a leaf when decoding
+COUNT_LEAF = 4096  # the same where only the number of ids is wanted
 VOCABULARY = "byte_bpe_50k.tiktoken"
 _STABLE = re.compile(r"[^\W_](?=[ \n]|[^\w\s])|[^\w\s'](?=[^\W_])")
 
@@ -145,6 +146,6 @@ def token_counts(df: DataFrame, keep: list[str], text_col: str = "text", path: s
     @F.pandas_udf("bigint")
     def count(texts):
         enc, lengths = tokenizer(path)
-        return texts.map(lambda t: len(encode(t, enc, lengths)) if t else 0).astype("int64")
+        return texts.map(lambda t: len(encode(t, enc, lengths, COUNT_LEAF)) if t else 0).astype("int64")
 
     return df.select(*keep, count(F.col(text_col)).alias("n_tokens"))

@@ -122,4 +122,9 @@ def test_mix(spark):
     caps = {"a": 1, "b": 3, "c": 4, "none": 0}
     for r in got:
         assert abs(r.share - r.target_share) < 0.02 and r.most_copies <= caps[r.source]
+    assert {(r.source, r.share_met, r.cap_kept) for r in mixing.kept(docs, target).collect()} == {(x, True, True) for x in "abc"}
+    sides = mixing.marginals(docs, target).collect()
+    assert {r.value for r in sides if r.kind == "language"} == {"", "en", "de"} and {r.value for r in sides if r.kind == "topic"} == {"", "=p", "=q"}
+    for kind in ("language", "topic"):
+        assert sum(r.goal for r in sides if r.kind == kind) == pytest.approx(1) and all(abs(r.goal - r.share) < 0.05 for r in sides if r.kind == kind)
     assert mixing.mix(docs.limit(0), target).count() == 0 and mixing.mix(docs, target.limit(0)).count() == 0
