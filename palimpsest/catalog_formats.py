@@ -1,15 +1,16 @@
 """Queries that send whole tables through the file formats and back, and through a record stream."""
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from palimpsest import catalog_versions
+from palimpsest.catalog_store import _COMBINED
 from palimpsest.operators import index, tree
-from palimpsest.sources import formats, records
+from palimpsest.sources import formats, pages, records, wire
+from palimpsest.plans.durable import shared_folder
 from palimpsest.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -75,20 +76,57 @@ def _(s, d):
 
 @query("text_records", r"SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN right(text, 1) <> chr(10) THEN 1 ELSE 0 END END AS n_lines, coalesce(text <> '' AND right(text, 1) <> chr(10), false) AS no_eol, sha1(coalesce(text, '') || CASE WHEN coalesce(text <> '' AND right(text, 1) <> chr(10), false) THEN chr(10) ELSE '' END) AS sha1 FROM documents")
 def _(s, d):
+    """Each document written as a text record and read back: what is counted and hashed is the text that was read."""
     def run(batches):
         for b in batches:
             out = []
             for i, t in zip(b["doc_id"], b["text"]):
                 parts = (none(t) or "").split("\n")
                 lines, bare = records.without_eol([*(x + "\n" for x in parts[:-1]), *([parts[-1]] if parts[-1] else [])])
-                body = records.text_record(str(i), lines)
-                digest = hashlib.sha1("".join(lines).encode()).hexdigest()
-                out.append((i, len(lines), bare, digest if len(body) else ""))
+                version, back, digest = records.parse_text_record(records.text_record(str(i), lines), str(i))
+                out.append((int(version), len(back), bare, hashlib.sha1("".join(back).encode()).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_lines", "no_eol", "sha1"])
 
     return table(s, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_lines bigint, no_eol boolean, sha1 string")
 
 
+@query("wire_records", "SELECT doc_id, 'text/' || doc_id AS key, CASE WHEN doc_id > 0 THEN 'text/' || (doc_id // 2) END AS parent, sha1(coalesce(text, '')) AS sha1 FROM documents")
+def _(s, d):
+    """Documents sent as single records, closures of deltas and blocks in turn, and read back from the stream."""
+    def run(batches):
+        for b in batches:
+            messages = []
+            for i, t in zip(b["doc_id"], b["text"]):
+                key, parents, body = ("text", str(i)), [("text", str(i // 2))] if i else None, (none(t) or "").encode()
+                if i % 3 == 0:
+                    messages.append(wire.record("fulltext", key, parents, False, body))
+                elif i % 3 == 1:
+                    messages.append(wire.closure(False, [key], [{"key": key, "parents": parents, "method": "fulltext", "bare_end": False, "next": None, "body": body}]))
+                else:
+                    messages.append(wire.block([(key, parents, 0, len(body))], body))
+            got = list(wire.parse_stream(messages))
+            yield pd.DataFrame({"doc_id": [int(r["key"][1]) for r in got], "key": ["/".join(r["key"]) for r in got], "parent": ["/".join(r["parents"][0]) if r["parents"] else None for r in got], "sha1": [hashlib.sha1(r["body"]).hexdigest() for r in got]})
+
+    return table(s, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id bigint, key string, parent string, sha1 string")
+
+
+@query("paged_index_files", f"""WITH {_COMBINED} SELECT index_name, array_to_string(key, '/') AS key, coalesce(value, '') AS value, len(flatten(refs)) AS n_refs FROM combined""")
+def _(s, d):
+    """The combined index written to paged files and read back."""
+    rows = pages.parsed_paged_indices(pages.write_paged_indices(index.combined(table(s, d, "index_node"))))
+    return rows.select("index_name", F.array_join("key", "/").alias("key"), "value", F.size(F.flatten("refs")).cast("bigint").alias("n_refs"))
+
+
+@query("index_files", f"""WITH {_COMBINED}, named AS (SELECT DISTINCT index_name, unnest(flatten(refs)) AS key FROM combined)
+SELECT index_name, array_to_string(key, '/') AS key, false AS absent, coalesce(value, '') AS value FROM combined UNION ALL
+SELECT DISTINCT n.index_name, array_to_string(n.key, '/'), true, NULL FROM named n WHERE NOT EXISTS (SELECT 1 FROM combined c WHERE c.index_name = n.index_name AND c.key = n.key)""")
+def _(s, d):
+    """The combined index in files of keys by hash: what only other files hold, or none, is absent in a file that refers to it."""
+    rows = formats.parsed_graph_indices(formats.write_graph_indices(index.combined(table(s, d, "index_node"))))
+    one = rows.groupBy("index_name", "key").agg(F.min("absent").alias("absent"), F.max("value").alias("value"))
+    return one.select("index_name", F.array_join("key", "/").alias("key"), "absent", "value")
+
+
 @query("binary_deltas", f"""WITH {catalog_versions._RANK} SELECT a.key, strlen(a.body) AS n_bytes, sha1(a.body) AS sha1 FROM list a JOIN list o ON o.branch = a.branch AND o.dir = a.dir AND o.rk = a.rk - 1""")
 def _(s, d):
     """Each directory listing restored from the byte delta to the version before it."""
@@ -110,8 +148,7 @@ def _(s, d):
     from palimpsest.streaming.records import insert_records
 
     batch = index.present(table(s, d, "index_node")).where("index_name = 'texts'")
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    out = f"{base.rstrip('/')}/stream-{s.sparkContext.applicationId}-{s.range(1).selectExpr('uuid()').first()[0]}"
+    out = f"{shared_folder(s).rstrip('/')}/stream-{s.sparkContext.applicationId}-{s.range(1).selectExpr('uuid()').first()[0]}"
     stream = s.readStream.schema(table(s, d, "index_node").schema).parquet(f"{d}/index_node.parque*").where("index_name = 'texts' AND NOT coalesce(absent, false)")
     rows = lambda df: df.select(F.element_at("key", 1).alias("file_id"), F.element_at("key", 2).alias("rev"), F.expr("try_element_at(try_element_at(try_element_at(refs, 2), 1), 2)").alias("basis"), F.col("value").alias("payload"))
     rows(batch)  # the stream and the table have the same columns

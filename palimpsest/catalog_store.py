@@ -69,14 +69,19 @@ def _(s, d):
 
 
 @query("row_problems", """
-WITH t AS (SELECT *, CASE WHEN index_name = 'texts' THEN 2 ELSE 1 END AS arity, CASE WHEN index_name = 'texts' THEN 2 WHEN index_name = 'revisions' THEN 1 ELSE 0 END AS lists FROM index_node),
+WITH t AS (SELECT *, CASE WHEN index_name = 'texts' THEN 2 ELSE 1 END AS arity, CASE WHEN index_name = 'texts' THEN 2 WHEN index_name = 'revisions' THEN 1 ELSE 0 END AS lists FROM (SELECT index_name, src, key, absent, value, refs FROM index_node UNION ALL SELECT 'signatures', src, key, absent, value || chr(10), refs FROM index_node WHERE index_name = 'revisions' UNION ALL SELECT 'texts', src, key, absent, value, refs FROM index_node WHERE index_name = 'revisions')),
 u AS (SELECT index_name, src, array_to_string(key, '/') AS key, CASE
   WHEN NOT coalesce(len(key) = arity AND len(list_filter(key, lambda x: x IS NULL OR x = '' OR regexp_matches(x, '[ \\t\\n\\x0B\\f\\r\\x00]'))) = 0, false) THEN 'bad key'
   WHEN absent THEN NULL WHEN NOT coalesce(NOT regexp_matches(value, '[\\n\\x00]'), false) THEN 'bad value' WHEN len(refs) <> lists THEN 'wrong number of reference lists'
   WHEN len(list_filter(flatten(refs), lambda k: NOT coalesce(len(k) = arity AND len(list_filter(k, lambda x: x IS NULL OR x = '' OR regexp_matches(x, '[ \\t\\n\\x0B\\f\\r\\x00]'))) = 0, false))) > 0 THEN 'bad reference' END AS reason FROM t)
 SELECT * FROM u WHERE reason IS NOT NULL""")
 def _(s, d):
-    return index.row_problems(nodes(s, d))
+    """All rows, beside rows of revisions that claim to be texts or signatures, the latter with a line feed in their values."""
+    cols = ["index_name", "src", "key", "absent", "value", "refs"]
+    every = nodes(s, d).select(*cols)
+    revs = every.where("index_name = 'revisions'")
+    wrong = revs.withColumn("index_name", F.lit("signatures")).withColumn("value", F.concat("value", F.lit("\n"))).unionByName(revs.withColumn("index_name", F.lit("texts")))
+    return index.row_problems(every.unionByName(wrong))
 
 
 @query("parent_map", f"WITH {_COMBINED} SELECT index_name, array_to_string(key, '/') AS key, CASE WHEN len(refs) > 0 AND len(refs[1]) > 0 THEN array_to_string(list_transform(refs[1], lambda k: array_to_string(k, '/')), ' ') ELSE 'null:' END AS parents FROM combined")
@@ -90,10 +95,12 @@ def _(s, d):
     return flat(index.external_references(nodes(s, d), 0))
 
 
-@query("missing_compression_parents", f"""WITH {_COMBINED}, e AS (SELECT DISTINCT index_name, unnest(refs[2]) AS key FROM combined WHERE len(refs) > 1)
-SELECT index_name, array_to_string(key, '/') AS key FROM e WHERE NOT EXISTS (SELECT 1 FROM combined c WHERE c.index_name = e.index_name AND c.key = e.key)""")
+@query("missing_compression_parents", """WITH here AS (SELECT DISTINCT src, index_name, key FROM index_node WHERE NOT coalesce(absent, false)),
+e AS (SELECT DISTINCT src, index_name, unnest(refs[2]) AS key FROM index_node WHERE NOT coalesce(absent, false) AND len(refs) > 1)
+SELECT e.src, e.index_name, array_to_string(e.key, '/') AS key FROM e WHERE NOT EXISTS (SELECT 1 FROM here h WHERE h.src = e.src AND h.index_name = e.index_name AND h.key = e.key)""")
 def _(s, d):
-    return flat(index.external_references(nodes(s, d), 1))
+    """What each source's texts build on that the source itself lacks."""
+    return flat(index.missing_bases(nodes(s, d)))
 
 
 @query("referrers", f"""WITH {_COMBINED}, e AS (SELECT index_name, key AS child, unnest(refs[1]) AS key FROM combined WHERE len(refs) > 0)
@@ -365,22 +372,18 @@ def _(s, d):
     return text.by_content(table(s, d, "documents"))
 
 
-@query("index_files")
-def _(s, d):
-    from palimpsest.sources import formats
-
-    return flat(formats.parsed_graph_indices(formats.write_graph_indices(index.combined(nodes(s, d)))).drop("refs"))
-
-
 # ---- storage policies: documents laid into blocks by source ----
 
 _LAID = """laid AS (SELECT doc_id, coalesce(source, '') || '/' || coalesce(project, '') AS block, coalesce(lang, '') AS prefix, strlen(coalesce(text, '')) AS n FROM documents),
 ranges AS (SELECT *, sum(n) OVER (PARTITION BY block ORDER BY doc_id) AS "end", sum(n) OVER (PARTITION BY block) AS length FROM laid)"""
 
 
+def laid(s, d):
+    return table(s, d, "documents").select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("project", F.lit(""))).alias("block"), F.coalesce("lang", F.lit("")).alias("prefix"), F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n"))
+
+
 def ranges(s, d):
-    docs = table(s, d, "documents").select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("project", F.lit(""))).alias("block"), F.coalesce("lang", F.lit("")).alias("prefix"), F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n"))
-    return storage.laid_out(docs, "block", ["doc_id"], "n")
+    return storage.laid_out(laid(s, d), "block", ["doc_id"], "n")
 
 
 @query("block_actions", f"""WITH {_LAID}, used AS (SELECT * FROM ranges WHERE prefix <> 'en'), a AS (SELECT block, CAST(sum(n) AS BIGINT) AS used, CAST(max("end") AS BIGINT) AS last, max(length) AS length FROM used GROUP BY 1)
@@ -397,7 +400,7 @@ def _(s, d):
 
 @query("size_batches", f"""WITH {_LAID}, b AS (SELECT block, n, floor((sum(n) OVER (PARTITION BY block ORDER BY doc_id) - n) / 65536) AS batch FROM laid) SELECT block, CAST(batch AS BIGINT) AS batch, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS bytes FROM b GROUP BY 1, 2""")
 def _(s, d):
-    return storage.size_batches(ranges(s, d), "block", ["doc_id"], "n", 65536).groupBy("block", "batch").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("bytes"))
+    return storage.size_batches(laid(s, d), "block", ["doc_id"], "n", 65536).groupBy("block", "batch").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("bytes"))
 
 
 @query("largest_texts", "SELECT doc_id, strlen(text) AS n_bytes FROM documents WHERE text IS NOT NULL ORDER BY n_bytes DESC, doc_id LIMIT 100")
@@ -425,13 +428,32 @@ def _(s, d):
     return table(s, d, "documents").where("path IS NOT NULL").select("doc_id", S.dirname(p).alias("dir"), S.basename(p).alias("base"), F.size(S.ancestor_paths(p)).cast("bigint").alias("n_ancestors"), S.is_inside(F.lit("src"), p).alias("inside"), S.xml_escaped(p).alias("escaped"))
 
 
-@query("search_keys")
+@query("search_keys", """WITH t AS (SELECT DISTINCT key FROM index_node WHERE len(key) > 0), b AS (SELECT key, unnest(key) AS e, unnest(range(1, len(key) + 1)) AS i FROM t),
+x AS (SELECT DISTINCT e, list_transform(range(0, strlen(e)), lambda j: CAST('0x' || substr(hex(encode(e)), CAST(2 * j + 1 AS INT), 2) AS BIGINT)) AS bytes FROM b),
+c AS (SELECT e, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda h, v: list_reduce(list_prepend(xor(h, v), [0, 1, 2, 3, 4, 5, 6, 7]), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295) AS crc FROM x)
+SELECT DISTINCT array_to_string(b.key, '/') AS key, string_agg(lpad(upper(to_hex(crc)), 8, '0'), chr(0) ORDER BY i) AS hash_16 FROM b JOIN c USING (e) GROUP BY b.key, 1""")
 def _(s, d):
     k = F.col("k")
-    return nodes(s, d).where("size(key) > 0").select(F.col("key").alias("k")).select(F.array_join(k, "/").alias("key"), S.search_key_16(k).alias("hash_16"), S.search_key_255(k).alias("hash_255"), S.hashed_partition(F.element_at(k, 1)).alias("partition")).distinct()
+    return nodes(s, d).where("size(key) > 0").select(F.col("key").alias("k")).select(F.array_join(k, "/").alias("key"), S.search_key_16(k).alias("hash_16")).distinct()
 
 
-@query("stat_fingerprints")
+@query("partitions")
+def _(s, d):
+    k = F.col("k")
+    return nodes(s, d).where("size(key) > 0").select(F.col("key").alias("k")).select(F.array_join(k, "/").alias("key"), S.search_key_255(k).alias("hash_255"), S.hashed_partition(F.element_at(k, 1)).alias("partition"), S.escaped_partition(F.element_at(k, 1)).alias("escaped")).distinct()
+
+
+@query("stat_fingerprints", """SELECT DISTINCT header_id, base64(unhex(lpad(upper(to_hex(coalesce(num_entries, 0) & 4294967295)), 8, '0') || lpad(upper(to_hex(coalesce(end_of_header, 0) & 4294967295)), 8, '0') || lpad(upper(to_hex(coalesce(end_of_header, 0) & 4294967295)), 8, '0')
+  || '00000801' || lpad(upper(to_hex(coalesce(crc_expected, 0) & 4294967295)), 8, '0') || '000081A4')) AS packed FROM dirstate_header""")
 def _(s, d):
     c = F.col
     return table(s, d, "dirstate_header").select("header_id", S.packed_stat(c("num_entries"), c("end_of_header"), c("end_of_header"), F.lit(2049), c("crc_expected"), F.lit(33188)).alias("packed")).distinct()
+
+
+@query("precise_dates", r"""SELECT DISTINCT revision_id, strftime(make_timestamp((CAST(floor("timestamp") AS BIGINT) + coalesce(timezone, 0)) * 1000000), '%a %Y-%m-%d %H:%M:%S') AS head,
+  CASE WHEN coalesce(timezone, 0) < 0 THEN '-' ELSE '+' END || lpad(CAST((abs(coalesce(timezone, 0)) // 60) // 60 AS VARCHAR), 2, '0') || lpad(CAST((abs(coalesce(timezone, 0)) // 60) % 60 AS VARCHAR), 2, '0') AS zone, coalesce(timezone, 0) % 60 = 0 AS back FROM revision""")
+def _(s, d):
+    """Dates with nine decimals, and whether reading them gives the instant again: not where an offset has odd seconds."""
+    r = table(s, d, "revision").withColumn("text", S.precise_date(F.col("timestamp"), F.col("timezone")))
+    again = S.parse_precise_date(F.col("text"))
+    return r.select("revision_id", F.substring_index("text", ".", 1).alias("head"), F.substring_index("text", " ", -1).alias("zone"), (F.abs(again["timestamp"] - F.col("timestamp")) < 1e-5).alias("back")).distinct()

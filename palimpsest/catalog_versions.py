@@ -101,6 +101,25 @@ def _(s, d):
     return got.select("key", F.sha1("text").alias("sha1"), "n_conflicts")
 
 
+@query("two_way_merges", f"""WITH {_THREE}, cut AS (SELECT *, a AND b AS kept, 2 * sum(CASE WHEN a AND b THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY line) - CASE WHEN a AND b THEN 1 ELSE 0 END AS seg FROM member WHERE a OR b),
+side AS (SELECT key, seg, coalesce(string_agg(line, '' ORDER BY line) FILTER (WHERE a), '') AS ta, coalesce(string_agg(line, '' ORDER BY line) FILTER (WHERE b), '') AS tb, bool_and(kept) AS kept FROM cut GROUP BY ALL),
+part AS (SELECT key, seg, CASE WHEN kept THEN ta ELSE '<<<<<<< ' || chr(10) || ta || '=======' || chr(10) || tb || '>>>>>>> ' || chr(10) END AS x, NOT kept AS c FROM side)
+SELECT key, sha1(string_agg(x, '' ORDER BY seg)) AS sha1, count(*) FILTER (WHERE c) AS n_conflicts FROM part GROUP BY key""")
+def _(s, d):
+    """Each listing merged with its next version without a base."""
+    plan = three(s, d).select("key", F.posexplode(text.two_way_column(F.col("a"), F.col("b"))).alias("pos", "x")).select("key", "pos", "x.state", "x.line")
+    return text.merged_texts(plan, "key").select("key", F.sha1("text").alias("sha1"), "n_conflicts")
+
+
+@query("lca_plans", f"""WITH {_THREE} SELECT key, count(*) FILTER (WHERE a AND b) AS unchanged, count(*) FILTER (WHERE a AND NOT b AND NOT o) AS new_a, count(*) FILTER (WHERE a AND NOT b AND o) AS killed_b,
+count(*) FILTER (WHERE b AND NOT a AND NOT o) AS new_b, count(*) FILTER (WHERE b AND NOT a AND o) AS killed_a FROM member WHERE a OR b GROUP BY key""")
+def _(s, d):
+    """Lines of each state when each listing and its next version are merged over the one before as their common ancestor."""
+    plan = three(s, d).select("key", F.explode(text.lca_plan_column(F.col("a"), F.col("b"), F.array("base"))).alias("x"))
+    n = lambda state: F.count(F.when(F.col("x.state") == state, 1)).alias(state.replace("-", "_"))
+    return plan.groupBy("key").agg(*map(n, ("unchanged", "new-a", "killed-b", "new-b", "killed-a")))
+
+
 @query("multi_parent_diffs", f"""WITH {_THREE} SELECT m.key, count(*) FILTER (WHERE a AND NOT o AND NOT b) AS n_new, count(*) FILTER (WHERE a AND (o OR b)) AS n_copied, sha1(any_value(body)) AS sha1 FROM member m JOIN list USING (key) GROUP BY m.key""")
 def _(s, d):
     """Each listing as a diff from the versions before and after it, and the text that the diff gives again."""

@@ -183,3 +183,117 @@ def common_prefix(a: Column, b: Column) -> Column:
     n = F.least(F.length(a), F.length(b))
     same = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda k, i: F.when((k == i - 1) & (i <= n) & (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))), i).otherwise(k))
     return F.substring(a, F.lit(1), same)
+
+
+def split_path(path: Column) -> Column:
+    """Components of a relative path without empty ones and dots; a path that climbs up is an error."""
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    return F.when(F.array_contains(parts, ".."), F.raise_error(F.lit("a path that climbs up"))).otherwise(parts)
+
+
+def mode_kind(mode: Column) -> Column:
+    """Kind of a file from its mode bits."""
+    kinds = {0o100000: "file", 0o040000: "directory", 0o120000: "symlink", 0o020000: "chardev", 0o060000: "block", 0o010000: "fifo", 0o140000: "socket"}  # fixed values
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), mode.cast("int").bitwiseAND(0o170000)), F.lit("unknown"))
+
+
+def is_versionable(kind: Column) -> Column:
+    return kind.isin("file", "directory", "symlink", "tree-reference")
+
+
+def precise_date(timestamp: Column, offset: Column) -> Column:
+    """Weekday, date, time with nine decimals and offset of an instant in seconds: ``Thu 2005-06-30 12:38:52.350850105 -0500``."""
+    off = F.coalesce(offset, F.lit(0)).cast("bigint")
+    whole = F.floor(timestamp)
+    at = F.timestamp_seconds(whole + off)
+    part = F.format_string("%.9f", timestamp - whole)
+    zone = F.concat(F.when(off < 0, "-").otherwise("+"), F.lpad(F.floor(F.abs(off) / 3600).cast("string"), 2, "0"), F.lpad((F.floor(F.abs(off) / 60) % 60).cast("string"), 2, "0"))
+    return F.concat(F.date_format(at, "E yyyy-MM-dd HH:mm:ss"), F.substring(part, F.lit(2), F.lit(10)), F.lit(" "), zone)
+
+
+def parse_precise_date(text: Column) -> Column:
+    """(timestamp, offset) of ``precise_date``'s text; null where it is no such text."""
+    form = r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) (\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)(\.\d+) ([+-])(\d\d)(\d\d)$"
+    g = lambda i: F.regexp_extract(text, form, i)
+    off = F.when(g(3) == "-", -1).otherwise(1) * (g(4).cast("int") * 3600 + g(5).cast("int") * 60)
+    base = F.unix_timestamp(F.to_timestamp(g(1), "yyyy-MM-dd HH:mm:ss"))
+    return F.when(text.rlike(form), F.struct((base - off + g(2).cast("double")).alias("timestamp"), off.alias("offset")))
+
+
+def bugs(properties: Column) -> Column:
+    """(url, status) of each line of the property ``bugs``; lines of another form are an error when read."""
+    lines = F.filter(F.split(F.coalesce(F.try_element_at(properties, F.lit("bugs")), F.lit("")), "\n"), lambda x: x != "")
+    pair = lambda x: F.split(x, " ")
+    return F.transform(lines, lambda x: F.when((F.size(pair(x)) == 2) & pair(x)[1].isin("fixed", "related"), F.struct(pair(x)[0].alias("url"), pair(x)[1].alias("status"))).otherwise(F.raise_error(F.concat(F.lit("no bug line: "), x))))
+
+
+def chars(n: int, alphabet: str = "0123456789abcdefghijklmnopqrstuvwxyz") -> Column:
+    """``n`` random characters; another text in every row and run."""
+    return F.array_join(F.array(*[F.substring(F.lit(alphabet), (F.floor(F.rand() * len(alphabet)) + 1).cast("int"), F.lit(1)) for _ in range(n)]), "")
+
+
+def new_file_id(name: Column, timestamp: Column) -> Column:
+    """Up to twenty lower-case word characters of a name, the compact date and random characters."""
+    word = F.regexp_replace(F.lower(F.regexp_replace(name, r"[^\x00-\x7f]", "")), r"[^a-z0-9_.]", "")
+    return F.concat(F.substring(F.regexp_replace(word, r"^\.+", ""), 1, 20), F.lit("-"), compact_date(timestamp), F.lit("-"), chars(16), F.lit("-"), F.monotonically_increasing_id().cast("string"))
+
+
+def new_revision_id(committer: Column, timestamp: Column) -> Column:
+    """The mailbox of a committer, or their name with underscores, the compact date and random characters."""
+    mail = F.regexp_extract(committer, r"<([^<>\s]*@[^<>\s]*)>", 1)
+    plain = F.regexp_replace(F.lower(F.trim(F.regexp_replace(committer, r"<[^>]*>", ""))), r"[^a-z0-9_.-]+", "_")
+    return F.concat_ws("-", F.when(mail != "", F.lower(mail)).otherwise(plain), compact_date(timestamp), chars(16))
+
+
+def escaped_partition(prefix: Column) -> Column:
+    """``hashed_partition`` for file systems without case: upper case and unusual characters become %xx, and the hash is of that text."""
+    hexed = lambda x: F.lower(F.hex(F.encode(x, "UTF-8")))
+    every = F.split(prefix, "")
+    safe = F.array_join(F.transform(F.filter(every, lambda c: c != ""), lambda c: F.when(c.rlike("^[a-z0-9 _.,()@;-]$"), c).otherwise(F.regexp_replace(hexed(c), "(..)", "%$1"))), "")
+    return F.concat(F.element_at(F.split(hashed_partition(safe), "/"), 1), F.lit("/"), mapped_partition(safe))
+
+
+def xml_storable(s: Column) -> Column:
+    """Text with characters that XML cannot hold as backslash escapes: ``\\x0c``."""
+    bad = r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]"
+    return F.when(s.rlike(bad), F.array_join(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.when(c.rlike(bad), F.concat(F.lit("\\x"), F.lower(F.lpad(F.hex(F.ascii(c)), 2, "0")))).otherwise(c)), "")).otherwise(s)
+
+
+def is_tag(tag: Column) -> Column:
+    """Whether a stanza may use a tag: letters, digits, minus and underscore."""
+    return tag.rlike("^[-a-zA-Z0-9_]+$")
+
+
+def replaced(s: Column, pairs: dict[str, str]) -> Column:
+    """All of several texts replaced in one pass, the longest first where they begin alike; what was put in is not searched again."""
+    if not pairs:
+        return s
+    alternatives = "|".join("\\Q" + k + "\\E" for k in sorted(pairs, key=len, reverse=True))
+    found = F.regexp_extract_all(s, F.lit(f"({alternatives})"), F.lit(1))
+    between = F.split(s, alternatives, -1)
+    swap = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    return F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.try_element_at(swap, F.try_element_at(found, i + 1)), F.lit("")))), "")
+
+
+def name_is_normal(name: Column) -> Column:
+    """(name in composed form, whether it was): names that differ in composition only are the same file to some systems."""
+    import unicodedata
+
+    import pandas as pd
+
+    @F.pandas_udf("name string, normal boolean")
+    def run(names: pd.Series) -> pd.DataFrame:
+        nfc = names.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+        return pd.DataFrame({"name": nfc, "normal": (nfc == names) | names.isna()})
+
+    return run(name)
+
+
+def estimated_records(n_revisions: Column) -> Column:
+    """Records that a transfer of so many revisions should bring: 10.3 a revision."""
+    return F.floor(F.coalesce(n_revisions, F.lit(0)) * 10.3)
+
+
+def lines_changed(hunks: Column) -> Column:
+    """Lines that the hunks of a line delta bring."""
+    return F.aggregate(hunks, F.lit(0), lambda n, h: n + F.size(h["lines"]))

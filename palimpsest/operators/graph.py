@@ -10,6 +10,7 @@ joins with durable tables between them, to the same results.
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -405,6 +406,52 @@ def snapshot_places(chain: DataFrame, interval: int) -> DataFrame:
     return chain.withColumn("whole", (F.col("depth") % interval) == 0)
 
 
+def by_ancestors(parents: dict[str, list[str]], interval: int) -> list[str]:
+    """Versions to store whole so that none is built from more than ``interval`` others.
+
+    Walked parents first, each version counts the versions it would be built from, back to
+    the last whole ones; one that exceeds the interval is stored whole and starts afresh.
+    """
+    waits = {v: sum(p in parents for p in {*ps}) for v, ps in parents.items()}
+    children: dict[str, list[str]] = {}
+    for v, ps in parents.items():
+        for p in {*ps} & parents.keys():
+            children.setdefault(p, []).append(v)
+    ready, built, whole = sorted(v for v, n in waits.items() if not n), {}, []
+    while ready:
+        v = ready.pop()
+        own = {*parents[v]} & parents.keys()
+        need = own.union(*(built[p] for p in own))
+        if not own or len(need) > interval:
+            whole.append(v)
+            need = set()
+        built[v] = need
+        for c in children.get(v, ()):
+            waits[c] -= 1
+            if not waits[c]:
+                ready.append(c)
+    return sorted(whole)
+
+
+def snapshot_selection(edges: DataFrame, nodes: DataFrame, by: str, interval: int) -> DataFrame:
+    """(by, node): versions of each file's graph to store whole, by the number of versions they are built from.
+
+    ``nodes`` has (by, node), ``edges`` (by, child, parent); a task holds the graph of one file.
+    """
+    rows = nodes.select(by, F.col("node").alias("child"), F.lit(None).cast("string").alias("parent")).unionByName(edges.select(by, "child", "parent"))
+
+    def run(key, pdf):
+        parents: dict[str, list[str]] = {}
+        for c, p in zip(pdf["child"], pdf["parent"]):
+            parents.setdefault(c, [])
+            if p is not None and p == p:
+                parents[c].append(p)
+        got = by_ancestors(parents, interval)
+        return pd.DataFrame({by: [key[0]] * len(got), "node": got})
+
+    return rows.groupBy(by).applyInPandas(run, f"{by} {nodes.schema[by].dataType.simpleString()}, node string")
+
+
 def size_ranking(sizes: DataFrame) -> DataFrame:
     """Keys by what storing them as a delta saves: full_size - delta_size, largest first, ties by key."""
     return sizes.select("key", (F.col("full_size") - F.col("delta_size")).alias("saved")).orderBy(F.col("saved").desc(), "key")

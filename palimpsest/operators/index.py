@@ -107,6 +107,13 @@ def external_references(nodes: DataFrame, ref_list: int = 0) -> DataFrame:
     return named.join(present(nodes).select("index_name", "key"), ["index_name", "key"], "left_anti")
 
 
+def missing_bases(nodes: DataFrame) -> DataFrame:
+    """(src, index_name, key) that rows of a source build on (reference list 1) and that the source lacks: it cannot stand alone."""
+    rows = present(nodes)
+    named = rows.where(F.size("refs") > 1).select("src", "index_name", F.explode(F.col("refs")[1]).alias("key")).distinct()
+    return named.join(rows.select("src", "index_name", "key"), ["src", "index_name", "key"], "left_anti")
+
+
 def referrers(nodes: DataFrame, ref_list: int = 0) -> DataFrame:
     """Number of distinct keys that refer to each key, and whether the key itself is present."""
     counts = edges(nodes, ref_list).groupBy("index_name", F.col("parent").alias("key")).agg(F.count_distinct("key").alias("n_referrers"))

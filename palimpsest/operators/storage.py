@@ -1,9 +1,10 @@
 """Storage policies: block use, batches, ranking by size."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.plans.running import running_total
+
 # Fixed values of the policies; sizes in bytes.
 MIN_WELL_USED = 0.75
 FULL_BLOCK = 3_145_728
@@ -25,15 +26,15 @@ def well_used(ranges: DataFrame) -> DataFrame:
 
 
 def laid_out(docs: DataFrame, block: str, order: list[str], size: str) -> DataFrame:
-    """start and end of each row in its block, rows laid one after the other, and the block's length."""
-    w = W.partitionBy(block).orderBy(*order)
-    return docs.withColumn("end", F.sum(size).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("start", F.col("end") - F.col(size)).withColumn("length", F.sum(size).over(W.partitionBy(block)))
+    """start and end of each row in its block, rows laid one after the other, and the block's length; blocks of any size."""
+    placed = running_total(docs, [block], order, size, "end").withColumn("start", F.col("end") - F.col(size))
+    whole = docs.groupBy(block).agg(F.sum(size).alias("length"))
+    return placed.join(whole.withColumnRenamed(block, "_block"), F.col(block).eqNullSafe(F.col("_block"))).drop("_block")
 
 
 def size_batches(docs: DataFrame, group: str, order: list[str], size: str, most: int) -> DataFrame:
-    """Batch number of each row: a batch ends once its bytes pass ``most`` (running total over whole batches)."""
-    w = W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return docs.withColumn("batch", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / most))
+    """Batch number of each row: a batch ends once its bytes pass ``most`` (running total over whole batches); groups of any size."""
+    return running_total(docs, [group], order, size, "_end").withColumn("batch", F.floor((F.col("_end") - F.col(size)) / most)).drop("_end")
 
 
 def largest(docs: DataFrame, size: str, key: str, k: int) -> DataFrame:

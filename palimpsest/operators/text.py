@@ -255,6 +255,62 @@ def plan_groups(plan: list[tuple[str, str]]) -> list[tuple[list[str], ...]]:
     return out
 
 
+def two_way_plan(a: list[str], b: list[str]) -> list[tuple[str, str]]:
+    """(state, line) of a merge without a base: lines of both are unchanged, all others conflict."""
+    out, pa, pb = [], 0, 0
+    for i, j, n in [*matching_blocks(a, b), (len(a), len(b), 0)]:
+        out += [("conflicted-a", x) for x in a[pa:i]] + [("conflicted-b", x) for x in b[pb:j]] + [("unchanged", x) for x in a[i : i + n]]
+        pa, pb = i + n, j + n
+    return out
+
+
+def two_way_column(a: Column, b: Column) -> Column:
+    @F.pandas_udf(PLAN)
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[{"state": s, "line": x} for s, x in two_way_plan(list(p), list(q))] for p, q in zip(a, b)])
+
+    return run(a, b)
+
+
+def reduced(segments: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``merged_segments`` with each conflict cut down to what really differs: its sides are merged once more without a base."""
+    whole = segments.where("NOT conflict").select(key, "segment", F.lit(0).cast("bigint").alias("part"), "a", "b", "lines", "conflict")
+    wide = segments.where("conflict").select(F.struct(key, "segment").alias("k"), F.posexplode(two_way_column(F.col("a"), F.col("b"))).alias("pos", "x")).select("k", "pos", "x.state", "x.line")
+    cut = merged_segments(wide, "k").select(F.col(f"k.{key}").alias(key), F.col("k.segment").alias("s0"), F.col("segment").alias("part"), "a", "b", "lines", "conflict")
+    return whole.unionByName(cut.withColumnRenamed("s0", "segment"))
+
+
+def lca_plan(a: list[str], b: list[str], lcas: list[list[str]]) -> list[tuple[str, str]]:
+    """(state, line) of a merge over several common ancestors.
+
+    A line of one side only is new there if some ancestor lacks it, killed by the other side
+    if some has it, and conflicted if both hold.
+    """
+    def shared(x: list[str], other: list[str]) -> set[int]:
+        return {i + d for i, _, n in matching_blocks(x, other) for d in range(n)}
+
+    have = {"a": [shared(a, o) for o in lcas], "b": [shared(b, o) for o in lcas]}
+    other = {"a": "b", "b": "a"}
+
+    def state(side: str, i: int) -> str:
+        old = sum(i in h for h in have[side])
+        return f"new-{side}" if not old else f"killed-{other[side]}" if old == len(lcas) else f"conflicted-{side}"
+
+    out, pa, pb = [], 0, 0
+    for i, j, n in [*matching_blocks(a, b), (len(a), len(b), 0)]:
+        out += [(state("a", k), a[k]) for k in range(pa, i)] + [(state("b", k), b[k]) for k in range(pb, j)] + [("unchanged", x) for x in a[i : i + n]]
+        pa, pb = i + n, j + n
+    return out
+
+
+def lca_plan_column(a: Column, b: Column, lcas: Column) -> Column:
+    @F.pandas_udf(PLAN)
+    def run(a: pd.Series, b: pd.Series, lcas: pd.Series) -> pd.Series:
+        return pd.Series([[{"state": s, "line": x} for s, x in lca_plan(list(p), list(q), [list(o) for o in os])] for p, q, os in zip(a, b, lcas)])
+
+    return run(a, b, lcas)
+
+
 def rendered(groups: list[tuple], a: str = "<<<<<<< \n", mid: str = "=======\n", b: str = ">>>>>>> \n") -> list[str]:
     out: list[str] = []
     for g in groups:

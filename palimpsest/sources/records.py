@@ -24,7 +24,7 @@ def text_record(version: str, lines: list[str]) -> bytes:
 
 
 def parse_text_record(data: bytes, version: str | None = None) -> tuple[str, list[str], str]:
-    lines = gzip.decompress(data).decode().splitlines(keepends=True)
+    lines = [x + "\n" for x in gzip.decompress(data).decode().split("\n")[:-1]]  # other line ends are text
     head = lines[0].split() if lines else []
     if len(head) != 4 or head[0] != "version":
         raise ValueError("bad record header")

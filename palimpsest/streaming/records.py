@@ -19,28 +19,30 @@ _STATE = "known array<string>, revs array<string>, bases array<string>, payloads
 
 def _insert(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, wait: int | None = None) -> Iterator[pd.DataFrame]:
     known, revs, bases, payloads = state.get if state.exists else ([], [], [], [])
-    seen, waiting = {*known}, list(zip(revs, bases, payloads))
+    seen = {*known}
+    waiting: dict[str, dict[str, str]] = {}  # basis to the rows that wait for it, each once
     out: list[tuple] = []
     if state.hasTimedOut:
-        out = [(key[0], r, b, p, "basis missing") for r, b, p in waiting]
-        waiting = []
+        out = [(key[0], r, b, p, "basis missing") for r, b, p in zip(revs, bases, payloads)]
+        revs, bases, payloads = [], [], []
+    for r, b, p in zip(revs, bases, payloads):
+        waiting.setdefault(b, {})[r] = p
     for pdf in batches:
-        waiting += [(r, b, p) for r, b, p in zip(pdf["rev"], pdf["basis"].where(pdf["basis"].notna(), None), pdf["payload"])]
-    moved = True
-    while moved:
-        moved, rest = False, []
-        for r, b, p in waiting:
-            if r in seen:
-                continue
-            if b is None or b in seen:
-                seen.add(r)
-                out.append((key[0], r, b, p, "inserted"))
-                moved = True
-            else:
-                rest.append((r, b, p))
-        waiting = rest
-    state.update(([*seen], [x[0] for x in waiting], [x[1] for x in waiting], [x[2] for x in waiting]))
-    if waiting and wait:
+        for row in zip(pdf["rev"], pdf["basis"].where(pdf["basis"].notna(), None), pdf["payload"]):
+            ready = [row]
+            while ready:  # a row that is passed on frees those that wait for it: each row is looked at twice at most
+                r, b, p = ready.pop()
+                if r in seen:
+                    continue
+                if b is None or b in seen:
+                    seen.add(r)
+                    out.append((key[0], r, b, p, "inserted"))
+                    ready.extend((w, r, q) for w, q in waiting.pop(r, {}).items())
+                else:
+                    waiting.setdefault(b, {}).setdefault(r, p)
+    left = [(r, b, p) for b, rows in waiting.items() for r, p in rows.items() if r not in seen]
+    state.update(([*seen], [x[0] for x in left], [x[1] for x in left], [x[2] for x in left]))
+    if left and wait:
         state.setTimeoutDuration(wait)
     yield pd.DataFrame(out, columns=["file_id", "rev", "basis", "payload", "state"])
 

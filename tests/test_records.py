@@ -93,3 +93,8 @@ def test_graph_extras(spark):
     assert graph.union_weaves(w, spark.createDataFrame([("v", ["b"], "s")], w.schema)).first().parents == ["a", "b"]
     with pytest.raises(Exception, match="differ"):
         graph.union_weaves(w, spark.createDataFrame([("v", ["b"], "t")], w.schema)).collect()
+
+
+def test_text_record_keeps_other_line_ends():
+    lines = ["a\rb\x0b\x1c\n", "\u2028\x85\n", "\n"]
+    assert R.parse_text_record(R.text_record("v", lines), "v")[1] == lines
