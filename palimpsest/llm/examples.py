@@ -251,7 +251,7 @@ class Examples:
             if r.random() < 0.2:
                 yield self.committer()
                 continue
-            k = r.choices([-1, 0, 1, 2, 3, 4], [4, 1, 1.3, 1.5, 1.1, 3])[0]
+            k = r.choices([-1, 0, 1, 2, 3, 4], [4, 1, 2, 1.5, 1.1, 3])[0]
             if k < 0:
                 item = r.choices([self.org, self.number, self.words], [2, 4, 4])[0]()
                 lead = r.choice(["", "", "", r.choice(LEADS[4]) + " "]) if item[:1].isupper() and r.random() < 0.3 else ""

@@ -115,18 +115,30 @@ def bearers(committers: DataFrame) -> DataFrame:
 def word_counts(messages: DataFrame, given: set[str]) -> DataFrame:
     """(word, near, n_low, n_rows, n_near) partial counts of plain words, summed per batch; ``near`` is a given name beside it or null."""
     def run(batches):
+        known: dict[str, tuple[str, bool]] = {}
         for b in batches:
             low, rows, beside, near = Counter(), Counter(), Counter(), Counter()
             for text in b["s"]:
-                found = WORD.findall(repair(text)[0])
-                low.update(plain(w) for w in found if w[:1].islower())
-                words = [plain(w) for w in found]
-                rows.update(set(words))
+                words = []
+                for w in WORD.findall(repair(text)[0]):
+                    got = known.get(w)
+                    if got is None:
+                        if len(known) > 200_000:
+                            known.clear()
+                        p = plain(w)
+                        got = known[w] = (p, w[:1].islower(), p in given)
+                    words.append(got)
+                low.update([w[0] for w in words if w[1]])
+                rows.update({w[0] for w in words})
+                close: dict[int, set[str]] = {}
                 for i, w in enumerate(words):
-                    close = given & {*words[max(0, i - 2) : i], *words[i + 1 : i + 2]}
-                    if close:
-                        beside[w] += 1
-                        near.update((w, g) for g in close)
+                    if w[2]:  # a given name stands beside the word before and the two words after
+                        for j in (i - 1, i + 1, i + 2):
+                            if 0 <= j < len(words):
+                                close.setdefault(j, set()).add(w[0])
+                for j, names in close.items():
+                    beside[words[j][0]] += 1
+                    near.update([(words[j][0], g) for g in names])
             yield pd.DataFrame([(w, None, low[w], n, beside[w]) for w, n in rows.items()] + [(w, g, 0, 0, 0) for w, g in near], columns=["word", "near", "n_low", "n_rows", "n_near"])
 
     return messages.mapInPandas(run, "word string, near string, n_low bigint, n_rows bigint, n_near bigint").where("length(word) > 0")
@@ -135,9 +147,9 @@ def word_counts(messages: DataFrame, given: set[str]) -> DataFrame:
 def learnt(df: DataFrame, committer: str | None = "committer", message: str | None = "message") -> "NameModel":
     """The name model of all rows of a table: counts are Spark aggregations, the driver takes at most MOST words and all trigrams."""
     spark = df.sparkSession
-    texts = lambda c: spread(df.where(F.length(F.col(c)) > 0).select(F.col(c).alias("s")).distinct())
+    texts = lambda c: df.where(F.length(F.col(c)) > 0).select(F.col(c).alias("s"))
     none = spark.createDataFrame([], "given string, family string")
-    pairs = durable(bearers(texts(committer)) if committer in df.columns else none)
+    pairs = durable(bearers(spread(texts(committer).distinct())) if committer in df.columns else none)
     n_pairs = pairs.count()
     least = max(LEAST_FAMILIES, int(n_pairs * SHARE_FAMILIES))
     counts = pairs.groupBy("given").agg(F.count_distinct("family").alias("n")).where((F.col("n") >= least) & (F.length("given") > 2)).orderBy(F.col("n").desc(), "given").limit(MOST).collect()
@@ -148,7 +160,7 @@ def learnt(df: DataFrame, committer: str | None = "committer", message: str | No
     families = pairs.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
     lexicon = set(givens) | set(GIVEN) | set(NICKNAMES)
     if message in df.columns:
-        parts = durable(word_counts(texts(message), lexicon))
+        parts = durable(word_counts(spread(texts(message)), lexicon))
     else:
         parts = spark.createDataFrame([], "word string, near string, n_low bigint, n_rows bigint, n_near bigint")
     n_messages = df.where(F.col(message).isNotNull()).count() if message in df.columns else 0

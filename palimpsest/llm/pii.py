@@ -41,6 +41,7 @@ EMAIL = re.compile(rf"(?<![^\W_])(?:mailto:)?[^\W_][\w.+%’'-]*(?: dot [\w+-]+)
 _MAYBE_AT = re.compile(r"@|\bat\b|[(\[]at[)\]]", re.I)
 _SPELT = re.compile(r"dot |\(dot|\[dot|\(at\)|\[at\]", re.I)
 _PLAIN_AT = re.compile(r" at [\w-]+(?:\.[\w-]+)*\.[a-z]{2,7}$", re.I)
+_DIGIT = re.compile(r"\d")
 _MAYBE_NUMBER = re.compile(r"\d[^a-z]{2,}\d|\d\d")
 # Words by which addresses name a way, in several languages.
 _WAY = r"(?:street|st|road|rd|avenue|ave|lane|ln|boulevard|blvd|drive|dr|court|ct|crescent|terrace|place|pl|square|sq|close|way|row|highway|hwy|parkway|pkwy|grove|gardens|hill|mews|trail|circle|walk|wharf|quay|alley|plaza)"
@@ -201,13 +202,12 @@ def _name_spans(text: str, t: Tokens, masked: list[tuple[int, int]]):
             lo += 1
         while hi > lo and (info[hi].low or info[hi].common) and not info[hi].given:
             hi -= 1
-        if (lo, hi) != (a, b):
+        if (lo, hi) != (a, b) and any(k in core for k in range(lo, hi + 1)):
             yield lo, hi
         # a comma may part two persons or a person and a place
         for k in range(a, b):
             if text[t.spans[k][1] : t.spans[k + 1][0]] == ", ":
-                yield a, k
-                yield k + 1, b
+                yield from ((x, y) for x, y in ((a, k), (k + 1, b)) if any(z in core for z in range(x, y + 1)))
 
 
 def candidates(text: str, lookup):
@@ -223,11 +223,10 @@ def candidates(text: str, lookup):
             masked.append(m.span())
     if _MAYBE_NUMBER.search(flat):
         for a, b, x, y in numbers.windows(flat):
-            digits = sum(c.isdigit() for c in flat[a:b])
-            if digits >= 7:
+            if len(_DIGIT.findall(flat[a:b])) >= 7:
                 out.append((1, a, b, x, y))
             out.append((2, a, b, x, y))
-    if any(c.isdigit() for c in flat):
+    if _DIGIT.search(flat):
         for m in ADDRESS.finditer(flat):
             tail = _TAIL.match(flat, m.end())
             out.append((3, m.start(), tail.end() if tail else m.end(), 0, 0))
