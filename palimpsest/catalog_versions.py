@@ -128,6 +128,26 @@ def _(s, d):
     return t.select("key", total(False).alias("n_new"), total(True).alias("n_copied"), F.sha1(F.array_join(text.multi_parent_text(F.col("parents"), F.col("hunks")), "")).alias("sha1"))
 
 
+@query("weave_plans", """WITH e AS (SELECT DISTINCT snapshot, file_id, coalesce(text_sha1, '') AS sha FROM entry), head AS (SELECT branch, snapshot, row_number() OVER (PARTITION BY branch ORDER BY seq) AS rk, count(*) OVER (PARTITION BY branch) AS last FROM (SELECT branch, seq, min(snapshot) AS snapshot FROM inventory GROUP BY ALL)),
+r AS (SELECT branch, rk, last, file_id || ' ' || sha AS line FROM e JOIN head USING (snapshot)), i AS (SELECT *, rk - row_number() OVER (PARTITION BY branch, line ORDER BY rk) AS island FROM r),
+w AS (SELECT branch, line, min(rk) AS ins, max(rk) + 1 AS d, any_value(last) AS last FROM i GROUP BY branch, line, island)
+SELECT branch AS weave, CASE WHEN d <= last - 2 THEN 'killed-base' WHEN ins <= last - 2 THEN CASE WHEN d = last - 1 THEN 'killed-a' WHEN d = last THEN 'killed-b' ELSE 'unchanged' END WHEN ins = last - 1 THEN 'new-a' ELSE 'new-b' END AS state, line FROM w WHERE last > 2""")
+def _(s, d):
+    """Each branch as a weave of its entries, and the merge plan of two versions of it: all but its last snapshot, and all but the one before."""
+    from pyspark.sql import Window as W
+
+    e, i = tree_tables(s, d)
+    one = i.where("snapshot IS NOT NULL AND branch IS NOT NULL AND seq IS NOT NULL").groupBy("branch", "seq").agg(F.min("snapshot").alias("snapshot"))
+    per = W.partitionBy("branch")
+    head = one.select("branch", "snapshot", F.row_number().over(per.orderBy("seq")).alias("rk"), F.count(F.lit(1)).over(per).cast("int").alias("last")).where("last > 2")
+    r = tree.distinct_entries(e).join(head, "snapshot").select("branch", "rk", "last", F.concat_ws(" ", "file_id", F.coalesce("text_sha1", F.lit(""))).alias("line"))
+    runs = r.withColumn("island", F.col("rk") - F.row_number().over(W.partitionBy("branch", "line").orderBy("rk"))).groupBy("branch", "line", "island").agg(F.min("rk").alias("ins"), (F.max("rk") + 1).alias("d"), F.max("last").alias("last"))
+    weaves = runs.select(F.col("branch").alias("weave"), F.lit(0).alias("pos"), "ins", F.when(F.col("d") <= F.col("last"), F.array("d")).otherwise(F.array().cast("array<int>")).alias("dels"), "line")
+    ranks = lambda hi: F.sequence(F.lit(1), hi)
+    pairs = head.select(F.col("branch").alias("weave"), "last").distinct().select("weave", ranks(F.col("last") - 1).alias("a"), F.concat(ranks(F.col("last") - 2), F.array("last")).alias("b"))
+    return text.weave_plan(weaves, pairs).drop("pos")
+
+
 # ---- deltas and edits of trees ----
 
 _DELTA = f"""{_PATHS.replace(_E + ",", _PAIR + ",", 1)}, pp AS (SELECT snapshot, file_id, CASE WHEN path = '' THEN '/' ELSE path END AS path FROM p)"""
