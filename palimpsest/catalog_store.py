@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalars as S
-from palimpsest.operators import contentmap, graph, index, storage, text, tree
+from palimpsest.operators import contentmap, graph, index, packs, storage, text, tree
 from palimpsest.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -122,6 +122,38 @@ def _(s, d):
     return flat(index.source_conflicts(nodes(s, d)))
 
 
+# ---- packs: each source of an index is one ----
+
+
+@query("build_details", f"""WITH {_COMBINED} SELECT index_name, array_to_string(key, '/') AS key, src, CASE WHEN refs[2][1] IS NULL THEN 'fulltext' ELSE 'line-delta' END AS method, array_to_string(refs[2][1], '/') AS basis,
+CAST(split_part(value, ' ', 1) AS BIGINT) AS start, CAST(split_part(value, ' ', 2) AS BIGINT) AS length FROM combined""")
+def _(s, d):
+    return flat(packs.build_details(nodes(s, d)).withColumn("basis", F.array_join("basis", "/")).drop("parents"))
+
+
+@query("read_ranges", f"""WITH {_COMBINED}, p AS (SELECT DISTINCT src, CAST(split_part(value, ' ', 1) AS BIGINT) AS start, CAST(split_part(value, ' ', 1) AS BIGINT) + CAST(split_part(value, ' ', 2) AS BIGINT) AS "end" FROM combined),
+c AS (SELECT *, CASE WHEN start > max("end") OVER (PARTITION BY src ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 64 THEN 1 ELSE 0 END AS fresh FROM p),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY src ORDER BY start, "end") AS k FROM c) SELECT src, min(start) AS start, max("end") AS "end", count(*) AS n FROM g GROUP BY src, k""")
+def _(s, d):
+    return packs.read_ranges(packs.build_details(nodes(s, d)), 64)
+
+
+@query("pack_problems", """WITH r AS (SELECT DISTINCT src, index_name, key FROM index_node WHERE NOT coalesce(absent, false)), b AS (SELECT src, index_name, key, min(refs[2][1]) AS basis FROM index_node WHERE NOT coalesce(absent, false) GROUP BY ALL)
+SELECT src, index_name, array_to_string(key, '/') AS key, index_name || ' of a revision that is not here' AS problem FROM r WHERE index_name <> 'revisions' AND NOT EXISTS (SELECT 1 FROM r v WHERE v.src = r.src AND v.index_name = 'revisions' AND v.key[1] = r.key[-1])
+UNION ALL SELECT src, index_name, array_to_string(key, '/'), 'basis is not here' FROM b WHERE basis IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r v WHERE v.src = b.src AND v.index_name = b.index_name AND v.key = b.basis)""")
+def _(s, d):
+    return flat(packs.pack_problems(nodes(s, d)))
+
+
+@query("packs", "SELECT doc_id, sha1(coalesce(text, '')) AS sha1 FROM documents")
+def _(s, d):
+    """All documents laid into containers, indexed by one walk, and read back by their places."""
+    from palimpsest.plans.durable import durable
+
+    made = durable(packs.packed(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("key"), F.encode("text", "utf-8").alias("body")), 500))
+    return packs.read_packed(made, packs.pack_index(made)).select(F.col("key").cast("bigint").alias("doc_id"), F.sha1("body").alias("sha1"))
+
+
 # ---- graphs: the revisions and their parents, ghosts included ----
 
 _DAG = "dag AS (SELECT DISTINCT revision_id AS child, unnest(parent_ids) AS parent FROM revision), g AS (SELECT child, parent FROM dag WHERE parent IS NOT NULL AND parent <> 'null:' AND child IS NOT NULL)"
@@ -189,7 +221,7 @@ SELECT l.key, c.root, c.depth, c.total FROM l LEFT JOIN c USING (key)""")
 def _(s, d):
     t = index.combined(nodes(s, d)).where("index_name = 'texts'")
     joined = lambda c: F.array_join(c, "/")
-    return graph.chain_depths(t.select(joined("key").alias("key"), F.expr("array_join(try_element_at(try_element_at(refs, 2), 1), '/')").alias("parent"), F.split_part("value", F.lit(" "), F.lit(2)).cast("double").alias("size")))
+    return graph.chain_depths(t.select(joined("key").alias("key"), F.expr("array_join(try_element_at(try_element_at(refs, 2), 1), '/')").alias("parent"), F.split_part("value", F.lit(" "), F.lit(2)).try_cast("double").alias("size")))
 
 
 @query("order_chains", """WITH o AS (SELECT o_orderkey AS key, lag(o_orderkey) OVER w AS parent, o_totalprice AS size, row_number() OVER w AS rn, first_value(o_orderkey) OVER w AS root, sum(o_totalprice) OVER w AS total

@@ -221,6 +221,16 @@ def _(s, d):
     return tree.delta_problems(tree.delta(*tree_tables(s, d), rooted=True))
 
 
+@query("at_paths", f"""WITH RECURSIVE {_PATHS}, {_STEP}, q AS (SELECT snapshot, CASE WHEN path = '' THEN '/' ELSE path END AS path, min(file_id) AS file_id FROM p GROUP BY ALL)
+SELECT s.snapshot, o.path AS asked, n.file_id, '' AS rest FROM step s JOIN q o ON o.snapshot = s.older JOIN q n ON n.snapshot = s.snapshot AND n.path = o.path""")
+def _(s, d):
+    """Every path of the snapshot before, looked up in each snapshot; no path leads into a nested tree here."""
+    e, i = tree_tables(s, d)
+    full = _full(s, d)
+    old = full.where("state = 'ok'").select(F.col("snapshot").alias("older"), F.col("path").alias("asked"))
+    return tree.at_paths(full, e, old.join(tree.steps(i), "older").select("snapshot", "asked"))
+
+
 # ---- working states: the newest snapshot of each branch over the two before it ----
 
 _TREES = f"""{_E}, tr AS (SELECT branch AS state_id, snapshot, row_number() OVER (PARTITION BY branch ORDER BY seq DESC) - 1 AS tree_index FROM (SELECT branch, seq, min(snapshot) AS snapshot FROM inventory GROUP BY ALL) QUALIFY tree_index < 3),

@@ -297,3 +297,23 @@ def estimated_records(n_revisions: Column) -> Column:
 def lines_changed(hunks: Column) -> Column:
     """Lines that the hunks of a line delta bring."""
     return F.aggregate(hunks, F.lit(0), lambda n, h: n + F.size(h["lines"]))
+
+
+def _dirblock(path: Column) -> Column:
+    """By what paths of a working state are ordered: the folder's components, then the name."""
+    return F.struct(F.split(dirname(path), "/").alias("d"), basename(path).alias("b"))
+
+
+def place_left(paths: Column, path: Column) -> Column:
+    """How many of an array of paths in folder order come before a path."""
+    return F.size(F.filter(paths, lambda p: _dirblock(p) < _dirblock(path)))
+
+
+def place_right(paths: Column, path: Column) -> Column:
+    """How many of an array of paths in folder order come before or are a path."""
+    return F.size(F.filter(paths, lambda p: _dirblock(p) <= _dirblock(path)))
+
+
+def block_place(folders: Column, folder: Column) -> Column:
+    """How many of an array of folders in component order come before a folder."""
+    return F.size(F.filter(folders, lambda d: F.split(d, "/") < F.split(folder, "/")))

@@ -433,6 +433,43 @@ def by_ancestors(parents: dict[str, list[str]], interval: int) -> list[str]:
     return sorted(whole)
 
 
+def build_ranking(parents: dict[str, list[str]], whole: set[str]) -> list[str]:
+    """Versions by how much storing them whole would spare, the most first; ties by name.
+
+    A version's worth is the number of versions it would no longer be built from times that
+    of the versions built from it; each choice takes both out of what is left.
+    """
+    order, seen = [], set()
+    for v in sorted(parents):
+        stack = [v]
+        while stack:
+            x = stack[-1]
+            todo = [p for p in parents[x] if p in parents and p not in seen]
+            if x in seen or not todo:
+                stack.pop()
+                if x not in seen:
+                    seen.add(x)
+                    order.append(x)
+            else:
+                stack.extend(todo)
+    avoids: dict[str, set[str]] = {}
+    for v in order:
+        own = [p for p in parents[v] if p in parents]
+        avoids[v] = set() if v in whole else set(own).union(*(avoids[p] for p in own))
+    users = {v: {u for u in order if v in avoids[u]} for v in order}
+    out, left = [], set(order)
+    while left:
+        best = max(sorted(left, reverse=True), key=lambda v: len(avoids[v]) * len(users[v]))
+        left.remove(best)
+        out.append(best)
+        spared, by = avoids[best].copy(), users[best].copy()
+        for u in by:
+            avoids[u] -= spared
+        for v in spared:
+            users[v] -= by
+    return out
+
+
 def snapshot_selection(edges: DataFrame, nodes: DataFrame, by: str, interval: int) -> DataFrame:
     """(by, node): versions of each file's graph to store whole, by the number of versions they are built from.
 

@@ -388,6 +388,35 @@ def weave_texts(weaves: DataFrame, versions: DataFrame, key: str = "weave") -> D
     return weaves.join(versions.select(key, "version", "ancestry"), key).where(here).select(key, "version", "pos", F.col("ins").alias("origin"), "line")
 
 
+def weave_problems(weaves: DataFrame, versions: DataFrame, key: str = "weave") -> DataFrame:
+    """(key, version, problem) of versions (key, version, ancestry, sha1): another text than was stored, or a line deleted before it came.
+
+    A version without any line has the empty text.
+    """
+    texts = weave_texts(weaves, versions, key).groupBy(key, "version").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "").alias("text"))
+    got = versions.select(key, "version", "sha1").join(texts, [key, "version"], "left")
+    wrong = got.where(F.sha1(F.coalesce("text", F.lit(""))) != F.col("sha1")).select(key, "version", F.lit("another text").alias("problem"))
+    early = weaves.select(key, F.explode("dels").alias("version"), "ins").join(versions.select(key, "version", "ancestry"), [key, "version"]).where(~F.array_contains("ancestry", F.col("ins")))
+    return wrong.unionByName(early.select(key, "version", F.lit("deletes a line that it does not have").alias("problem")).distinct())
+
+
+def gaps(blocks: Column, side: str, n: Column) -> Column:
+    """Ranges (start, end) of one side's ``n`` lines that no matching block (a, b, n) covers; blocks come in order."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    add = lambda out, lo, hi: F.when(hi > lo, F.concat(out, F.array(F.struct(lo.cast("int").alias("start"), hi.cast("int").alias("end"))))).otherwise(out)
+    acc = F.aggregate(blocks, start, lambda acc, x: F.struct((x[side] + x["n"]).cast("int").alias("at"), add(acc["out"], acc["at"], x[side]).alias("out")))
+    return add(acc["out"], acc["at"], n)
+
+
+def blocks_column(a: Column, b: Column) -> Column:
+    """Matching blocks (a, b, n) of two arrays of lines."""
+    @F.pandas_udf(BLOCKS)
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[{"a": i, "b": j, "n": n} for i, j, n in matching_blocks(list(p), list(q))] for p, q in zip(a, b)])
+
+    return run(a, b)
+
+
 def sha1_lines(lines: list[str]) -> str:
     return hashlib.sha1("".join(lines).encode()).hexdigest()
 

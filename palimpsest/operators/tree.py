@@ -160,6 +160,26 @@ def _row(source: str = "e") -> list[Column]:
     return [F.col(f"{source}.{c}").alias(c) for c in ENTRY]
 
 
+def at_paths(tree: DataFrame, entry: DataFrame, requests: DataFrame) -> DataFrame:
+    """(snapshot, asked, file_id, rest) of requested (snapshot, asked) paths: the entry there, or the nested tree that the path leads into.
+
+    ``rest`` is the path inside the nested tree, empty where the entry itself was found; paths
+    that lead nowhere give no row. Of entries that share a path the least id answers.
+    """
+    ok = tree.where("state = 'ok'").select("snapshot", "path", "file_id")
+    kinds = entry.select("snapshot", "file_id", "kind").dropDuplicates(["snapshot", "file_id"])
+    known = ok.join(kinds, ["snapshot", "file_id"]).groupBy("snapshot", "path").agg(F.min(F.struct("file_id", "kind")).alias("e"))
+    parts = F.split(F.regexp_replace("asked", "^/", ""), "/")
+    ways = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("n"), F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")).alias("path")))
+    asked = requests.where("asked IS NOT NULL").select("snapshot", "asked").distinct().withColumn("parts", parts)
+    hit = asked.select("snapshot", "asked", F.size("parts").alias("size"), F.explode(ways).alias("w")).select("snapshot", "asked", "size", "w.n", "w.path").join(known, ["snapshot", "path"])
+    whole = (F.col("n") == F.col("size")) | (F.col("asked") == "/")
+    fits = hit.where(whole | (F.col("e.kind") == "tree-reference"))
+    rest = F.when(whole, "").otherwise(F.array_join(F.slice(F.split(F.regexp_replace("asked", "^/", ""), "/"), F.col("n") + 1, F.col("size")), "/"))
+    first = fits.groupBy("snapshot", "asked").agg(F.max(F.struct(whole.cast("int").alias("w"), (-F.col("n")).alias("n"), F.col("e.file_id").alias("file_id"), rest.alias("rest"))).alias("f"))
+    return first.select("snapshot", "asked", "f.file_id", "f.rest")
+
+
 def removal(tree: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
     """Delta that removes the named entries (snapshot, file_id) with all below them; ``tree`` is the result of ``hierarchy``."""
     none = [F.lit(None).cast(k).alias(c) for c, k in zip(ENTRY, KINDS_OF)]

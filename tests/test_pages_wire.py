@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalars as S
-from palimpsest.operators import contentmap, graph, text, versions
+from palimpsest.operators import contentmap, graph, packs, text, versions
 from palimpsest.sources import pages, registry, wire, worktree
 
 KEYS = st.lists(st.text("abcxyz019-", min_size=1, max_size=12), min_size=1, max_size=2).map(tuple)
@@ -191,3 +191,36 @@ def test_worktree(spark, tmp_path):
     assert {tuple(r) for r in worktree.differences(recorded, files).collect()} == {("a.txt", "unknown"), ("d/e/ü.txt", "modified"), ("gone", "missing")}
     cache = files.withColumn("read_at", F.col("modified") + F.expr("INTERVAL 10 SECONDS")).withColumn("sha1", F.lit("cached"))
     assert {r.sha1 for r in worktree.cached_hashes(files, cache).collect()} == {"cached"} and not any(r.reused for r in worktree.cached_hashes(files, cache.withColumn("read_at", F.col("modified"))).collect())
+
+
+def test_packs(spark):
+    rows = [(f"k{i}", None if i == 3 else bytes([i % 7]) * (i % 5) + b"\n\nB") for i in range(40)]
+    made = packs.packed(spark.createDataFrame(rows, "key string, body binary"), 9).cache()
+    assert made.count() > 2 and {r.pack for r in made.collect()} == {r.pack for r in packs.packed(spark.createDataFrame(rows[::-1], "key string, body binary"), 9).collect()}
+    assert {r.key: bytes(r.body) for r in packs.read_packed(made, packs.pack_index(made)).collect()} == {k: b or b"" for k, b in rows}
+    v = spark.createDataFrame([("N12 34",), ("5 6",), ("1 2 3 4",), (None,), ("",)], "v string")
+    assert [tuple(r.p) if r.p else None for r in v.select(packs.position(F.col("v")).alias("p")).collect()][:2] == [(12, 34, True), (5, 6, False)]
+    assert tuple(v.where("v = '1 2 3 4'").select(packs.block_position(F.col("v")).alias("p")).first().p) == (1, 2, 3, 4)
+    seen = packs.first_seen_groups(spark.createDataFrame([("b/1", 0), ("a/1", 1), ("b/2", 2)], "key string, pos int")).orderBy("first", "pos").collect()
+    assert [r.key for r in seen] == ["b/1", "b/2", "a/1"]
+
+
+def test_weave_problems(spark):
+    weaves = spark.createDataFrame([("w", 0, 0, [1], "a\n"), ("w", 1, 1, [], "b\n"), ("w", 2, 0, [2], "c\n")], "weave string, pos int, ins int, dels array<int>, line string")
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    v = spark.createDataFrame([("w", 0, [0], sha("a\nc\n")), ("w", 1, [0, 1], sha("b\nc\n")), ("w", 2, [2], sha("")), ("w", 3, [0, 3], sha("x"))], "weave string, version int, ancestry array<int>, sha1 string")
+    assert {tuple(r)[1:] for r in text.weave_problems(weaves, v).collect()} == {(2, "deletes a line that it does not have"), (3, "another text")}
+
+
+def test_gaps_and_places(spark):
+    df = spark.createDataFrame([(list("abcxd"), list("bcyd"))], "a array<string>, b array<string>")
+    r = df.withColumn("m", text.blocks_column(F.col("a"), F.col("b"))).select(text.gaps(F.col("m"), "a", F.size("a")).alias("a"), text.gaps(F.col("m"), "b", F.size("b")).alias("b")).first()
+    assert [tuple(x) for x in r.a] == [(0, 1), (3, 4)] and [tuple(x) for x in r.b] == [(2, 3)]
+    paths = F.array(*[F.lit(x) for x in ("a", "b", "a/a", "a/b", "a/b/c", "a-b/c")])
+    got = spark.range(1).select(S.place_left(paths, F.lit("a/b")).alias("l"), S.place_right(paths, F.lit("a/b")).alias("r"), S.block_place(F.array(F.lit(""), F.lit("a"), F.lit("a/b"), F.lit("a-b")), F.lit("a/b")).alias("d")).first()
+    assert (got.l, got.r, got.d) == (3, 4, 2)
+
+
+def test_build_ranking():
+    chain = {f"v{i}": [f"v{i - 1}"] if i else ["ghost"] for i in range(5)}
+    assert graph.build_ranking(chain, {"v0"})[0] == "v2" and sorted(graph.build_ranking(chain, set())) == sorted(chain) and graph.build_ranking({}, set()) == []

@@ -55,3 +55,11 @@ def test_working_states(spark):
     assert {r.file_id for r in T.without_trees(now, 1).collect()} == {"root", "x", "z"}
     twice = st.unionByName(st.where("file_id = 'x' AND tree_index = 0")).where("NOT (file_id = 'new' AND tree_index = 1)")
     assert {tuple(r)[1:] for r in T.state_problems(twice).collect()} == {("x", "slot occurs twice"), ("new", "slot is missing")}
+
+
+def test_paths_into_nested_trees(spark):
+    rows = [entry("root", None, "", "directory"), entry("d", "root", "d", "directory"), entry("sub", "d", "sub", "tree-reference"), entry("f", "d", "f")]
+    base, inv = spark.createDataFrame(rows, ROW), spark.createDataFrame([("s", "root")], "snapshot string, root_id string")
+    asked = spark.createDataFrame([("s", p) for p in ("/", "/d/f", "/d/sub", "/d/sub/x/y", "d/f", "/d/f/no", "/none", None)], "snapshot string, asked string")
+    got = {(r.asked, r.file_id, r.rest) for r in T.at_paths(hierarchy(base, inv), base, asked).collect()}
+    assert got == {("/", "root", ""), ("/d/f", "f", ""), ("d/f", "f", ""), ("/d/sub", "sub", ""), ("/d/sub/x/y", "sub", "x/y")}
