@@ -255,6 +255,17 @@ def plan_groups(plan: list[tuple[str, str]]) -> list[tuple[list[str], ...]]:
     return out
 
 
+#: fixed values: what becomes of a plan's lines about b that another plan with another b has too; None drops a line
+CANCELLED = {"new-b": None, "killed-b": "unchanged"}
+
+
+def plan_difference(plan: list[tuple[str, str]], other: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """A merge plan without the changes of b that ``other`` makes too; both plans have the same a."""
+    shared = {j + d for _, j, n in matching_blocks(other, plan) for d in range(n)}
+    states = ((CANCELLED.get(s, s) if k in shared else s, x) for k, (s, x) in enumerate(plan))
+    return [(s, x) for s, x in states if s is not None]
+
+
 def two_way_plan(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     """(state, line) of a merge without a base: lines of both are unchanged, all others conflict."""
     out, pa, pb = [], 0, 0

@@ -109,6 +109,12 @@ def test_lca_plan():
     assert ("conflicted-a", "old") in text.lca_plan(a, b, [["1", "both", "old"], ["1", "both"]])
 
 
+def test_plan_difference():
+    plan = [("unchanged", "1"), ("new-b", "x"), ("killed-b", "2"), ("new-a", "y"), ("new-b", "z")]
+    assert text.plan_difference(plan, plan[:4]) == [("unchanged", "1"), ("unchanged", "2"), ("new-a", "y"), ("new-b", "z")]
+    assert text.plan_difference(plan, []) == plan and text.plan_difference([], plan) == []
+
+
 def test_whole_versions(spark):
     chain = {f"v{i:02d}": [f"v{i - 1:02d}"] if i else [] for i in range(12)}
     whole = graph.by_ancestors(chain, 3)
