@@ -94,62 +94,69 @@ def _kind(c: str) -> tuple[str, float]:
     return ("o", 1.8) if c.isalpha() else ("m", 1.9)
 
 
-def cost(s: str) -> float:
-    """How implausible the non-ASCII part of a text is; 0.0 for plain ASCII."""
-    return costs(s)[0]
+_ODD = re.compile(r"[^\x20-\x7e\t-\r]")  # characters that may cost something
 
 
-def costs(s: str) -> tuple[float, float]:
-    """The cost of a text and that of its most implausible character."""
+def cost(s: str, most: float = math.inf) -> float:
+    """How implausible the non-ASCII part of a text is; 0.0 for plain ASCII. Above ``most`` some larger number may stand for it."""
+    return costs(s, most)[0]
+
+
+def costs(s: str, most: float = math.inf) -> tuple[float, float]:
+    """The cost of a text and that of its most implausible character; counting ends above ``most``."""
     if s.isascii():
         return (0.0, 0.0) if s.isprintable() else (sum(_kind(c)[1] for c in s), 0.0)
-    total = worst = before = 0.0
-    n = len(s)
-    kinds = [_kind(c) for c in s]
-    for i, (k, v) in enumerate(kinds):
+    total = worst = 0.0
+    n, kind = len(s), _kind
+    for m in _ODD.finditer(s):
+        i = m.start()
+        k, v = kind(s[i])
         if k in "asp" and not v:
             continue
-        worst = max(worst, total - before)
-        before = total
-        total += v
-        left = kinds[i - 1][0] if i else "s"
-        right = kinds[i + 1][0] if i + 1 < n else "s"
+        add = v
+        left = kind(s[i - 1])[0] if i else "s"
+        right = kind(s[i + 1])[0] if i + 1 < n else "s"
         if k in "lL":
             if left in "lL":
-                total += 1.0
+                add += 1.0
             if k == "L" and left in "al" and s[i - 1].islower():
-                total += 2.0
+                add += 2.0
             if k == "L" and left in "aL" and right in "al" and s[i - 1].isupper() and s[i + 1].islower():
-                total += 1.2
+                add += 1.2
             if left in "mxbcC" and s[i - 1] not in "«„“‘’—–…":
-                total += 1.2
+                add += 1.2
             if right in "mxb" and s[i + 1] not in "»”“’‘—–…,":
-                total += 1.2
+                add += 1.2
         elif k in "cC":
             if k == "C" and left == "c":
-                total += 1.6
+                add += 1.6
             if left in "alL" or right in "alL":
-                total += 1.9
-            if k == "c" and left == "C" and i > 1 and kinds[i - 2][0] == "C":
-                total += 1.0
+                add += 1.9
+            if k == "c" and left == "C" and i > 1 and kind(s[i - 2])[0] == "C":
+                add += 1.0
         elif k == "m":
             if left in "alLcC" and right in "alLcC" and s[i] not in "’·–—…":
-                total += 1.4
+                add += 1.4
             elif right in "mx" and s[i] not in "…”»’":
-                total += 0.8
+                add += 0.8
             if v > 1 and s[i] not in "¡¿" and (left in "alL" or right in "alL"):
-                total += 0.8
+                add += 0.8
         elif k == "b":
             if left not in "bs" or right not in "bs":
-                total += 1.6
+                add += 1.6
         elif k == "h":
             if left in "lL" or right in "lL":
-                total += 1.5
-            total += 1.3 * ((left == "a") + (right == "a"))
+                add += 1.5
+            add += 1.3 * ((left == "a") + (right == "a"))
         elif k in "go":
             if left in "alLcChm" or right in "alLcChm":
-                total += 1.0
-    return total, max(worst, total - before)
+                add += 1.0
+        total += add
+        if add > worst:
+            worst = add
+        if total > most:
+            break
+    return total, worst
 
 
 def _sloppy(enc: str) -> tuple[dict[int, int], str]:
@@ -207,9 +214,13 @@ _ESCAPED = re.compile(ESCAPED)
 _IN_WORD = re.compile(rf"(?<=[^\W\d_])(?:{ESCAPED})|(?:{ESCAPED})(?=[^\W\d_]|{ESCAPED})")
 
 
+def has_escape(s: str) -> bool:
+    return ("&" in s or "%" in s or "\\" in s or "=" in s) and bool(_ESCAPED.search(s))
+
+
 def escapes(s: str) -> float:
     """What the escapes inside the words of a text cost."""
-    return ESCAPE * len(_IN_WORD.findall(s)) if _ESCAPED.search(s) else 0.0
+    return ESCAPE * len(_IN_WORD.findall(s)) if has_escape(s) else 0.0
 
 
 def _start(s: str, i: int) -> int:
@@ -253,7 +264,7 @@ WEAK, NEUTRAL, STRONG = range(3)
 
 def edges(s: str, limit: float):
     """(next text, grade of evidence, its name); weak steps only if they can cost up to ``limit``."""
-    if _ESCAPED.search(s):
+    if has_escape(s):
         yield from unescaped(s)
     pair, ideograph = bool(_PAIR.search(s)), bool(_IDEOGRAPH.search(s))
     single = least(s) <= limit
@@ -303,13 +314,14 @@ def search(s: str) -> tuple[str, tuple[str, ...]]:
         for u, grade, name in edges(t, limit):
             if hash(u) in seen or "\x00" in u:
                 continue
-            cu, path = cost(u) + escapes(u), (*steps, name)
+            path = (*steps, name)
             if grade == WEAK:
-                cu += UNUSUAL.get(name.partition(">")[2], 0.0)
+                cu = cost(u, min(limit, weak_best[0]) + 1e-6) + escapes(u) + UNUSUAL.get(name.partition(">")[2], 0.0)
                 if cu < weak_best[0] and cu + margin <= start and cu <= start * SINGLE_SHARE:
                     weak_best = (cu, u, path)
                 continue
             seen.add(hash(u))
+            cu = cost(u) + escapes(u)
             if cu < sure_best[0] and cu + MULTI_MARGIN <= start:
                 sure_best = (cu, u, path)
             k += 1
@@ -335,7 +347,7 @@ def _each(pattern: re.Pattern, s: str, steps: list[str], deeper) -> str:
 
 
 def _clean(s: str) -> bool:
-    return s.isascii() and not _ESCAPED.search(s)
+    return s.isascii() and not has_escape(s)
 
 
 def _level(s: str, steps: list[str], level: int) -> str:
