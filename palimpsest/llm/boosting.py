@@ -8,8 +8,8 @@ BINS = 32
 class Boosted:
     """Binary classifier; ``fit`` on a bounded table, ``predict`` gives calibrated probabilities."""
 
-    def __init__(self, rounds: int = 80, depth: int = 4, rate: float = 0.2, least: int = 8, l2: float = 1.0):
-        self.rounds, self.depth, self.rate, self.least, self.l2 = rounds, depth, rate, least, l2
+    def __init__(self, rounds: int = 80, depth: int = 4, rate: float = 0.2, least: int = 8, l2: float = 1.0, part: float = 0.5):
+        self.rounds, self.depth, self.rate, self.least, self.l2, self.part = rounds, depth, rate, least, l2, part
 
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], 1).astype(np.int32)
@@ -25,14 +25,16 @@ class Boosted:
         self.feature[:] = -1
         used = [j for j in range(m) if len(self.edges[j])]
         cells = (b[:, used] + np.arange(len(used)) * BINS).astype(np.int64)  # one histogram cell per row and feature
-        width, rows = len(used) * BINS, np.arange(n)
+        width, rows, rng = len(used) * BINS, np.arange(n), np.random.default_rng(1)
         for t in range(self.rounds):
+            drawn = rng.random(n) < self.part  # each tree is grown on a part of the rows
             p = 1 / (1 + np.exp(-score))
             g, h = y - p, p * (1 - p)
             at = np.zeros(n, np.int64)
             for level in range(self.depth + 1):
                 first, count = 2**level - 1, 2**level
-                here = at >= first
+                there = at >= first
+                here = there & drawn
                 local = at[here] - first
                 gs, hs, ns = (np.bincount(local, w, count) for w in (g[here], h[here], np.ones(here.sum())))
                 self.value[t, first : first + count] = np.where(ns > 0, self.rate * gs / (hs + self.l2), 0.0)
@@ -48,7 +50,7 @@ class Boosted:
                 j, c = np.array(used)[best // (BINS - 1)], best % (BINS - 1)
                 self.feature[t, first : first + count] = np.where(split, j, -1)
                 self.cut[t, first : first + count] = c
-                move = rows[here][split[local]]
+                move = rows[there][split[at[there] - first]]
                 k = at[move] - first
                 at[move] = 2 * at[move] + 1 + (b[move, j[k]] > c[k])
             score += self.value[t, at]
