@@ -86,7 +86,7 @@ CASES = [
 ]
 
 
-# Formats and names that neither the examples nor the table hold, and plain sentences about nobody.
+# Items that the table does not hold, and plain sentences about nobody; looked at while the examples were written, so no independent measure.
 UNSEEN = [("AHV 756.9217.0769.85","id_number"),("SIN 046 454 286","id_number"),("my TFN is 123 456 782","id_number"),("RRN 900101-1234567","id_number"),("Medicare 2123 45670 1","id_number"),("CURP GODE561231MDFRRN09","id_number"),("passport no. L01X00T47","id_number"),("passport K8392011","id_number"),("NHS number 943 476 5919","id_number"),("Aadhaar 2345 6789 0123","id_number"),("codice fiscale RSSMRA85M01H501Z","id_number"),("personnummer 811218-9876","id_number"),
 ("call +1-800-273-8255 now","phone"),("+81-3-1234-5678","phone"),("(02) 9374 4000","phone"),("+1.650.253.0000","phone"),("tel. 030 901820","phone"),("+44 7911 123456","phone"),("+55 11 91234-5678","phone"),("Fax: 089/12345678","phone"),
 ("221B Baker Street, London","street_address"),("1600 Amphitheatre Parkway","street_address"),("Via Roma 12, Milano","street_address"),("Calle de Alcalá, 45","street_address"),("Hauptstraße 5, 10115 Berlin","street_address"),("10 Downing St","street_address"),("ul. Marszałkowska 10, Warszawa","street_address"),("北京市朝阳区建国路88号","street_address"),("12 rue de Rivoli, 75001 Paris","street_address"),("Kungsgatan 12","street_address"),
