@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.garbled import foreign_words, repair
+from palimpsest.llm.garbled import MAYBE, restored
 from palimpsest.llm.names import NICKNAMES, ORG_WORDS, PARTICLES, ROBOT_WORDS, TITLES, WORD, NameModel, learnt, plain
 from palimpsest.plans.durable import durable
 from palimpsest.plans.skew import salted_join
@@ -55,9 +55,9 @@ def trade_of(word: str) -> str:
     return next((t for full, t in TRADES.items() if 3 <= len(word) <= 5 and any(distance(word, cut, 1) <= 1 for cut in (full[:3], full[:4], full[:5], full[:4] + "s", full[:3] + "s"))), "")
 
 
-def parse(text: str, model: NameModel, words: dict[str, int] | None = None) -> dict:
-    """cls p (full person), i (initial and family), t (cut off), m (mailbox only), o (organisation), r (robot), n (nothing usable)."""
-    s = repair(text, words)[0].strip()
+def parse(text: str, model: NameModel) -> dict:
+    """cls p (full person), i (initial and family), t (cut off), m (mailbox only), o (organisation), r (robot), n (nothing usable) of a repaired text."""
+    s = text.strip()
     out = {"cls": "n", "given": "", "family": "", "mail": "", "loc": "", "cut": False}
     flat = re.sub(r"\s*(?:\(dot\)|\[dot\]| dot )\s*", ".", s)
     m = _MAIL.search(flat)
@@ -221,19 +221,20 @@ def channel(v: dict, g: str, f: str, same_mail: bool, known: set[str]) -> float
 
 def parsed(revision: DataFrame, model: NameModel, column: str = "committer") -> DataFrame:
     """Each distinct non-empty spelling once: its count and what it was parsed into."""
-    held = foreign_words(revision.select(F.col(column).alias("text")))
-    blob = revision.sparkSession.sparkContext.broadcast(pickle.dumps((model, held)))  # bounded by names.MOST and garbled.MOST_WORDS
+    blob = revision.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by names.MOST
 
     def run(batches):
-        m, words = pickle.loads(blob.value)
+        m = pickle.loads(blob.value)
         for b in batches:
-            got = [parse(s, m, words) for s in b["s"]]
+            got = [parse(s, m) for s in b["fixed"]]
             yield pd.DataFrame({"s": b["s"], "n": b["n"], **{c: [x[c] for x in got] for c in ("cls", "given", "family", "mail", "loc", "cut")}})
 
     counts = revision.where(F.length(F.col(column)) > 0).groupBy(F.col(column).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    fixed = restored(counts.select(F.col("s").alias("text")).where(F.col("s").rlike(MAYBE)), revision.select(F.col(column).alias("text")))
+    whole = counts.join(fixed.select(F.col("text").alias("s"), "fixed"), "s", "left").select("s", "n", F.coalesce("fixed", "s").alias("fixed"))
     # parsing costs more than its bytes suggest: keep all partitions, which AQE would merge
     parts = int(revision.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return counts.repartition(parts).mapInPandas(run, UNIT)
+    return whole.repartition(parts).mapInPandas(run, UNIT)
 
 
 def _without_groups(units: DataFrame) -> DataFrame:

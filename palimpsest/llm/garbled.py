@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.plans.durable import durable
+from palimpsest.plans.skew import SMALL, small_join
 from palimpsest.plans.spread import spread
 
 MAX_NODES = 10_000  # expanded texts of one search; only steps into UTF-8 and unescaping are expanded, and those shorten a text
@@ -369,11 +371,14 @@ def _strong(steps) -> bool:
     return any(x.endswith(">utf-8") or x.startswith("unescape") for x in steps)
 
 
-def repair(text: str | None, words: dict[str, int] | None = None) -> tuple[str | None, tuple[str, ...], bool]:
+def _lost(text: str) -> bool:
+    return "\ufffd" in text or bool(_CUT.search(text))
+
+
+def repair(text: str | None) -> tuple[str | None, tuple[str, ...], bool]:
     """The text with garbled parts restored, the steps taken, and whether characters were lost.
 
-    ``words`` counts the corpus's words that are not plain ASCII: what the search leaves may
-    still be a misreading of a word that is far more frequent.
+    What this search leaves may still be a misreading of a word that is far more frequent: see ``restored``.
     """
     if not text or _clean(text):
         return text, (), False
@@ -383,42 +388,112 @@ def repair(text: str | None, words: dict[str, int] | None = None) -> tuple[str |
         text = "\n".join(line if _clean(line) else _level(line, steps, 0) for line in text.split("\n"))
         if len(steps) == n:
             break
-    if words:
-        text = _FOREIGN.sub(lambda m: _familiar(m.group(), words, steps), text)
-    lost = "�" in text or bool(_CUT.search(text))
-    return text, tuple(steps), lost
+    return text, tuple(steps), _lost(text)
 
 
 FOREIGN = r"[^\s<>()\[\]\"/.,;:]*[^\x00-\x7f\s][^\s<>()\[\]\"/.,;:]*"  # a word with a character outside ASCII
 _FOREIGN = re.compile(FOREIGN)
-MOST_WORDS = 200_000  # counted words that are sent to the tasks, the most frequent ones
+MAYBE = r"[^\x00-\x7f]|" + ESCAPED  # what a text must hold to be garbled
 FAR_MORE = 10  # times that a word must be as frequent as what may be its misreading
+_BATCH = 1_000_000  # characters of misreadings that leave a task at once
 
 
-def _familiar(w: str, words: dict[str, int], steps: list[str]) -> str:
-    least = FAR_MORE * words.get(w, words.get("", 1))
-    best, how = w, None
+def _readings(w: str):
+    """(word, step) of each weak step from a word to one of at least three letters, in order of preference."""
     for u, grade, name in edges(w, math.inf) if len(w) > 2 else ():
-        n = words.get(u, 0)
-        if grade == WEAK and n >= least and n > words.get(best if how else "", 0) and sum(c.isalpha() for c in u) > 2:
-            best, how = u, name
-    if how:
-        steps.append(how)
-    return best
+        if grade == WEAK and sum(c.isalpha() for c in u) > 2:
+            yield u, name
+
+
+@lru_cache(maxsize=50_000)
+def _readable(w: str) -> bool:
+    return any(True for _ in _readings(w))
+
+
+def _all_readings(batches):
+    out, size = [], 0
+    for b in batches:
+        for w in b["w"]:
+            for k, (u, how) in enumerate(_readings(w)):
+                out.append((w, u, how, k))
+                size += len(w) + len(u)
+                if size > _BATCH:
+                    yield pd.DataFrame(out, columns=["w", "u", "how", "k"])
+                    out, size = [], 0
+    if out:
+        yield pd.DataFrame(out, columns=["w", "u", "how", "k"])
+
+
+def foreign_words(texts: DataFrame) -> DataFrame:
+    """(w, n): counts of the words outside ASCII in a column ``text``, over all rows; those of one row or under three characters are left out."""
+    word = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({FOREIGN})"), F.lit(1))))
+    return texts.select(word.alias("w")).where("length(w) > 2").groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def foreign_words(texts: DataFrame) -> dict[str, int]:
-    """Counts of the words outside ASCII in a column ``text``, over all rows; "" has the count that words left out may have.
+def familiar(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """(w, u, how): of the distinct words ``w``, those that may be a misreading of a word ``u`` that ``counts`` has FAR_MORE times as often.
 
-    The counting is Spark's; at most MOST_WORDS words, the most frequent ones, reach the driver.
+    Of several the most frequent one is taken, of equally frequent ones the first in order of preference.
     """
-    word = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({FOREIGN})"), F.lit(1))))
-    counts = texts.select(word.alias("w")).where("length(w) BETWEEN 3 AND 40").groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = counts.orderBy(F.col("n").desc(), "w").limit(MOST_WORDS).collect()
-    return {r["w"]: r["n"] for r in rows} | {"": rows[-1]["n"] if len(rows) == MOST_WORDS else 1}
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = words.repartition(parts).mapInPandas(_all_readings, "w string, u string, how string, k int")  # AQE would merge the partitions
+    often = counts.where(F.col("n") >= FAR_MORE).select(F.col("w").alias("u"), "n")
+    few = often.limit(SMALL + 1).count() <= SMALL
+    best = read.join(F.broadcast(often) if few else often, "u").groupBy("w").agg(F.min_by(F.struct("u", "how", "n"), F.struct(-F.col("n"), "k")).alias("b"))
+    own = best.select("w", "b.*").join(counts.select("w", F.col("n").alias("own")), "w", "left")
+    return own.where(F.col("n") >= FAR_MORE * F.coalesce("own", F.lit(1))).select("w", "u", "how")
+
 
+def restored(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows whose column ``text`` is garbled, with fixed (the repaired text), steps and lost; ``texts`` is where words are counted.
+
+    The search runs once a row. Words that it leaves are then judged once each by the counts
+    of all words; both are tables, and no number of words is left out.
+    """
+    @F.pandas_udf("fixed string, steps array<string>, lost boolean, words array<string>")
+    def search_all(texts: pd.Series) -> pd.DataFrame:
+        code, distinct = pd.factorize(texts)
+        once = [(repair(t), t) for t in distinct]
+        words = [sorted({w for w in _FOREIGN.findall(r[0]) if _readable(w)}) for r, _ in once]
+        return pd.DataFrame({
+            "fixed": [None if once[c][0][0] == once[c][1] else once[c][0][0] for c in code],
+            "steps": [list(once[c][0][1]) for c in code],
+            "lost": [once[c][0][2] for c in code],
+            "words": [words[c] for c in code],
+        })
 
-_RESULT = "restored string, found boolean, steps array<string>"
+    @F.pandas_udf("fixed string, steps array<string>, lost boolean")
+    def reread(texts: pd.Series, words: pd.Series, meant: pd.Series, how: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, *known in zip(texts, words, meant, how):
+            if t is None:
+                out.append((None, None, None))
+                continue
+            known, steps = {w: (u, h) for w, u, h in zip(*known)}, []
+
+            def word(m: re.Match, known=known, steps=steps) -> str:
+                u, h = known.get(m.group(), (m.group(), None))
+                if h:
+                    steps.append(h)
+                return u
+
+            t = _FOREIGN.sub(word, t)
+            out.append((t, steps, _lost(t)))
+        return pd.DataFrame(out, columns=["fixed", "steps", "lost"])
+
+    counts = durable(foreign_words(texts))
+    held = spread(rows).withColumn("r", search_all("text")).where("size(r.steps) > 0 OR r.lost OR size(r.words) > 0")
+    held = durable(held.select(*rows.columns, "r.*").withColumn("_row", F.monotonically_increasing_id()))
+    words = held.select("_row", F.explode("words").alias("w"))
+    known = durable(familiar(words.select("w").distinct(), counts))
+    hits = durable(small_join(words, known, ["w"], ["_row"]).groupBy("_row").agg(F.collect_list(F.struct("w", "u", "how")).alias("_hits")))
+    out = small_join(held.drop("words"), hits, ["_row"], ["_row"], "left")
+    out = out.withColumn("r", reread(F.when(F.col("_hits").isNotNull(), F.coalesce("fixed", "text")), F.col("_hits.w"), F.col("_hits.u"), F.col("_hits.how")))
+    out = out.select(
+        *rows.columns, F.coalesce("r.fixed", "fixed", "text").alias("fixed"),
+        F.when(F.col("_hits").isNull(), F.col("steps")).otherwise(F.concat("steps", "r.steps")).alias("steps"), F.coalesce("r.lost", "lost").alias("lost"),
+    )
+    return out.where("size(steps) > 0 OR lost")
 
 
 def garbled(df: DataFrame, id_col: str = "revision_id", fields: tuple[str, ...] = ("message", "committer")) -> DataFrame:
@@ -429,23 +504,9 @@ def garbled(df: DataFrame, id_col: str = "revision_id", fields: tuple[str, ...]
     """
     long = None
     for f in fields:
-        part = df.select(F.col(id_col).alias("id"), F.lit(f).alias("field"), F.col(f).alias("text")).where(F.col(f).rlike(r"[^\x00-\x7f]|" + ESCAPED))
+        part = df.select(F.col(id_col).alias("id"), F.lit(f).alias("field"), F.col(f).alias("text")).where(F.col(f).rlike(MAYBE))
         long = part if long is None else long.unionAll(part)
-
-    words = df.sparkSession.sparkContext.broadcast(foreign_words(long))
-
-    @F.pandas_udf(_RESULT)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        code, distinct = pd.factorize(texts)
-        once = [repair(t, words.value) for t in distinct]
-        got = [once[c] for c in code]
-        return pd.DataFrame({
-            "restored": [None if lost else t for t, _, lost in got],
-            "found": [bool(s) or lost for _, s, lost in got],
-            "steps": [list(s) for _, s, _ in got],
-        })
-
-    out = spread(long).withColumn("r", run("text")).where("r.found").select(F.col("id").alias(id_col), "field", "text", "r.restored", "r.steps")
+    out = restored(long, long).select(F.col("id").alias(id_col), "field", "text", F.when(~F.col("lost"), F.col("fixed")).alias("restored"), "steps")
     return out.dropDuplicates([id_col, "field", "text"])
 
 

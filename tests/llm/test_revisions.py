@@ -55,6 +55,30 @@ def test_misreadings_that_the_corpus_reveals(spark):
     assert got == {("x", "committer", "Jiří Novák")}
 
 
+def test_no_word_is_left_out_of_the_counts(spark, monkeypatch):
+    """Words rarer than many others, and longer than most, reveal misreadings too; both forms of the join agree."""
+    monkeypatch.setattr(garbled, "MOST_WORDS", 2, raising=False)
+    long = "Nejneobhospodařovávatelnější" * 2
+    bad = garbled.from_bytes(long.encode("cp1250"), "cp1252")
+    assert garbled.repair(bad) == (bad, (), False) and len(long) > 40
+    often = [f"{a}é{b}t" for a in "bcdfg" for b in "aeiou"]
+    rows = [(f"r{i}", " ".join(often), "fine") for i in range(40)] + [(f"s{i}", "Jiří Novák", long) for i in range(30)]
+    rows += [("x", "Jiøí Novák", "fine"), ("y", "Anna", bad), ("z", "Anna", "naïve")]
+    df = spark.createDataFrame(rows, REV)
+    want = {("x", "committer", "Jiří Novák"), ("y", "message", long)}
+    for most in (200_000, 0):
+        monkeypatch.setattr(garbled, "SMALL", most, raising=False)
+        assert {tuple(r) for r in garbled.garbled(df).select("revision_id", "field", "restored").collect()} == want
+
+
+def test_rare_spellings_are_repaired_before_they_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(garbled, "MOST_WORDS", 1, raising=False)
+    rows = [(f"r{i}", f"Zdeněk B{i % 3}é", "") for i in range(90)] + [(f"s{i}", "Jiří Novák", "") for i in range(30)] + [("x", "Jiøí Novák", "")]
+    df = spark.createDataFrame(rows, REV)
+    got = {r.s: (r.given, r.family) for r in aliases.parsed(df, names.learnt(df, "committer")).collect()}
+    assert got["Jiøí Novák"] == got["Jiří Novák"]
+
+
 def test_garbled_rows(spark):
     rows = [("r1", "JosÃ©", "fine"), ("r1", "JosÃ©", "fine"), ("r2", None, ""), (None, "x", "dÃ©jÃ\xa0 vu"), ("r3", "A", "S�ren did")]
     df = spark.createDataFrame([(*r, 1) for r in rows], REV + ", text int")
