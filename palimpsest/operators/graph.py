@@ -17,11 +17,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.plans.durable import durable, release
-from palimpsest.plans.skew import salted_join
+from palimpsest.plans.skew import salted_join, small_join
 
 COMPACT = 8  # rounds after which the pieces of a growing or shrinking table are written anew
 SMALL = 1_000_000  # frontier rows below which no key can overload a task
 CORE = 2_000_000  # edges of a contracted core that are sent to all tasks: 32 MB
+TIPS = 200_000  # tips whose names are sent to all tasks
+BLOCK = 1024  # places of a chain that one task spells out for all tips
 
 
 def clean_edges(edges: DataFrame) -> DataFrame:
@@ -50,7 +52,9 @@ def chains(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame,
     upper = member.select(F.col("node").alias("parent"), F.col("chain").alias("up"))
     ring = F.col("chain") != F.col("up")
     core = e.join(ends, "child").join(upper, "parent").where(ring | (F.col("place") == 0)).select("chain", "up").distinct()
-    return member, durable(core)
+    core = durable(core)
+    release(e)
+    return member, core
 
 
 class Core:
@@ -76,6 +80,21 @@ class Core:
         src = np.repeat(np.arange(len(nodes)), n)
         return src, self.up[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[nodes], n)]
 
+    def parts(self) -> np.ndarray:
+        """A number for each node, the same for all of its component: the lowest position there."""
+        low, high = np.repeat(np.arange(len(self.ids)), np.diff(self.start)), self.up
+        part = np.arange(len(self.ids))
+        while True:
+            a, b = part[low], part[high]
+            new = part.copy()
+            np.minimum.at(new, a, b)
+            np.minimum.at(new, b, a)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == part).all():
+                return part
+            part = new
+
     def reach(self, tips: np.ndarray) -> np.ndarray:
         """Bit k of each node's mask: whether it lies above tip k (at most 64; the tip itself only by a cycle)."""
         mask = np.zeros(len(self.ids), np.uint64)
@@ -114,35 +133,79 @@ def _answers(core: Core, spark, tips: DataFrame, out: str, make) -> DataFrame:
     return tips.mapInArrow(run, out)
 
 
-def _above(core: Core, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    tips = b.column(0).to_numpy()
-    mask = core.reach(core.at(tips))
-    for k in range(len(tips)):
-        hit = core.ids[(mask >> np.uint64(k)) & np.uint64(1) == 1]
-        yield pa.record_batch([pa.array(np.full(len(hit), tips[k])), pa.array(hit)], ["t", "a"])
+def _ranked(core: Core, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(t, part): the component that each chain lies in; -1 where the core lacks the chain."""
+    at = core.at(b.column(0).to_numpy())
+    part = np.full(len(at), -1)
+    part[at >= 0] = core.part[at[at >= 0]]
+    yield pa.record_batch([b.column(0), pa.array(part)], ["t", "part"])
+
+
+def _masks(core: Core, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(batch, a, block, mask): every block of the chains above the tips (batch, lane, t); bit ``lane`` tells whether it lies above that tip."""
+    batch, lane, tips = (b.column(c).to_numpy() for c in range(3))
+    for k in np.unique(batch):
+        own = batch == k
+        at = np.full(64, -1)
+        at[lane[own]] = core.at(tips[own])
+        mask = core.reach(at)
+        hit = np.flatnonzero(mask)
+        n = core.blocks[hit]
+        block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hit = np.repeat(hit, n)
+        yield pa.record_batch([pa.array(np.full(len(hit), k)), pa.array(core.ids[hit]), pa.array(block), pa.array(mask[hit].view(np.int64))], ["batch", "a", "block", "mask"])
 
 
 def ancestors(edges: DataFrame, tips: DataFrame, core_limit: int = CORE) -> DataFrame:
     """(tip, node): every tip with itself and all that it descends from; repeated tips collapse.
 
     Parents without edges of their own (ghosts) are nodes; null tips are ignored. The result
-    has a row for each pair, so its size is the sum of the tips' ancestries.
+    has a row for each pair, so its size is the sum of the tips' ancestries. Pairs come out
+    once by construction. From a core of at most ``core_limit`` edges they are spelt out by
+    the last step, from masks of 64 tips, and never shuffled; only above TIPS tips (chain,
+    mask) rows meet the tips' names in one more shuffle.
     """
-    member, core = chains(edges)
-    asked = tips.where("tip IS NOT NULL").select("tip").distinct()
+    spark = edges.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    asked = durable(tips.where("tip IS NOT NULL").select("tip").distinct())
+    # names are replaced by numbers, which take a fraction of the disk in the rounds of contraction
+    real = edges.where("child IS NOT NULL AND parent IS NOT NULL")
+    every = real.select(F.col("child").alias("node")).unionAll(real.select(F.col("parent").alias("node"))).unionAll(asked.select(F.col("tip").alias("node")))
+    names = durable(every.distinct().withColumn("id", F.monotonically_increasing_id())).hint("merge")  # its size is a guess from files: never broadcast
+    ends = [names.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id")) for c in ("child", "parent")]
+    numbers = real.select("child", "parent").join(ends[0], "child").join(ends[1], "parent").select(F.col("child_id").alias("child"), F.col("parent_id").alias("parent"))
+    member, core = chains(numbers, names.select(F.col("id").alias("node")))
+    member = member.withColumnRenamed("node", "id").join(names, "id").select("node", "chain", "place")
     placed = durable(asked.join(member.select(F.col("node").alias("tip"), "chain", "place"), "tip"))
     within = placed.join(member.withColumnRenamed("place", "p"), "chain").where("p <= place").select("tip", "node")
-    starts = placed.select("chain").distinct()
     graph, _ = _core(core, core_limit)
+    # a cycle leads back into the tip's own chain, of which the younger nodes are left
     if graph is not None:
-        pairs = _answers(graph, edges.sparkSession, starts.select(F.xxhash64("chain").alias("id")).repartition(edges.sparkSession.sparkContext.defaultParallelism), "t bigint, a bigint", _above)
-        whole = placed.select("tip", F.xxhash64("chain").alias("t")).join(pairs, "t").join(member.select("node", F.xxhash64("chain").alias("a")), "a").select("tip", "node")
+        graph.part = graph.parts()
+        ids = placed.select(F.xxhash64("chain").alias("id")).distinct().repartition(cores)
+        ranked = placed.withColumn("t", F.xxhash64("chain")).join(_answers(graph, spark, ids, "t bigint, part bigint", _ranked), "t")
+        numbered = ranked.repartitionByRange(cores, "part", "t").sortWithinPartitions("part", "t").withColumn("i", F.monotonically_increasing_id())
+        numbered = durable(numbered.select(F.shiftright("i", 6).alias("batch"), (F.col("i") % 64).alias("lane"), "tip", "t", "place"))
+        graph.blocks = _blocks(graph, member)
+        masks = _answers(graph, spark, numbered.select("batch", "lane", "t"), "batch bigint, a bigint, block bigint, mask bigint", _masks)
+        n = max(3 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))  # given, for small tables become many pairs
+        here = member.select("node", F.col("place").alias("p"), F.xxhash64("chain").alias("a"), F.expr(f"place div {BLOCK}").alias("block"))
+        met = masks.repartition(n, "a", "block").join(here.repartition(n, "a", "block").hint("merge"), ["a", "block"])
+        lanes = numbered.select("batch", F.expr("shiftleft(1L, CAST(lane AS INT))").alias("bit"), "tip", "t", "place")
+        whole = small_join(met, lanes, ["batch"], ["node"], most=TIPS).where("(mask & bit) <> 0 AND (a <> t OR p > place)").select("tip", "node")
     else:
-        far = _walked(core, starts)
-        whole = placed.select("tip", "chain").join(far, "chain").join(member.select("node", F.col("chain").alias("up")), "up").select("tip", "node")
-    # a cycle leads back into the tip's own chain; a tip that no edge knows is its own ancestry
-    alone = asked.select("tip", F.col("tip").alias("node"))
-    return within.unionByName(whole).unionByName(alone).distinct()
+        far = _walked(core, placed.select("chain").distinct())
+        whole = placed.join(far, "chain").join(member.select("node", F.col("place").alias("p"), F.col("chain").alias("up")), "up").where("chain <> up OR p > place").select("tip", "node")
+    return within.unionByName(whole)
+
+
+def _blocks(core: Core, member: DataFrame) -> np.ndarray:
+    """The number of blocks of BLOCK places that each chain of the core takes; one row for BLOCK nodes at most reaches the driver."""
+    n = np.ones(len(core.ids), np.int64)
+    t = member.groupBy("chain").agg(F.expr(f"max(place) div {BLOCK} + 1").alias("n")).where("n > 1").select(F.xxhash64("chain").alias("id"), "n").toArrow()
+    at = core.at(t.column("id").to_numpy())
+    n[at[at >= 0]] = t.column("n").to_numpy()[at >= 0]
+    return n
 
 
 def _walked(core: DataFrame, starts: DataFrame) -> DataFrame:

@@ -99,3 +99,38 @@ def test_rounds_on_a_chain(spark, monkeypatch):
     e = spark.range(1, 100_000).select(F.col("id").alias("child"), (F.col("id") - 1).alias("parent"))
     lv = graph.levels(e, spark.range(100_000).withColumnRenamed("id", "node"))
     assert lv.where("level = node").count() == 100_000 and len(calls) < 30
+
+
+@pytest.mark.parametrize("small", [10**6, 0])
+def test_ancestors_in_batches_and_blocks(spark, monkeypatch, small):
+    """More tips than a mask has bits, chains of several blocks, two components and a cycle, with and without broadcast names."""
+    monkeypatch.setattr(graph, "BLOCK", 2)
+    monkeypatch.setattr(graph, "TIPS", small)
+    one = dag(random.Random(3), 150)
+    edges = one + [(f"x{c}", f"x{p}") for c, p in one] + [("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("d", "c1"), ("n0", "g9"), ("g9", "g8"), ("g8", "g7")]
+    walk, _ = above(edges)
+    tips = sorted({x for e in edges for x in e})
+    df = spark.createDataFrame(edges, "child string, parent string")
+    got = [tuple(r) for r in graph.ancestors(df, spark.createDataFrame([(t,) for t in tips], "tip string")).collect()]
+    assert len(tips) > 256 and len(got) == len(set(got)) and set(got) == {(t, x) for t in tips for x in walk(t)}
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Rows written to shuffles follow the graph, not the pairs of tips and ancestors."""
+    edges = [(f"n{i}", f"n{i - k}") for i in range(1, 2000) for k in (1, 2) if i >= k] + [(f"t{i}", f"n{1999 - i % 50}") for i in range(300)]
+    df = spark.createDataFrame(edges, "child string, parent string").localCheckpoint()
+    tips = spark.createDataFrame([(f"t{i}",) for i in range(300)], "tip string")
+
+    def written():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        none = sc._jvm.java.util.ArrayList()
+        stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    last = max(written())
+    pairs = graph.ancestors(df, tips)
+    pairs.write.format("noop").mode("overwrite").save()
+    shuffled = sum(k for i, k in written().items() if i > last)
+    n = pairs.count()
+    assert n == sum(2000 - i % 50 + 1 for i in range(300)) and 0 < shuffled < n / 2
